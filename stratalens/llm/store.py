@@ -7,7 +7,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -37,3 +40,25 @@ class Store:
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Partitions for a repartition whose keys are even: the session's shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+BITS = 1 << 24
+
+
+def bits(keys: DataFrame, column: str) -> bytes:
+    """A set of BITS bits (2 MB, whatever the number of keys) that holds pmod(key, BITS) of each long key.
+
+    It only spares rows a shuffle before an exact join: a key that isn't in the set may still be found set."""
+    position = F.pmod(F.col(column), F.lit(BITS))
+    per = 8 * 4096
+    parts = keys.select((position / per).cast("int").alias("part"), (position % per).cast("long").alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
+    out = bytearray(BITS // 8)
+    for row in parts.collect():  # at most BITS / 32,768 rows of 4 KB
+        out[row["part"] * 4096 : (row["part"] + 1) * 4096] = row["map"]
+    return bytes(out)
+
+
+def holds(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys' bits are set; held has the bytes of bits()."""
+    at = np.mod(keys, BITS)
+    return (held[at >> 3] >> (at & 7)) & 1 == 1
