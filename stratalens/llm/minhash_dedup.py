@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as T
 from .components import components, roots
-from .store import Store, tasks
+from .store import Store, bits, holds, tasks
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 6, 3, 64
 HASHES = TREES * DEPTH
@@ -148,15 +148,20 @@ def _walk(near: int, closed: bool):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, members):
+    """Whole shingle sets of the texts whose ids may be members."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(members.value, np.uint8)
         for batch in batches:
-            data, offsets = T.utf8(batch.column("text"))
+            ids = batch.column(0)
+            batch = batch.filter(pa.array(holds(held, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            data, offsets = T.utf8(batch.column(1))
             for i, j in T.slices(offsets):
                 part, bounds = T.lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
                 h, at = T.shingle_sets(part, bounds, n)
                 h = h.astype("<u8")
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in ("family", "size", "id")] + [pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["family", "size", "id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -235,6 +240,21 @@ def _confirm(num: int, den: int):
     return run
 
 
+def families(family: DataFrame) -> DataFrame:
+    """(id, family, size) of every node of components()."""
+    member = family.select(F.col("u").alias("id"), F.col("v").alias("family")).union(family.select(F.col("v").alias("id"), F.col("v").alias("family")).distinct())
+    return member.join(member.groupBy("family").agg(F.count("*").alias("size")), "family")
+
+
+def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of a spanning forest of the links den * intersection >= num * union within each family, tile pair by tile pair."""
+    found, many = sets.join(member, "id"), tasks(sets.sparkSession)
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    tiled = found.withColumn("tile", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiled = tiled.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "shingles")
+    return tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(_confirm(num, den), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", name: str = "near") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: groups of texts whose n-word shingle
     sets have Jaccard similarity >= num / den, chains included."""
@@ -258,14 +278,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, do
     family = components(edges, store, "family")
     store.drop("walked")
 
-    member = family.select(F.col("u").alias("id"), F.col("v").alias("family")).union(family.select(F.col("v").alias("id"), F.col("v").alias("family")).distinct())
-    size = member.groupBy("family").agg(F.count("*").alias("size"))
-    member = member.join(size, "family")
-    found = texts.join(member, texts.doc_id == member.id).select("family", "size", "id", "text").mapInArrow(_sets(n), "family long, size long, id long, shingles binary")
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    tiled = found.withColumn("tile", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiled = tiled.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "shingles")
-    links = tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(_confirm(num, den), "u long, v long")
+    member = store.save(families(family), "member")
+    members = spark.sparkContext.broadcast(bits(member, "id"))
+    links = confirmed(texts.mapInArrow(_sets(n, members), "id long, shingles binary"), member, num, den)
     joined = components(links, store, "links")
 
     named = classes.join(joined.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_cnn, embedding_dedup, minhash_dedup, quality
+from . import byte_bpe, byte_cnn, embedding_dedup, line_dedup, minhash_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ SELECT low.u AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_i
 FROM low LEFT JOIN n ON n.u = low.u"""
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", F.col("n_dropped_lines").cast("long").alias("n_dropped_lines"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -62,6 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op7_quality": op7_quality,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
