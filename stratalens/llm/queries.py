@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_cnn, embedding_dedup, line_dedup, minhash_dedup, quality, source_mix
+from . import byte_bpe, byte_cnn, embedding_dedup, licences, line_dedup, minhash_dedup, quality, source_mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -75,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_source_mix": op4_source_mix,
     "op7_quality": op7_quality,
+    "op8_licences": op8_licences,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_licences": licences.oracle()}
