@@ -128,8 +128,11 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """Trains on at most `sample` of the rows where `learn` holds and text and language are not null."""
-    labelled = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    labelled = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
+    # a hashed share of the rows of about four samples, so that tasks send few rows, and of these the smallest hashes
+    share = min(1.0, 4 * sample / max(labelled.count(), 1))
     key = F.xxhash64(F.col(doc_id).cast("string"), text)
+    labelled = labelled.where((F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col(text).rlike(r"\p{L}"))
     # of each text in the sample one passage is learned from, at a hashed place; prediction reads whole texts
     size = WINDOWS_A_TEXT * WINDOW
     place = F.pmod(F.xxhash64(key), F.greatest(F.length(text) - size, F.lit(1))).cast("int") + 1

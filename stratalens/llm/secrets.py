@@ -3,8 +3,8 @@
 Base patterns give spans of three kinds. Beside them, every run of LEAST or more characters that
 credentials are written in is a candidate: its encoding is inferred (hex, base32, base62 or
 base64), and a battery of tests asks whether it is uniformly random in that encoding: a
-chi-squared test of the alphabet's counts, a runs test about the alphabet's middle, and the
-serial correlation of neighbours. The smallest of the three p-values, times three, is the
+chi-squared tests of the alphabet's counts and of its classes (upper case, lower case, others), a runs test about the alphabet's middle, and the
+serial correlation of neighbours. The smallest of the four p-values, times four, is the
 candidate's; over its weight, which is its length over the mean length (a longer run carries more
 evidence), it goes into a Benjamini-Hochberg procedure over the candidates of all
 documents. Those rejected are ordinary text, with at most RATE of them truly random;
@@ -79,6 +79,10 @@ def randomness(run: Column) -> Column:
     def tests(a: Column) -> Column:
         k, n = F.length(a["alphabet"]).cast("double"), F.greatest(F.length(a["body"]), F.lit(2)).cast("double")
         squares = F.aggregate(F.split(a["alphabet"], ""), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(F.length(a["body"]) - F.length(F.replace(a["body"], c)), F.lit(2.0))))
+        # shares of upper case, lower case and the rest: for two degrees of freedom the tail is exp(-chi / 2)
+        count = lambda c, of: F.length(F.regexp_replace(c, f"[^{of}]", "")).cast("double")
+        shares = [(count(a["body"], p), n * count(a["alphabet"], p) / k) for p in ("A-Z", "a-z", "0-9+/_=-")]
+        classes = F.when(k >= 62, F.exp(-sum(((o - e) * (o - e) / e for o, e in shares), F.lit(0.0)) / 2)).otherwise(1.0)
         codes = F.transform(F.filter(F.split(a["body"], ""), lambda c: c != ""), lambda c: F.position(c, a["alphabet"]).cast("double"))
         zero = F.lit(0.0)
         names = ("first", "last", "sum", "squares", "products", "high", "runs", "count")
@@ -98,7 +102,7 @@ def randomness(run: Column) -> Column:
             mean = s["sum"] / n
             around = s["squares"] - n * mean * mean
             serial = F.when(around > 0, (s["products"] - mean * (2 * s["sum"] - s["first"] - s["last"]) + (n - 1) * mean * mean) / around * F.sqrt(n)).otherwise(12.0)
-            return F.least(3 * F.least(_two_sided(chi), _two_sided(runs), _two_sided(serial)), F.lit(1.0))
+            return F.greatest(F.least(4 * F.least(_two_sided(chi), classes, _two_sided(runs), _two_sided(serial)), F.lit(1.0)), F.lit(1e-100))
 
         return _bind(F.aggregate(codes, state, step), judged)
 
