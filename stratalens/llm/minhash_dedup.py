@@ -161,7 +161,7 @@ def _sets(n: int, members):
                 part, bounds = T.lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
                 h, at = T.shingle_sets(part, bounds, n)
                 h = h.astype("<u8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["id", "payload"])
 
     return run
 
@@ -219,14 +219,18 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _confirm(num: int, den: int):
+def stored_sets(payloads: list[pa.Buffer]) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in payloads]
+
+
+def _confirm(num: int, den: int, sets_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
         for group in grouped(batches, ["family", "a", "b"]):
             if group.num_rows < 2:
                 continue
             ids, tile = group["id"].to_numpy(), group["tile"].to_numpy()
-            sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in group["shingles"]]
+            sets = sets_of([x.as_buffer() for x in group["payload"]])
             a, b = (np.flatnonzero(tile == group[k][0].as_py()) for k in ("a", "b"))
             if len(a) and len(b):
                 x, y = linked(sets, a, b, num, den)
@@ -246,13 +250,15 @@ def families(family: DataFrame) -> DataFrame:
     return member.join(member.groupBy("family").agg(F.count("*").alias("size")), "family")
 
 
-def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v) of a spanning forest of the links den * intersection >= num * union within each family, tile pair by tile pair."""
+def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of=stored_sets) -> DataFrame:
+    """(u, v) of a spanning forest of the links den * intersection >= num * union within each family, tile pair by tile pair.
+
+    sets has (id, payload); sets_of makes sorted sets of distinct hashes of a list of payloads."""
     found, many = sets.join(member, "id"), tasks(sets.sparkSession)
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     tiled = found.withColumn("tile", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiled = tiled.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "shingles")
-    return tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(_confirm(num, den), "u long, v long")
+    tiled = tiled.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "payload")
+    return tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(_confirm(num, den, sets_of), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", name: str = "near") -> DataFrame:
@@ -280,7 +286,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, do
 
     member = store.save(families(family), "member")
     members = spark.sparkContext.broadcast(bits(member, "id"))
-    links = confirmed(texts.mapInArrow(_sets(n, members), "id long, shingles binary"), member, num, den)
+    links = confirmed(texts.mapInArrow(_sets(n, members), "id long, payload binary"), member, num, den)
     joined = components(links, store, "links")
 
     named = classes.join(joined.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
