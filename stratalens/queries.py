@@ -461,3 +461,80 @@ def power_spectrum(spark, d):
 @query(f"WITH {_POWER}, w AS (SELECT image_id, CASE WHEN ky >= 4 THEN ky - 8 ELSE ky END AS a, CASE WHEN kx >= 4 THEN kx - 8 ELSE kx END AS b, re * re + im * im AS p FROM f) SELECT image_id, CAST(floor(sqrt(a * a + b * b)) AS INT) AS r, {r6('sum(p)')} AS power, count(*) AS n FROM w GROUP BY 1, 2")
 def radial_spectrum(spark, d):
     return rounded(analysis.radial_spectrum(analysis.power_spectrum(maps(spark, d), 8), 8), "power")
+
+
+def _train(spark, d):
+    return corpus.choose_training(vectors(spark, d).withColumnRenamed("id", "image_id"), "label", "image_id", 0.5)
+
+
+@query()
+def fit_svm(spark, d):
+    from .operators import learn
+
+    return learn.train_and_test(_train(spark, d), "svm")["predictions"].select("image_id", "label", "is_train", "prediction")
+
+
+@query()
+def fit_logreg(spark, d):
+    from .operators import learn
+
+    return learn.train_and_test(_train(spark, d), "logreg")["predictions"].select("image_id", "label", "is_train", "prediction")
+
+
+@query()
+def cross_validate(spark, d):
+    from .operators import learn
+
+    scores = learn.cross_validate(vectors(spark, d).withColumnRenamed("id", "image_id"), "logreg", 3)
+    return spark.createDataFrame(list(enumerate(scores)), "fold int, accuracy double")
+
+
+@query()
+def fit_kmeans(spark, d):
+    rows = vectors(spark, d)
+    return clusters.nearest(rows, clusters.k_means(rows, 5, seed=1)).select("id", "cluster", F.round("distance", 4).alias("distance"))
+
+
+def _learner(name):
+    def run(spark, d):
+        from .operators import prototypes as P
+
+        # a bounded sample of rows, by hash
+        rows = table(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(400).collect()
+        x = np.array([r["embedding"] for r in rows]).reshape(-1, 1, 8, 8)
+        bank = P.resolve(name)(6, x - x.min() if name == "nmf" else x)
+        return rounded(kernels.frame(spark, bank), "w")
+
+    run.__name__ = f"learn_{name}"
+    return run
+
+
+for _name in ("imprint", "shuffle", "uniform", "norm", "histogram", "kmeans", "nearest_kmeans", "kmedoids", "contrast_kmeans", "ica", "pca", "sparse_pca", "nmf"):
+    query()(_learner(_name))
+
+
+@query()
+def packed_c2(spark, d):
+    """The packed engine on 32 x 32 maps, each made of four copies of a vector's map doubled in size."""
+    from .operators import packed
+
+    p = Params(s1_kwidth=5, c1_kwidth=3, c1_sampling=2, s2_kwidth=[3], num_scales=3)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(32).alias("height"), F.lit(32).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("embedding", (F.floor(i / 64) % 8 * 8 + F.floor(i % 32 / 2) % 8).cast("int"))).alias("data"))
+    maps = packed.build(rows, p, kernels.gabor_bank(5, 4), [prototypes(4, 3)], ("c2",))
+    return maps.select("image_id", "kwidth", F.posexplode("data").alias("band", "v")).withColumn("v", F.round("v", 4))
+
+
+@query("SELECT vec_id AS image_id, CAST(i - 1 AS INT) AS band, round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 AS v FROM embeddings, range(1, 65) AS r(i)")
+def stream_activation(spark, d):
+    """The streaming job on the embeddings' maps, run to the end of its input; its layer is the image itself."""
+    import tempfile
+
+    from .streaming import activation
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalens-")
+    base = f"{base}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("data"))
+    rows.write.parquet(f"{base}/in")
+    activation.activate(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", Params(), kernels.gabor_bank(3, 4), None, ("image",)).awaitTermination()
+    maps = spark.read.parquet(f"{base}/out")
+    return rounded(maps.select("image_id", F.posexplode("data").alias("band", "v")).withColumn("v", F.col("v").cast("double")))
