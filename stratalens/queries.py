@@ -385,9 +385,6 @@ def kmeans_step_weighted(spark, d):
     return rounded(moved.select("cluster", "pos", "v"))
 
 
-_Q = "list_sort(list(v))[k{0}] * (1 - (a{0} - k{0})) + list_sort(list(v))[k{0} + 1] * (a{0} - k{0})"
-
-
 @query(f"""WITH {cells_sql(4, 4, 4)}, s AS (SELECT band, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS low, max(v) AS high, list_sort(list(v)) AS l FROM cells GROUP BY 1),
     q AS (SELECT *, n * 0.3 + 0.4 + 0.3 * 0.2 AS a3, n * 0.7 + 0.4 + 0.7 * 0.2 AS a7 FROM s)
     SELECT band, {r6('mean')} AS mean, {r6('std')} AS std, {r6('low')} AS low, {r6('high')} AS high, {r6('l[CAST(floor(a3) AS INT)] * (1 - (a3 - floor(a3))) + l[CAST(floor(a3) AS INT) + 1] * (a3 - floor(a3))')} AS q30,
@@ -396,19 +393,24 @@ def meta_features(spark, d):
     return rounded(analysis.meta_features(maps(spark, d, 4, 4, 4), "band", "v"), "mean", "std", "low", "high", "q30", "q70")
 
 
-@query(f"""WITH r AS (SELECT vec_id AS id, embedding, CAST(label AS DOUBLE) AS quality FROM embeddings WHERE vec_id < 50),
-    pairs AS (SELECT e.vec_id AS id, r.id AS rid, quality, list_sum(list_transform(range(1, 65), lambda i: (CAST(e.embedding[i] AS DOUBLE) - r.embedding[i]) * (CAST(e.embedding[i] AS DOUBLE) - r.embedding[i]))) AS d FROM embeddings e, r),
-    top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, rid) <= 4) SELECT id, {r6('avg(quality)')} AS quality FROM top GROUP BY 1""")
+@query(f"""WITH m AS (SELECT label AS rid, i, avg(CAST(embedding[i] AS DOUBLE)) AS r FROM embeddings, range(1, 65) AS t(i) GROUP BY 1, 2),
+    pairs AS (SELECT e.vec_id AS id, rid, sum((CAST(e.embedding[i] AS DOUBLE) - r) * (CAST(e.embedding[i] AS DOUBLE) - r)) AS d FROM embeddings e, m GROUP BY 1, 2),
+    top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, rid) <= 4) SELECT id, {r6('avg(rid)')} AS quality FROM top GROUP BY 1""")
 def knn_quality(spark, d):
+    """The reference set is one mean vector for each class."""
     rows = vectors(spark, d)
-    return rounded(clusters.knn_mean(rows, rows.where("id < 50").withColumn("quality", F.col("label").cast("double")), "quality"), "quality")
+    means = clusters.step(rows.withColumn("cluster", F.col("label"))).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("m"))
+    known = means.select(F.col("cluster").alias("id"), F.transform("m", lambda x: x["v"]).alias("features"), F.col("cluster").cast("double").alias("quality"))
+    return rounded(clusters.knn_mean(rows, known, "quality"), "quality")
 
 
-@query(f"""WITH {cells_sql()}, b AS (SELECT vec_id AS box_id, vec_id AS image_id, CAST(vec_id % 4 AS INT) AS t, CAST(vec_id % 3 AS INT) AS l FROM embeddings)
-    SELECT b.box_id, {r6('coalesce(avg(1 - CAST(c.v > 0 AS INT)), 0)')} AS ratio FROM b LEFT JOIN cells c ON b.image_id = c.image_id AND c.image_id % 5 <> 0 AND c.y >= t AND c.y < t + 4 AND c.x >= l AND c.x < l + 5 GROUP BY 1""")
+@query(f"""WITH {cells_sql()}, b AS (SELECT vec_id AS box_id, vec_id AS image_id, label, CAST(vec_id % 4 AS INT) AS t, CAST(vec_id % 3 AS INT) AS l FROM embeddings)
+    SELECT b.box_id, {r6('coalesce(avg(1 - CAST(c.v > 0 AS INT)), 0)')} AS ratio FROM b LEFT JOIN cells c ON b.image_id = c.image_id AND b.label <> 0 AND c.y >= t AND c.y < t + 4 AND c.x >= l AND c.x < l + 5 GROUP BY 1""")
 def mask_fg_ratio(spark, d):
-    boxes = table(spark, d, "embeddings").select(F.col("vec_id").alias("box_id"), F.col("vec_id").alias("image_id"), (F.col("vec_id") % 4).alias("top"), (F.col("vec_id") % 4 + 4).alias("bottom"), (F.col("vec_id") % 3).alias("left"), (F.col("vec_id") % 3 + 5).alias("right"))
-    mask = maps(spark, d).where("image_id % 5 <> 0").select("image_id", "y", "x", (F.col("v") > 0).cast("int").alias("m"))
+    """Images of class 0 have no mask."""
+    rows = table(spark, d, "embeddings")
+    boxes = rows.select(F.col("vec_id").alias("box_id"), F.col("vec_id").alias("image_id"), (F.col("vec_id") % 4).alias("top"), (F.col("vec_id") % 4 + 4).alias("bottom"), (F.col("vec_id") % 3).alias("left"), (F.col("vec_id") % 3 + 5).alias("right"))
+    mask = vector_maps(rows.where("label <> 0"), 1, 8, 8).select("image_id", "y", "x", (F.col("v") > 0).cast("int").alias("m"))
     return rounded(analysis.foreground_ratio(boxes, mask), "ratio")
 
 

@@ -104,3 +104,20 @@ def test_graph(spark):
     with pytest.raises(TypeError):
         g.register("x", ("n1",), lambda: None)
     assert dag.is_below(dag.from_id("i"), dag.from_name("c2")) and dag.top().id == "c2"
+
+
+def test_masks(spark):
+    from stratalens.sources.masks import match_masks
+
+    files = spark.createDataFrame([(1, "a", "/x/a/1.jpg"), (2, "a", "/x/a/2.jpg"), (3, "b", "/x/b/3.jpg")], "image_id long, class_name string, path string")
+    masks = spark.createDataFrame([("/m/a/1.png",), ("/m/1.png",), ("/m/2.png",)], "path string")
+    assert {r[0]: r[1] for r in match_masks(files, masks).collect()} == {1: "/m/a/1.png", 2: "/m/2.png", 3: None}
+
+
+def test_numeric_text(spark, tmp_path):
+    from stratalens.sources.tables import numeric_text
+
+    (tmp_path / "t.txt").write_text("1 2.5\n\n  3\t4\n")
+    assert [tuple(r) for r in numeric_text(spark, f"{tmp_path}/t.txt", 2).orderBy("c0").collect()] == [(1.0, 2.5), (3.0, 4.0)]
+    with pytest.raises(Exception, match="columns"):
+        numeric_text(spark, f"{tmp_path}/t.txt", 1).collect()
