@@ -223,21 +223,51 @@ def stored_sets(payloads: list[pa.Buffer]) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u8") for x in payloads]
 
 
+def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """As grouped(), but all groups that a batch completes in one table, with the bounds of each."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        columns = [table[k].to_numpy() for k in keys]
+        change = np.zeros(table.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        return np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        cuts = bounds(table)
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]), cuts[:-1]
+            held = table.slice(cuts[-2]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, bounds(table)
+
+
 def _confirm(num: int, den: int, sets_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
-        for group in grouped(batches, ["family", "a", "b"]):
-            if group.num_rows < 2:
-                continue
-            ids, tile = group["id"].to_numpy(), group["tile"].to_numpy()
-            sets = sets_of([x.as_buffer() for x in group["payload"]])
-            a, b = (np.flatnonzero(tile == group[k][0].as_py()) for k in ("a", "b"))
-            if len(a) and len(b):
-                x, y = linked(sets, a, b, num, den)
-                root = roots(len(ids), x, y)
-                far = np.flatnonzero(root != np.arange(len(ids)))
-                u.append(ids[far])
-                v.append(ids[root[far]])
+        for table, cuts in grouped_runs(batches, ["family", "a", "b"]):
+            ids, tile, first, second = (table[k].to_numpy() for k in ("id", "tile", "a", "b"))
+            sets = sets_of([x.as_buffer() for x in table["payload"]])
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if e - s == 2:  # most families are pairs
+                    if tile[s] == first[s] and tile[s + 1] == second[s] or tile[s + 1] == first[s] and tile[s] == second[s]:
+                        n = len(np.intersect1d(sets[s], sets[s + 1], assume_unique=True))
+                        if den * n >= num * (len(sets[s]) + len(sets[s + 1]) - n):
+                            u.append(ids[s + 1 : e])
+                            v.append(ids[s : s + 1])
+                elif e - s > 2:
+                    a, b = np.flatnonzero(tile[s:e] == first[s]), np.flatnonzero(tile[s:e] == second[s])
+                    if len(a) and len(b):
+                        root = roots(e - s, *linked(sets[s:e], a, b, num, den))
+                        far = np.flatnonzero(root != np.arange(e - s))
+                        u.append(ids[s:e][far])
+                        v.append(ids[s:e][root[far]])
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
 
@@ -258,7 +288,7 @@ def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of=st
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     tiled = found.withColumn("tile", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiled = tiled.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "payload")
-    return tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(_confirm(num, den, sets_of), "u long, v long")
+    return tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(T.released(_confirm(num, den, sets_of)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", name: str = "near") -> DataFrame:
@@ -267,7 +297,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, do
     spark = docs.sparkSession
     store, many = Store(spark, name), tasks(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = store.save(texts.mapInArrow(_signatures(n), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
+    signed = store.save(texts.mapInArrow(T.released(_signatures(n)), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
     classes = store.save(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
 
     low = HASHES * num / den
@@ -278,15 +308,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, do
     rows = classes.select("id", small.alias("sig"), trees.alias("trees")).select("id", "sig", F.explode("trees").alias("key"))
     ordered = rows.repartitionByRange(many, "key", "id").sortWithinPartitions("key", "id")
     kind = "u long, v long, border int, key binary, sig binary"
-    walked = store.save(ordered.select("key", "sig", "id").mapInArrow(_walk(near, False), kind), "walked")
+    walked = store.save(ordered.select("key", "sig", "id").mapInArrow(T.released(_walk(near, False)), kind), "walked")
     borders = walked.where("border is not null").select("border", "key", "sig", F.col("u").alias("id")).repartition(many, "border").sortWithinPartitions("key", "id")
-    edges = walked.where("v is not null").select("u", "v").union(borders.select("key", "sig", "id").mapInArrow(_walk(near, True), kind).select("u", "v"))
+    edges = walked.where("v is not null").select("u", "v").union(borders.select("key", "sig", "id").mapInArrow(T.released(_walk(near, True)), kind).select("u", "v"))
     family = components(edges, store, "family")
     store.drop("walked")
 
     member = store.save(families(family), "member")
     members = spark.sparkContext.broadcast(bits(member, "id"))
-    links = confirmed(texts.mapInArrow(_sets(n, members), "id long, payload binary"), member, num, den)
+    links = confirmed(texts.mapInArrow(T.released(_sets(n, members)), "id long, payload binary"), member, num, den)
     joined = components(links, store, "links")
 
     named = classes.join(joined.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
