@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbatch as T
+
 #: Fixed value: the pattern of the byte-level pre-tokenizer, its runs possessive.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-KEPT_PIECES, KEPT_LENGTH = 400_000, 48
+KEPT_PIECES, KEPT_LENGTH = 150_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -196,4 +198,4 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(path))
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
-    return narrow.mapInArrow(_run(shared, digests), kind)
+    return narrow.mapInArrow(T.released(_run(shared, digests)), kind)

@@ -167,6 +167,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             odds = np.exp(mean - mean.max(axis=1, keepdims=True))
             score = 1 / odds.sum(axis=1)
             yield pa.StructArray.from_arrays([pa.array(np.array(net.languages, dtype=object)[best], pa.string()), pa.array(np.where(weight > 0, score, 0.0), pa.float64())], names=["lang_pred", "score"])
+        T.release()
 
     judge = F.arrow_udf(run, "struct<lang_pred:string,score:double>")
     out = docs.withColumn("_judged", judge(F.when(letter, F.col(text))))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbatch as T
 from .components import components, roots
 from .minhash_dedup import grouped
 from .store import Store, tasks
@@ -97,7 +98,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     blocks = classes.groupBy("team").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     dealt = classes.join(blocks, "team").withColumn("tile", F.pmod("id", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("team", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "copies", "embedding")
-    found = dealt.repartition(many, "team", "a", "b").sortWithinPartitions("team", "a", "b", "id").mapInArrow(_compare(threshold), "u long, v long, n long")
+    found = dealt.repartition(many, "team", "a", "b").sortWithinPartitions("team", "a", "b", "id").mapInArrow(T.released(_compare(threshold)), "u long, v long, n long")
     found = store.save(found, "found")
     counts = found.groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "id")
     joined = components(found.select("u", "v"), store, "links").withColumnRenamed("u", "id").withColumnRenamed("v", "root")

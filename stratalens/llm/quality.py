@@ -112,7 +112,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the statistics of each whole text."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(_features, "doc_id long, " + ", ".join(f"{k} long" for k in FEATURES))
+    return narrow.mapInArrow(T.released(_features), "doc_id long, " + ", ".join(f"{k} long" for k in FEATURES))
 
 
 def vote(rule: str) -> Column:

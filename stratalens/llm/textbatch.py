@@ -5,7 +5,8 @@ worked on in slices of bounded size, so that memory does not follow the batch.""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,27 @@ _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256,
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on and later stages use it again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with release() at the end of each task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
@@ -130,11 +152,15 @@ def minhashes(h: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> np.ndarra
     out = np.full((len(bounds) - 1, len(seeds)), 0xFFFFFFFF, dtype=np.uint32)
     if len(full):
         low, high, at = h.astype(np.uint32), (h >> _U(32)).astype(np.uint32), bounds[full]
+        x, y = np.empty_like(low), np.empty_like(low)  # written again for each seed
         for k, s in enumerate(seeds):
-            x = low * np.uint32(s & 0xFFFFFFFF | 1)
-            x ^= high * np.uint32(s >> 32 | 1)
-            x ^= x >> np.uint32(15)
+            np.multiply(low, np.uint32(s & 0xFFFFFFFF | 1), out=x)
+            np.multiply(high, np.uint32(s >> 32 | 1), out=y)
+            x ^= y
+            np.right_shift(x, np.uint32(15), out=y)
+            x ^= y
             x *= np.uint32(0x2C1B3C6D)
-            x ^= x >> np.uint32(12)
+            np.right_shift(x, np.uint32(12), out=y)
+            x ^= y
             out[full, k] = np.minimum.reduceat(x, at)
     return out
