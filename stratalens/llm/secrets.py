@@ -5,9 +5,10 @@ credentials are written in is a candidate: its encoding is inferred (hex, base32
 base64), and a battery of tests asks whether it is uniformly random in that encoding: a
 chi-squared tests of the alphabet's counts and of its classes (upper case, lower case, others), a runs test about the alphabet's middle, and the
 serial correlation of neighbours. The smallest of the four p-values, times four, is the
-candidate's; over its weight, which is its length over the mean length (a longer run carries more
-evidence), it goes into a Benjamini-Hochberg procedure over the candidates of all
-documents. Those rejected are ordinary text, with at most RATE of them truly random;
+candidate's; over its weight, it goes into a Benjamini-Hochberg procedure over the candidates of all
+documents. The weight is 1 up to the mean length and the mean length over its own beyond it: the tests'
+power grows with the length, so a longer run must show more evidence to be rejected, and a random
+run isn't rejected more often the longer it is. Those rejected are ordinary text, with at most RATE of them truly random;
 the others are spans of kind `random` unless they overlap a base span. The procedure's
 counts are a histogram of fixed size.
 
@@ -136,7 +137,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     alone = found.select(F.explode("runs").alias("run")).select((F.col("run.end") - F.col("run.start")).alias("n"), F.col("run.p").alias("p"))
     mean = alone.agg(F.avg("n")).first()[0] or 1.0
-    score = lambda n, p: -F.log10(p * mean / n)
+    score = lambda n, p: -F.log10(p * F.greatest(n / mean, F.lit(1.0)))
     bar = _bar(alone.select(score(F.col("n"), F.col("p")).alias("score")))
     free = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     mine = F.filter("runs", lambda r: (F.floor(score(r["end"] - r["start"], r["p"]) * TENTHS) < bar * TENTHS) & free(r))
