@@ -6,6 +6,7 @@ import string
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from stratalens.llm import line_dedup, secrets
 
 
@@ -39,3 +40,9 @@ def test_op3_short_lines(spark):
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["n_dropped_lines"] == 0 for r in got if r["doc_id"] % 2 == 0)
     assert sum(r["n_dropped_lines"] for r in got) >= 294
+
+
+def test_pipeline_language_id_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a clean text", None), (2, "12 34", None), (3, None, None), (4, "\u4e2d", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, "a clean text", None), (4, "\u4e2d", None)]
