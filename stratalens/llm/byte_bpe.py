@@ -3,10 +3,16 @@
 A text is cut at the added tokens' strings, then by the pre-tokenizer's pattern; each piece's
 bytes start as symbols of a doubly linked list, and a priority queue of merge ranks joins
 neighbours, lowest rank and leftmost first, skipping entries whose symbols have changed.
-Decoding concatenates vocabulary strings. Pieces repeat, so a bounded table keeps their ids.
+Decoding concatenates vocabulary strings.
 
-A null text is encoded as an empty one: no ids. Very long texts and pieces need memory in
-proportion to themselves. Repeated rows and extra columns change nothing."""
+Texts are cut in numpy, a slice of them at once, and pieces of equal 64-bit hashes are merged once. A
+table of SLOTS slots keeps merged pieces: a slot holds the last piece that fell to it, and all go when their
+bytes pass TABLE_BYTES. A text whose decoded bytes aren't its own is encoded again without hashes, piece
+by piece, so that no result rests on a hash.
+
+A null text is encoded as an empty one: no ids. Bytes that aren't UTF-8 become replacement
+characters before anything else. Very long texts and pieces need memory in proportion to
+themselves. Repeated rows and extra columns change nothing; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -15,8 +21,8 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,9 +30,10 @@ from pyspark.sql import functions as F
 
 from . import textbatch as T
 
-#: Fixed value: the pattern of the byte-level pre-tokenizer, its runs possessive.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-KEPT_PIECES, KEPT_LENGTH = 150_000, 48
+#: Fixed value: what follows an apostrophe at the start of a piece and stays with it.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+SLOTS, TABLE_BYTES, KEPT_LENGTH = 1 << 20, 1 << 25, 64
+OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
 def byte_characters() -> list[str]:
@@ -36,6 +43,72 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+def character_classes() -> np.ndarray:
+    """LETTER, NUMBER, SPACE (White_Space) or OTHER of each code point."""
+    out = np.zeros(0x110000, np.uint8)
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, everything):
+            for a, b in ((m.start(), min(m.end(), 0xD800)), (max(m.start(), 0xD800) + 0x800, m.end() + 0x800)):
+                out[a : max(a, b)] = kind
+    return out
+
+
+def starts(points: np.ndarray, kind: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Which characters start a piece; where fresh is set a text starts.
+
+    A piece is an apostrophe with one of ENDINGS, a run of one class with the space before it, or white space;
+    white space before another piece leaves its last character to it, or alone if that is not a space."""
+    n = len(points)
+    run = fresh.copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    out = run.copy()
+    at = np.flatnonzero(run)
+    end = np.append(at[1:], n)
+    blank = (kind[at] == SPACE) & (end < n)
+    after = end[blank]
+    after = after[~fresh[after]]
+    out[after - 1] = True
+    out[after[points[after - 1] == 0x20]] = False
+    # an apostrophe that starts a piece, alone in its run, before letters
+    mark = at[(points[at] == 0x27) & (end == at + 1) & (end < n) & out[at]]
+    mark = mark[~fresh[mark + 1]]
+    for ending in ENDINGS:
+        fits = mark[mark + len(ending) < n]
+        for k, c in enumerate(ending, 1):
+            fits = fits[(points[fits + k] == ord(c)) & ~fresh[fits + k]]
+        out[fits + 1] = False
+        stop = fits + 1 + len(ending)
+        out[stop[stop < n]] = True
+    return out
+
+
+class _Table:
+    """Merged pieces: their ids as text, each followed by a comma, then their decoded bytes."""
+
+    def __init__(self):
+        self.key, self.place = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, 4), np.uint32)
+        self.bytes = bytearray()
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash whether it is held, and (start, middle, end, number of ids) if so."""
+        if len(self.bytes) > TABLE_BYTES:
+            self.key[:] = 0
+            self.bytes = bytearray()
+        slot = (h % np.uint64(SLOTS)).astype(np.int64)
+        return self.key[slot] == h, self.place[slot].astype(np.int64)
+
+    def keep(self, h: np.ndarray, place: np.ndarray) -> None:
+        slot = (h % np.uint64(SLOTS)).astype(np.int64)
+        self.key[slot], self.place[slot] = h, place
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The spans of data one after another, and the len + 1 bounds of each."""
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return data[np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)].tobytes(), upto
+
+
 class Tokenizer:
     """Merges and vocabulary of a byte-level BPE file; one is sent to each executor."""
 
@@ -51,53 +124,46 @@ class Tokenizer:
         vocabulary = model["vocab"]
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         text_of = lambda s: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: text_of(s) for s, i in vocabulary.items()} | {i: text_of(s) for s, i in self.added.items()}
+        self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        self.strings = {i: text_of(s) for s, i in vocabulary.items()} | {i: s for s, i in self.added.items()}
         self.byte_ids = [vocabulary[c] for c in byte_characters()]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         pairs = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
         self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(pairs)}
         self.joined = [c for _, _, c in pairs]
+        self.classes = character_classes()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("added", "strings", "byte_ids", "ranks", "joined")}
+        return {k: v for k, v in self.__dict__.items() if k in ("added", "strings", "byte_ids", "ranks", "joined", "classes")}
 
     @cached_property
-    def _known(self):
-        merge, decode = self.merge, self.decode_bytes
-
-        class Known(dict):
-            """Ids, as text, and decoded bytes of pieces; when full, the older half goes."""
-
-            def __missing__(self, piece: str) -> tuple[str, bytes]:
-                ids = merge(piece.encode())
-                have = ",".join(map(str, ids)), decode(ids)
-                if len(piece) <= KEPT_LENGTH:
-                    if len(self) >= KEPT_PIECES:
-                        for k in list(islice(self, KEPT_PIECES // 2)):
-                            del self[k]
-                    self[piece] = have
-                return have
-
-        return Known()
+    def _table(self) -> _Table:
+        return _Table()
 
     @cached_property
-    def _pieces(self):
-        return regex.compile(PATTERN).findall
+    def _numbers(self) -> dict[int, bytes]:
+        return {i: b"%d," % i for i in self.strings}
 
     @cached_property
     def _added(self):
-        return regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        return regex.compile(b"|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) or rb"(?!)")
+
+    @cached_property
+    def _first_ranks(self) -> list[int]:
+        """The rank of each pair of bytes."""
+        none = len(self.joined)
+        return [self.ranks.get(a << 32 | b, none) for a in self.byte_ids for b in self.byte_ids]
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        ids, rank_of, joined = [self.byte_ids[b] for b in piece], self.ranks.get, self.joined
-        n = len(ids)
+        n = len(piece)
+        ids = [self.byte_ids[b] for b in piece]
         if n == 1:
             return ids
+        rank_of, joined, first = self.ranks.get, self.joined, self._first_ranks
         none = len(joined)
         # rank[i]: that of the pair of symbol i and its successor; a queue entry with another rank is stale
-        rank = [rank_of(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        rank = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
         queue = [r << 32 | i for i, r in enumerate(rank) if r < none]
         if not queue:
             return ids
@@ -129,26 +195,78 @@ class Tokenizer:
                     push(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def _parts(self, text: str) -> Iterator[str | int]:
-        """Runs of ordinary text, and the ids of added tokens."""
-        at = 0
-        for m in self._added.finditer(text):
-            if m.start() > at:
-                yield text[at : m.start()]
-            yield self.added[m[0]]
-            at = m.end()
-        if at < len(text):
-            yield text[at:]
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+        """The bounds of the pieces of some texts in UTF-8, and the ids of those (by their start) that are added tokens."""
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        chars = np.flatnonzero((data & 0xC0) != 0x80)
+        fresh = np.zeros(len(points) + 1, dtype=bool)
+        fresh[np.searchsorted(chars, offsets)] = True
+        added, spans = {}, []
+        whole = data.tobytes()
+        if self._added.search(whole):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                for m in self._added.finditer(whole, a, b):
+                    added[m.start()] = self.added[m[0]]
+                    spans.append(np.searchsorted(chars, m.span()))
+            for a, b in spans:
+                fresh[[a, b]] = True
+        out = starts(points, self.classes[points], fresh[:-1])
+        for a, b in spans:
+            out[a + 1 : b] = False
+        return np.append(chars[out], len(data)), added
+
+    def _merged(self, raw: bytes, h: np.ndarray, start: np.ndarray, end: np.ndarray, added: dict[int, int]) -> np.ndarray:
+        """The places in the table's bytes of pieces of raw that have hashes h."""
+        table, numbers, strings = self._table, self._numbers, self.strings
+        held, place = table.find(h)
+        new = np.flatnonzero(~held)
+        rows, out = [], table.bytes
+        for a, b in zip(start[new].tolist(), end[new].tolist()):
+            ids = [added[a]] if a in added else self.merge(raw[a:b])
+            at = len(out)
+            out += b"".join([numbers[i] for i in ids])
+            middle = len(out)
+            out += b"".join([strings[i] for i in ids])
+            rows.append((at, middle, len(out), len(ids)))
+        if rows:
+            place[new] = rows
+            new = new[end[new] - start[new] <= KEPT_LENGTH]
+            table.keep(h[new], place[new])
+        return place
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
+        """For each text the number of its ids, the ids, each followed by a comma, and the decoded bytes."""
+        data, offsets = T.utf8(column)
+        for i, j in T.slices(offsets):
+            part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if not len(part):
+                yield from [(0, b"", b"")] * (j - i)
+                continue
+            raw = part.tobytes()
+            at, added = self._cut(part, bounds)
+            alike = pa.array(T.span_hashes(part, at[:-1], at[1:])).dictionary_encode()
+            h, alike = alike.dictionary.to_numpy(), alike.indices.to_numpy()
+            first = np.zeros(len(h), np.int64)
+            first[alike[::-1]] = np.arange(len(alike))[::-1]
+            place = self._merged(raw, h, at[first], at[first + 1], added)[alike]
+            held = np.frombuffer(self._table.bytes, np.uint8)
+            ids, ids_upto = _gather(held, place[:, 0], place[:, 1] - place[:, 0])
+            decoded, upto = _gather(held, place[:, 1], place[:, 2] - place[:, 1])
+            del held
+            n = np.concatenate([[0], np.cumsum(place[:, 3])])
+            cuts = np.searchsorted(at[:-1], bounds)
+            n, ids_upto, upto = n[cuts].tolist(), ids_upto[cuts].tolist(), upto[cuts].tolist()
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                got = n[k + 1] - n[k], ids[ids_upto[k] : ids_upto[k + 1]], decoded[upto[k] : upto[k + 1]]
+                yield got if got[2] == raw[a:b] else self._alone(raw, at[cuts[k] : cuts[k + 1] + 1].tolist(), added)
+
+    def _alone(self, raw: bytes, at: list[int], added: dict[int, int]) -> tuple[int, bytes, bytes]:
+        ids = [i for a, b in zip(at[:-1], at[1:]) for i in ([added[a]] if a in added else self.merge(raw[a:b]))]
+        return len(ids), b"".join([b"%d," % i for i in ids]), self.decode_bytes(ids)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self._parts(text):
-            if isinstance(part, int):
-                out.append(part)
-            else:
-                for piece in self._pieces(part):
-                    out += self.merge(piece.encode())
-        return out
+        (_, ids, _), = self.texts(pa.array([text], pa.large_string()))
+        return [int(x) for x in ids.split(b",")[:-1]]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.strings[i] for i in ids])
@@ -156,37 +274,31 @@ class Tokenizer:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """For each text its number of ids and the digests of the ids and of the decoded text."""
-        piece = self._known.__getitem__
-        out = []
-        for text in texts:
-            got: list[tuple[str, bytes]] = []
-            for part in self._parts(text or ""):
-                if isinstance(part, int):
-                    got.append((str(part), self.strings[part]))
-                else:
-                    got += map(piece, self._pieces(part))
-            ids = ",".join([g[0] for g in got])
-            # decoded bytes that aren't UTF-8 become replacement characters
-            decoded = b"".join([g[1] for g in got]).decode("utf-8", "replace").encode()
-            out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        return out
+
+def _valid(column: pa.Array) -> pa.Array:
+    """The texts, bytes that aren't UTF-8 replaced."""
+    try:
+        column.validate(full=True)
+        return column
+    except pa.ArrowInvalid:
+        return pa.array([x and x.decode("utf-8", "replace") for x in column.cast(pa.large_binary()).to_pylist()], pa.large_string())
 
 
 def _run(tokenizer, digests: bool):
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = part.column(1).to_pylist()
+                # decoded bytes that aren't UTF-8 become replacement characters
+                rows = [(n, ids[:-1], decoded.decode("utf-8", "replace")) for n, ids, decoded in t.texts(_valid(part.column(1)))]
+                n, ids, decoded = zip(*rows)
                 if digests:
-                    n, ids, decoded = zip(*t.digests(texts))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(map(digest, ids), pa.string()), pa.array([digest(x.encode()) for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    ids = [t.encode(x or "") for x in texts]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids])], names=["doc_id", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[int(x) for x in y.split(b",")] if y else [] for y in ids], pa.list_(pa.int32())), pa.array(decoded)], names=["doc_id", "ids", "decoded"])
 
     return run
 
