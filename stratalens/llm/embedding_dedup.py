@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as T
 from .components import components, roots
-from .minhash_dedup import grouped
+from .groups import grouped
 from .store import Store, tasks
 
 TILE, COLUMNS, ROWS = 1024, 1024, 1 << 16

@@ -1,20 +1,22 @@
 """MinHash near-dedup by an LSH forest.
 
 1. Each text becomes its set of distinct n-word shingles (64-bit hashes of lower-cased
-   words) and a MinHash signature. Texts of equal sets are one class, named by its smallest id.
+   words) and a MinHash signature. Texts of equal sets are one class, which its row of the smallest id stands for.
 2. The forest: every class has one row in each of TREES sorted signature orders, a range
    sort whose key is the tree's own signature values. Neighbours with a common prefix are
    candidates; the prefix asked for deepens from MIN_DEPTH to DEPTH values where a region
-   holds more than REGION rows. Candidates whose signatures agree in NEAR of HASHES values
-   (5 standard deviations below the threshold) join a family.
-3. Families: components of those edges. Each member's full set is sent once to its
+   holds more than REGION rows. Regions still larger at full depth, rows of one key, are compared
+   whole, in tiles dealt over tasks if they are crowds (see crowds). Candidates whose signatures agree in
+   `near` of HASHES values (half a byte of each; 5 standard deviations below the threshold) join a family.
+3. Families: components of those edges. Each member's text is sent once to its
    family, or once for each pair of tiles if the family is larger than a tile; all pairs
-   of a tile pair are decided exactly by products of incidence matrices, and only the
+   of a tile pair are decided exactly on full sets, by products of incidence matrices, and only the
    spanning forest of the confirmed links leaves the task.
 4. Components of the confirmed links name the groups.
 
 Nulls and texts without words have no shingles and link with nothing. Rows that repeat an
-id are one class member each and keep their own row. A null id is kept, never in a group."""
+id are told apart by their texts and keep a row each. A null id is kept, never in a group. An empty table gives no rows.
+Extra columns are left out by near_duplicates() and kept by unique(), whatever their names."""
 
 from __future__ import annotations
 
@@ -28,40 +30,58 @@ from pyspark.sql import functions as F
 
 from . import textbatch as T
 from .components import components, roots
+from .crowds import LIMIT, dealt, forest, links_within
+from .groups import grouped_runs
 from .store import Store, bits, holds, tasks
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 6, 3, 64
 HASHES = TREES * DEPTH
-TILE = 256
+TILE = 512
 SEEDS = np.random.Generator(np.random.PCG64(85)).integers(1, 1 << 63, HASHES)
-_EMPTY = b""
 
 
 def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = T.utf8(batch.column(1))
+            data, offsets = T.utf8(batch.column(2))
             for i, j in T.slices(offsets):
                 part, bounds = T.lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
                 h, at = T.shingle_sets(part, bounds, n)
                 count = np.diff(at)
                 sig = T.minhashes(h, at, SEEDS).astype(">u4")
                 # two independent 64-bit sums over the set: its digest
-                both = [np.concatenate([[0], np.cumsum(T.mix(h + np.uint64(s)))]).astype(np.uint64) for s in (11, 23)]
+                both = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h + np.uint64(s)))]) for s in (11, 23)]
                 digest = np.stack([x[at[1:]] - x[at[:-1]] for x in both] + [count.astype(np.uint64)], axis=1).astype("<u8")
+                # the last half byte of each value, two values to a byte
+                last = sig.view(np.uint8).reshape(len(sig), HASHES, 4)[:, :, 3] & 15
+                half = last[:, 0::2] | last[:, 1::2] << 4
                 full = count > 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array([d.tobytes() if f else None for d, f in zip(digest, full)], pa.binary()), pa.array([s.tobytes() if f else None for s, f in zip(sig, full)], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "sig"],
-                )
+                binary = lambda rows: pa.array([x.tobytes() if f else None for x, f in zip(rows, full)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(count, pa.int64()), binary(digest), binary(sig), binary(half)], names=["doc_id", "th", "n_shingles", "digest", "sig", "half"])
 
     return run
 
 
+def _agree(near: int):
+    """Which rows of two arrays of halved signatures agree in `near` values."""
+
+    def matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return _equal(x[:, None, :], y[None, :, :]) >= near
+
+    return matrix
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = x ^ y
+    return ((z & 15) == 0).sum(axis=-1, dtype=np.int16) + (z < 16).sum(axis=-1, dtype=np.int16)
+
+
 def _neighbours(near: int):
-    """Over rows (key, sig, id) in order of key: edges between rows of one region whose signatures agree in `near` values."""
+    """Over rows (key, half, id) in order of key: edges between rows of one region whose signatures agree in `near` values.
 
-    def edges(key: np.ndarray, sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    Rows of regions that hold more than REGION rows at full depth are compared with REGION rows before them only."""
+
+    def edges(key: np.ndarray, half: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(ids)
         same = np.ones((m, DEPTH + 1), dtype=bool)  # same[i, d]: row i shares d values and the tree with row i - 1
         same[0] = False
@@ -72,100 +92,145 @@ def _neighbours(near: int):
             run = np.cumsum(~same[:, d]) - 1
             depth[np.bincount(run)[run] <= REGION] = d
         shared = np.where(same.any(axis=1), same.sum(axis=1) - 1, -1)  # values shared with the row before
-        a_out, b_out = [], []
-        low, at = shared.copy(), np.arange(m)
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at, low = np.arange(m), shared.copy()  # low: values that row `at` shares with the row `off` before it
         for off in range(1, REGION + 1):
-            if off > 1:
-                keep = at >= 1
-                at, low = at[keep], low[keep]
-            at_now = at[low >= MIN_DEPTH]
-            low = low[low >= MIN_DEPTH]
-            if not len(at_now):
+            some = (low >= MIN_DEPTH) & (at >= off)
+            at, low = at[some], low[some]
+            if not len(at):
                 break
-            first = at_now - 1 if off == 1 else first_of(at_now, off)
-            ok = first >= 0
-            at_now, low, first = at_now[ok], low[ok], first[ok]
-            deep = low >= np.maximum(depth[at_now], depth[first])
-            x, y = at_now[deep], first[deep]
-            close = (sig[x] == sig[y]).sum(axis=1) >= near
-            a_out.append(x[close])
-            b_out.append(y[close])
-            at, low = at_now, np.minimum(low, np.where(first >= 1, shared[first], -1))
-        a = np.concatenate(a_out) if a_out else np.zeros(0, int)
-        b = np.concatenate(b_out) if b_out else np.zeros(0, int)
+            deep = low >= np.maximum(depth[at], depth[at - off])
+            x = at[deep]
+            x = x[_equal(half[x], half[x - off]) >= near]
+            a_out.append(x)
+            b_out.append(x - off)
+            low = np.minimum(low, shared[at - off])
         # rows of one class in several trees are one node
-        node, back = np.unique(ids, return_inverse=True)
-        root = roots(len(node), back[a], back[b])
-        far = np.flatnonzero(root != np.arange(len(node)))
-        return node[far], node[root[far]]
-
-    def first_of(at: np.ndarray, off: int) -> np.ndarray:
-        return at - off
+        return forest(ids, np.concatenate(a_out), np.concatenate(b_out))
 
     return edges
 
 
-def _frame(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def fixed(column: pa.Array) -> np.ndarray:
-        column = column.cast(pa.large_binary())
-        at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-        return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A row of bytes for each value; all have one length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
+
+
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
-    return fixed(batch.column("key")), fixed(batch.column("sig")), batch.column("id").to_numpy(zero_copy_only=False)
+def _joined(parts: list[Rows]) -> Rows:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+class _Keys:
+    """Takes rows (key, half, id) in order of key, part by part. Gives the rows of each key that more than REGION rows share,
+    whole (False), and the rows, as they come, of the first and last key and of keys that more than LIMIT rows share (True)."""
+
+    def __init__(self):
+        self.held: list[Rows] = []  # the rows so far of the open key, unless they are passed on
+        self.passed, self.last = True, None
+
+    def _close(self) -> Iterator[tuple[bool, Rows]]:
+        if sum(len(x[2]) for x in self.held) > REGION:
+            yield False, _joined(self.held)
+        self.held, self.passed = [], False
+
+    def push(self, rows: Rows) -> Iterator[tuple[bool, Rows]]:
+        key = rows[0]
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        # keys that end in these rows and are shared by few are left out, but for the first
+        runs = [tuple(x[s:e].copy() for x in rows) for s, e in zip(cuts[:-1], cuts[1:]) if s == 0 or e == len(key) or e - s > REGION]
+        for k, run in enumerate(runs):
+            if k or self.last is not None and (key[0] != self.last).any():
+                yield from self._close()
+            if self.passed:
+                yield True, run
+                continue
+            self.held.append(run)
+            if sum(len(x[2]) for x in self.held) > LIMIT:
+                yield True, _joined(self.held)
+                self.held, self.passed = [], True
+        self.last = key[-1].copy()
+
+    def end(self) -> Iterator[tuple[bool, Rows]]:
+        if self.held:
+            yield True, _joined(self.held)
 
 
 def _walk(near: int, closed: bool):
-    """Edges of a partition's sorted rows; unless closed, also its first and last REGION rows, named by the border they lie at."""
-    edges = _neighbours(near)
+    """Edges of a partition's sorted rows. Unless closed, also its first and last REGION rows, named by the border they lie
+    at, and, with neither v nor border, the rows of keys that lie at a border or are shared by more than LIMIT rows."""
+    edges, agree = _neighbours(near), _agree(near)
 
-    def out(u, v, border=None, key=None, sig=None):
+    def out(u, v=None, border=None, key=None, half=None):
         n = len(u)
-        blank = lambda t: pa.nulls(n, t)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(u, pa.int64()), pa.array(v, pa.int64()) if v is not None else blank(pa.int64()), pa.array(border, pa.int32()) if border is not None else blank(pa.int32()), pa.array([x.tobytes() for x in key], pa.binary()) if key is not None else blank(pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()) if sig is not None else blank(pa.binary())],
-            names=["u", "v", "border", "key", "sig"],
-        )
+        blank = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+        binary = lambda x: None if x is None else [y.tobytes() for y in x]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), blank(v, pa.int64()), blank(border, pa.int32()), blank(binary(key), pa.binary()), blank(binary(half), pa.binary())], names=["u", "v", "border", "key", "half"])
+
+    def compared(parts: Iterator[tuple[bool, Rows]]) -> Iterator[pa.RecordBatch]:
+        for crowd, (key, half, ids) in parts:
+            yield out(ids, key=key, half=half) if crowd else out(*forest(ids, *links_within(half, agree)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, kept = TaskContext.get().partitionId(), None
+        here, kept, keys = TaskContext.get().partitionId(), None, _Keys()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _frame(batch)
-            if kept is None:
-                head = [x[:REGION] for x in rows]
-                if not closed:
-                    yield out(head[2], None, np.full(len(head[2]), here), head[0], head[1])
-            else:
-                rows = tuple(np.concatenate([a, b]) for a, b in zip(kept, rows))
-            u, v = edges(*rows)
-            yield out(u, v)
+            rows = new = _bytes(batch.column("key")), _bytes(batch.column("half")), batch.column("id").to_numpy(zero_copy_only=False)
+            if kept is not None:
+                rows = _joined([kept, new])
+            elif not closed:
+                head = [x[:REGION] for x in new]
+                yield out(head[2], border=np.full(len(head[2]), here), key=head[0], half=head[1])
+            yield out(*edges(*rows))
             kept = tuple(x[-2 * REGION :].copy() for x in rows)
+            if not closed:
+                yield from compared(keys.push(new))
         if kept is not None and not closed:
+            yield from compared(keys.end())
             tail = [x[-REGION:] for x in kept]
-            yield out(tail[2], None, np.full(len(tail[2]), here + 1), tail[0], tail[1])
+            yield out(tail[2], border=np.full(len(tail[2]), here + 1), key=tail[0], half=tail[1])
 
     return run
 
 
-def _sets(n: int, members):
-    """Whole shingle sets of the texts whose ids may be members."""
+def _member_texts(firsts, names):
+    """Lower-cased texts of the rows whose id and text may stand for a class that is a member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(members.value, np.uint8)
+        ids, texts = np.frombuffer(firsts.value, np.uint8), np.frombuffer(names.value, np.uint8)
         for batch in batches:
-            ids = batch.column(0)
-            batch = batch.filter(pa.array(holds(held, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)))
-            data, offsets = T.utf8(batch.column(1))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            known &= holds(ids, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)) & holds(texts, batch.column(1).to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(known))
+            data, offsets = T.utf8(batch.column(2))
             for i, j in T.slices(offsets):
-                part, bounds = T.lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
-                h, at = T.shingle_sets(part, bounds, n)
-                h = h.astype("<u8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["id", "payload"])
+                part, bounds = T.lowered(data[offsets[i] : offsets[j]]).tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([part[a:b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["first", "id", "payload"])
 
     return run
 
 
+def word_sets(n: int):
+    """Makes the sorted sets of n-word shingles of lower-cased texts."""
+
+    def sets(payloads: list[pa.Buffer]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        offsets = np.concatenate([[0], np.cumsum([x.size for x in payloads])])
+        for i, j in T.slices(offsets):
+            h, at = T.shingle_sets(np.frombuffer(b"".join(payloads[i:j]), np.uint8), offsets[i : j + 1] - offsets[i], n)
+            out += [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return out
+
+    return sets
+
+
 def linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i in a, j in b, i != j) of sets with den * intersection >= num * union."""
     size = np.array([len(s) for s in sets])
@@ -194,60 +259,6 @@ def linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, num: int, den:
     return a[x], b[y]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of a partition that is sorted by keys, each whole."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        if last is not None and tuple(c[0] for c in columns) != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            held.append(batch.slice(s, e - s))
-            if e < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def stored_sets(payloads: list[pa.Buffer]) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u8") for x in payloads]
-
-
-def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """As grouped(), but all groups that a batch completes in one table, with the bounds of each."""
-    held: list[pa.RecordBatch] = []
-
-    def bounds(table: pa.Table) -> np.ndarray:
-        columns = [table[k].to_numpy() for k in keys]
-        change = np.zeros(table.num_rows, dtype=bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        return np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        cuts = bounds(table)
-        if len(cuts) > 2:
-            yield table.slice(0, cuts[-2]), cuts[:-1]
-            held = table.slice(cuts[-2]).combine_chunks().to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        yield table, bounds(table)
-
-
 def _confirm(num: int, den: int, sets_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
@@ -280,7 +291,7 @@ def families(family: DataFrame) -> DataFrame:
     return member.join(member.groupBy("family").agg(F.count("*").alias("size")), "family")
 
 
-def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of=stored_sets) -> DataFrame:
+def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of) -> DataFrame:
     """(u, v) of a spanning forest of the links den * intersection >= num * union within each family, tile pair by tile pair.
 
     sets has (id, payload); sets_of makes sorted sets of distinct hashes of a list of payloads."""
@@ -291,36 +302,73 @@ def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of=st
     return tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(T.released(_confirm(num, den, sets_of)), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", name: str = "near") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: groups of texts whose n-word shingle
-    sets have Jaccard similarity >= num / den, chains included."""
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    words = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(words).alias("th"), words.alias("text"))
+
+
+def _classes(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_shingles, digest) of each row, th a hash of its text, and (digest, first, id, component, name) of each
+    class: the smallest id of its rows and the hash of that row's text, and the same of the class that names its group."""
     spark = docs.sparkSession
     store, many = Store(spark, name), tasks(spark)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = store.save(texts.mapInArrow(T.released(_signatures(n)), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
-    classes = store.save(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    texts = _texts(docs, doc_id, text)
+    signed = store.save(texts.mapInArrow(T.released(_signatures(n)), "doc_id long, th long, n_shingles long, digest binary, sig binary, half binary"), "signed")
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("sig").alias("sig"), F.first("half").alias("half"))
+    classes = store.save(classes.select("digest", F.col("first.doc_id").alias("first"), F.col("first.th").alias("id"), "sig", "half"), "classes")
 
     low = HASHES * num / den
     near = int(low - 5 * (low * (1 - num / den)) ** 0.5)
-    bytes_of = lambda at, k: F.expr(f"substring(sig, {at}, {k})")
-    small = F.concat(*(bytes_of(4 * k + 4, 1) for k in range(HASHES)))  # the last byte of each value
-    trees = F.array(*(F.concat(F.unhex(F.lit(f"{t:02x}")), bytes_of(4 * DEPTH * t + 1, 4 * DEPTH)) for t in range(TREES)))
-    rows = classes.select("id", small.alias("sig"), trees.alias("trees")).select("id", "sig", F.explode("trees").alias("key"))
+    trees = F.array(*(F.concat(F.unhex(F.lit(f"{t:02x}")), F.expr(f"substring(sig, {4 * DEPTH * t + 1}, {4 * DEPTH})")) for t in range(TREES)))
+    rows = classes.select("id", "half", trees.alias("trees")).select("id", "half", F.explode("trees").alias("key"))
     ordered = rows.repartitionByRange(many, "key", "id").sortWithinPartitions("key", "id")
-    kind = "u long, v long, border int, key binary, sig binary"
-    walked = store.save(ordered.select("key", "sig", "id").mapInArrow(T.released(_walk(near, False)), kind), "walked")
-    borders = walked.where("border is not null").select("border", "key", "sig", F.col("u").alias("id")).repartition(many, "border").sortWithinPartitions("key", "id")
-    edges = walked.where("v is not null").select("u", "v").union(borders.select("key", "sig", "id").mapInArrow(T.released(_walk(near, True)), kind).select("u", "v"))
-    family = components(edges, store, "family")
+    kind = "u long, v long, border int, key binary, half binary"
+    walked = store.save(ordered.select("key", "half", "id").mapInArrow(T.released(_walk(near, False)), kind), "walked")
+    borders = walked.where("border is not null").select("border", "key", "half", F.col("u").alias("id")).repartition(many, "border").sortWithinPartitions("border", "key", "id")
+    crowd = walked.where("v is null and border is null").select(F.col("key").alias("bucket"), F.col("u").alias("id"), F.col("half").alias("row"))
+    edges = walked.where("v is not null").select("u", "v").union(borders.select("key", "half", "id").mapInArrow(T.released(_walk(near, True)), kind).select("u", "v"))
+    family = components(edges.union(dealt(crowd, lambda t: _bytes(t["row"]), _agree(near))), store, "family")
     store.drop("walked")
 
-    member = store.save(families(family), "member")
-    members = spark.sparkContext.broadcast(bits(member, "id"))
-    links = confirmed(texts.mapInArrow(T.released(_sets(n, members)), "id long, payload binary"), member, num, den)
-    joined = components(links, store, "links")
-
-    named = classes.join(joined.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    member = store.save(families(family).join(classes.select("id", "first"), "id"), "member")
+    firsts, names = (spark.sparkContext.broadcast(bits(member, c)) for c in ("first", "id"))
+    found = texts.mapInArrow(T.released(_member_texts(firsts, names)), "first long, id long, payload binary")
+    found = found.join(member.select("first", "id"), ["first", "id"], "left_semi").select("id", "payload")
+    joined = components(confirmed(found, member.drop("first"), num, den, word_sets(n)), store, "links")
+    group = families(joined).select("id", F.col("family").alias("root"))
+    group = group.join(classes.select("id", "first"), "id")
+    leader = group.groupBy("root").agg(F.min(F.struct("first", "id")).alias("leader"))
+    group = group.join(leader, "root").select("id", "leader")
+    named = classes.select("digest", "first", "id").join(group, "id", "left").select("digest", "first", "id", F.coalesce("leader.first", "first").alias("component"), F.coalesce("leader.id", "id").alias("name"))
     named = store.save(named, "named")
+    store.drop("classes")
+    store.drop("member")
+    return signed.select("doc_id", "th", "n_shingles", "digest"), named
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", name: str = "near") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: groups of texts whose n-word shingle
+    sets have Jaccard similarity >= num / den, chains included."""
+    signed, named = _classes(docs, n, num, den, doc_id, text, name)
     out = signed.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def unique(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", name: str = "unique") -> DataFrame:
+    """The rows, one of each group: that of the smallest id, then of the smallest hash of its text.
+
+    Decided row by row: rows that repeat an id with unlike texts don't stand for one another; of rows that repeat id
+    and text, one stays. Rows without an id or without a word stay."""
+    spark = docs.sparkSession
+    signed, named = _classes(docs, n, num, den, doc_id, text, name)
+    rows = signed.where("digest is not null and doc_id is not null").groupBy("doc_id", "th", "digest").agg(F.count("*").alias("n")).join(named, "digest")
+    stays = (F.col("doc_id") == F.col("component")) & (F.col("th") == F.col("name"))
+    decided = rows.where(~stays | (F.col("n") > 1)).select("doc_id", "th", stays.alias("stays"))
+    decided = Store(spark, name).save(decided, "decided")
+    # the caller's columns are one column of the joins, so that none clashes
+    whole = _texts(docs, doc_id, text).drop("text").schema
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias(whole[0].name), F.xxhash64(F.col(text).cast("string")).alias(whole[1].name))
+    alone = packed.join(decided.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
+    first = packed.join(decided.where("stays").select("doc_id", "th"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    return alone.union(first.select(alone.columns)).select("row.*")
