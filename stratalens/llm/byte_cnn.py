@@ -2,13 +2,13 @@
 
 Bytes are embedded; filters of several widths slide over windows of WINDOW bytes; each
 filter's largest response goes to a softmax layer. The network is trained in numpy, by Adam
-on cross-entropy, on windows of at most SAMPLE labelled texts (the smallest hashes of their
-text and id). Prediction covers every byte of a text: its windows' log-probabilities, weighted by
+on cross-entropy, on all windows of at most SAMPLE labelled texts (the smallest hashes of their
+text and id), whole, in at least LEAST_STEPS steps. Prediction covers every byte of a text: its windows' log-probabilities, weighted by
 their lengths, are averaged.
 
 A null text or one without a letter is `und` with score 0. Without any labelled text the
 model has no language and every text is `und`. Labels that are null are not learned from.
-Repeated rows and extra columns change nothing."""
+Repeated rows and extra columns change nothing; columns named lang_pred and score are replaced."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from . import textbatch as T
 
 WINDOW = 256
 SAMPLE = 3000
-EMBED, FILTERS, WIDTHS, EPOCHS, BATCH, WINDOWS_A_TEXT, RATE, SEED = 6, 8, (2, 3, 4), 6, 64, 4, 0.01, 7
+EMBED, FILTERS, WIDTHS, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 6, 8, (2, 3, 4), 1, 1000, 64, 0.01, 7
 CHUNK = 1024
 SPAN = max(WIDTHS)
 
@@ -73,13 +73,10 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
         return None
     rng = np.random.Generator(np.random.PCG64(SEED))
     data, offsets = T.utf8(pa.array(texts, pa.large_string()))
-    x, owner, length = cut(data, offsets)
-    y = np.array([languages.index(l) for l in labels])[owner]
-    # some windows of each text, its whole ones first
-    order = np.lexsort((rng.random(len(owner)), length < WINDOW // 2, owner))
-    rank = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
-    take = order[rank < WINDOWS_A_TEXT]
-    x, y = x[take], y[take]
+    answer = np.array([languages.index(l) for l in labels])
+    parts = [(i, *cut(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[:2]) for i, j in T.slices(offsets)]
+    x = np.concatenate([p[1] for p in parts])
+    y = answer[np.concatenate([p[0] + p[2] for p in parts])]
     m = FILTERS * len(WIDTHS)
     mask = np.zeros((SPAN, EMBED, m), np.float32)
     for k, w in enumerate(WIDTHS):
@@ -90,7 +87,7 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(x), 1)))):
         turn = rng.permutation(len(x))
         for i in range(0, len(turn), BATCH):
             xb, yb = x[turn[i : i + BATCH]], y[turn[i : i + BATCH]]
@@ -133,10 +130,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     share = min(1.0, 4 * sample / max(labelled.count(), 1))
     key = F.xxhash64(F.col(doc_id).cast("string"), text)
     labelled = labelled.where((F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col(text).rlike(r"\p{L}"))
-    # of each text in the sample one passage is learned from, at a hashed place; prediction reads whole texts
-    size = WINDOWS_A_TEXT * WINDOW
-    place = F.pmod(F.xxhash64(key), F.greatest(F.length(text) - size, F.lit(1))).cast("int") + 1
-    few = labelled.select(key.alias("k"), F.substring(F.col(text), place, F.lit(size)).alias("t"), F.col(lang).alias("l")).orderBy("k", "t", "l").limit(sample)
+    few = labelled.select(key.alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).orderBy("k", "t", "l").limit(sample)
     rows = sorted((r.k, r.t, r.l) for r in few.collect())
     return train([r[1] for r in rows], [r[2] for r in rows])
 
@@ -170,5 +164,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         T.release()
 
     judge = F.arrow_udf(run, "struct<lang_pred:string,score:double>")
-    out = docs.withColumn("_judged", judge(F.when(letter, F.col(text))))
-    return out.withColumn("lang_pred", F.when(letter, F.col("_judged.lang_pred")).otherwise("und")).withColumn("score", F.when(letter, F.col("_judged.score")).otherwise(0.0)).drop("_judged")
+    # the caller's columns are one column, so that none clashes
+    out = docs.select(F.struct(*docs.columns).alias("row"), letter.alias("letter"), judge(F.when(letter, F.col(text))).alias("judged"))
+    return out.select("row.*", F.when(F.col("letter"), F.col("judged.lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), F.col("judged.score")).otherwise(0.0).alias("score"))

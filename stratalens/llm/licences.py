@@ -7,26 +7,41 @@ are the digests of its lines that name a licence, as short notices stand on line
 
 A null or empty text, or one without letters or digits, matches nothing; its digest is
 that of the empty text. Every row of the table keeps one row, repeated ones too. The known
-licences are a table of fixed size in this module, the only side that may be broadcast."""
+licences (files of licence_texts, their variants and the notices below) are a table of fixed size, the only side
+that may be broadcast."""
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Well-known licence texts and notices, without their copyright lines.
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-LICENCES: list[tuple[str, str]] = [
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n" + _MIT),
-    ("MIT", "The MIT License (MIT)\n" + _MIT),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n" + _ISC),
-    ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")),
+_BULLET = re.compile(r"(?m)^[ \t]*[0-9]+\.[ \t]+")
+
+
+def _texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the files in licence_texts, which hold public texts as their authors publish them, without
+    copyright lines, and of their usual variants: with a title or a reserve of rights, with bullets for numbers, and
+    the licences that are another's with clauses left out."""
+    texts = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name)}
+    bsd3 = texts["BSD-3-Clause"]
+    texts["BSD-2-Clause"] = bsd3[: bsd3.index("3. Neither")] + bsd3[bsd3.index("THIS SOFTWARE") :]
+    texts["0BSD"] = texts["ISC"].replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+    texts["MIT-0"] = texts["MIT"].replace(", subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")
+    out = [*texts.items()]
+    titles = {"MIT": ("MIT License", "The MIT License (MIT)", "The MIT License"), "MIT-0": ("MIT No Attribution",), "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "Zlib": ("zlib License", "The zlib/libpng License")}
+    out += [(i, f"{title}\n{texts[i]}") for i, names in titles.items() for title in names]
+    for i, text in out[:]:
+        if i.startswith("BSD"):
+            first = text.index("Redistribution")
+            out.append((i, f"{text[:first]}All rights reserved.\n{text[first:]}"))
+    return out + [(i, _BULLET.sub("* ", text)) for i, text in out if i.startswith("BSD")]
+
+
+#: Notices that stand on a line of their own.
+NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
@@ -39,9 +54,11 @@ LICENCES: list[tuple[str, str]] = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+LICENCES = _texts() + NOTICES
 #: Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("version 2 0", "2 0"), ("http", "https"), ("httpss", "https")]
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A line that starts by (c) and a year, or by the word copyright before (c), a year or a place for one.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t:]*(\(c\)|©|[0-9<\[{])|(\(c\)|©)[ \t]*[0-9])[^\n]*"
 NOTICE = "licen|spdx"
 
 

@@ -50,7 +50,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.sizes(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
+    shards = F.array_join(F.transform("copies", lambda c: F.concat_ws(":", c["shard"], c["place"])), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"), shards.alias("copies"))
 
 
 #: The rules of the URL filter.

@@ -29,7 +29,7 @@ HEX = r"[0-9a-f]{32,}"
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "random")
 
-LEAST, RATE, BINS, TENTHS = 20, 0.05, 1000, 20
+LEAST, RATE, BINS, TENTHS, CHUNK = 20, 0.05, 1000, 20, 256
 RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPAN = "array<struct<start:bigint,end:bigint,found:string>>"
@@ -41,7 +41,7 @@ def _spans(text: Column, pattern: str, kept=None) -> Column:
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(kept[0])) if kept else found
     pieces = F.arrays_zip(gaps.alias("gap"), found.alias("found"), inner.alias("inner"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + F.length(x["gap"])
@@ -50,7 +50,15 @@ def _spans(text: Column, pattern: str, kept=None) -> Column:
         fails = x["found"].isNull() | (F.length(x["inner"]) < (kept[1] if kept else 0))
         return F.struct(end.cast("bigint").alias("at"), F.when(fails, s["out"]).otherwise(F.concat(s["out"], F.array(span))).alias("out"))
 
-    return F.aggregate(pieces, start, step)["out"]
+    # spans are appended within chunks and chunks to one another, as an append copies what it appends to
+    def chunk(s: Column, c: Column) -> Column:
+        return F.aggregate(c, F.struct(s["at"].alias("at"), none.alias("out")), step, lambda t: F.struct(t["at"].alias("at"), F.concat(s["out"], F.array(t["out"])).alias("out")))
+
+    def chunks(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda k: F.slice(p, k * CHUNK + 1, F.lit(CHUNK)))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.flatten(F.aggregate(_bind(pieces, chunks), start, chunk)["out"])
 
 
 def _where(test: Column, spans: Column) -> Column:

@@ -14,20 +14,22 @@ the sources are a multivariate hypergeometric draw, and add up exactly. Each sha
 All draws are hashes of the seed, so reruns agree. A null text, or one without words, has
 size 0; a null source is a source. Rows that are equal in all of id, source and text are
 taken alike. An empty table has an empty mix. Columns named size, source_size, target
-and copies are replaced; others are kept. Windows run over the blocks of one source, a
-fixed number, over the documents of one block, and in the tree over a ticket for each
-block taken: at most 2 * BLOCKS for each source, however many documents there are."""
+and copies are replaced; others are kept, whatever their names. Windows run over the blocks of one source, a
+fixed number, over one of PARTS hashed parts of the cut block's documents, and in the tree over one of PARTS
+hashed parts of a node's tickets, of which there are at most 2 * BLOCKS for each source, however many documents there are.
+The table of blocks (a row for each source and block) is counted, and broadcast up to
+BROADCAST_ROWS rows; beyond, it is joined by shuffle, with equal results."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Store
+from .store import Store, tasks
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
-BLOCKS, LEVELS, SEED = 1024, 6, 17
-BROADCAST_ROWS = 200_000
+BLOCKS, LEVELS, SEED, PARTS = 1024, 6, 17, 4096
+BROADCAST_ROWS, RUNS = 200_000, 16
 
 
 def n_words(text: str) -> Column:
@@ -36,11 +38,12 @@ def n_words(text: str) -> Column:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    docs = docs.drop("size", "source_size", "target", "copies", "_h", "_src", "_block")
+    """The rows' columns as one, row, so that none clashes, and their size, hash, source and block."""
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     h = F.xxhash64(F.lit(SEED), F.col(doc_id), F.col(source), F.col(text))
     # a null source is a key of its own: no other key is empty
     src = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    return docs.select("*", n_words(text).alias("size"), h.alias("_h"), src.alias("_src"), F.pmod(h, F.lit(BLOCKS)).cast("int").alias("_block"))
+    return docs.select(F.struct(*kept).alias("row"), n_words(text).alias("size"), h.alias("_h"), src.alias("_src"), F.pmod(h, F.lit(BLOCKS)).cast("int").alias("_block"))
 
 
 def targets(blocks: DataFrame) -> DataFrame:
@@ -60,18 +63,29 @@ def targets(blocks: DataFrame) -> DataFrame:
     return per.select("_src", "ordinal", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def shard_quotas(quota: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(ordinal, shard, n): the splitting tree over (ordinal, n).
+def _part(h: Column) -> Column:
+    """One of PARTS ranges of a hash, in order."""
+    return F.shiftright(h, 64 - (PARTS - 1).bit_length()).cast("int")
+
+
+def shard_quotas(quota: DataFrame, store: Store, levels: int = LEVELS) -> DataFrame:
+    """(ordinal, shard, n): the splitting tree over (ordinal, n), n blocks of each source.
 
     A node holds a ticket for each block of its quotas. Its left child gets half of them, those of the
-    smallest hashes: a uniform choice, so each source's share is multivariate hypergeometric."""
+    smallest hashes: a uniform choice, so each source's share is multivariate hypergeometric. A ticket's turn in its
+    node is its turn in a hashed part of the node, after the tickets of the parts before."""
     tree = quota.select("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("ticket")).withColumn("node", F.lit(0))
     for level in range(levels):
-        inside = Window.partitionBy("node")
-        turn = F.row_number().over(inside.orderBy(F.xxhash64(F.lit(SEED), F.lit(level), "node", "ordinal", "ticket"), "ordinal", "ticket"))
-        half = F.floor((F.count("*").over(inside) + F.col("node") % 2) / 2)
-        tree = tree.select("ordinal", "ticket", (2 * F.col("node") + F.when(turn > half, 1).otherwise(0)).alias("node"))
-    return tree.groupBy("ordinal", F.col("node").alias("shard")).agg(F.count("*").alias("n"))
+        h = F.xxhash64(F.lit(SEED), F.lit(level), "node", "ordinal", "ticket")
+        tree = store.save(tree.withColumn("h", h).withColumn("part", _part(F.col("h"))), f"tree{level}")
+        node = Window.partitionBy("node")
+        parts = tree.groupBy("node", "part").agg(F.count("*").alias("n"))
+        half = F.floor((F.sum("n").over(node) + F.col("node") % 2) / 2)
+        before = F.sum("n").over(node.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        parts = parts.select("node", "part", (half - before).alias("left"))
+        turn = F.row_number().over(Window.partitionBy("node", "part").orderBy("h", "ordinal", "ticket"))
+        tree = tree.join(parts, ["node", "part"]).select("ordinal", "ticket", (2 * F.col("node") + F.when(turn > F.col("left"), 1).otherwise(0)).alias("node"))
+    return store.save(tree.groupBy("ordinal", F.col("node").alias("shard")).agg(F.count("*").alias("n")), "quotas")
 
 
 def plan(rows: DataFrame, store: Store, levels: int = LEVELS) -> DataFrame:
@@ -89,13 +103,17 @@ def plan(rows: DataFrame, store: Store, levels: int = LEVELS) -> DataFrame:
     each = each.withColumn("index", F.row_number().over(Window.partitionBy("_src").orderBy("pass", "order", "_block")).cast("long"))
     each = store.save(each, "each")
 
-    quotas = shard_quotas(each.groupBy("ordinal").agg(F.count("*").alias("n")), levels)
+    quotas = shard_quotas(each.groupBy("ordinal").agg(F.count("*").alias("n")), store, levels)
     upto = F.sum("n").over(Window.partitionBy("ordinal").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     runs = quotas.withColumn("upto", upto).select("ordinal", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("index"))
     each = each.join(runs, ["ordinal", "index"])
 
     reached = each.where("open is not null").select("_src", "_block", "open")
-    inside = rows.join(reached, ["_src", "_block"]).withColumn("upto", F.sum("size").over(Window.partitionBy("_src").orderBy("_h").rangeBetween(Window.unboundedPreceding, 0)))
+    inside = store.save(rows.join(F.broadcast(reached) if sources.count() <= BROADCAST_ROWS else reached, ["_src", "_block"]).withColumn("part", _part(F.col("_h"))), "inside")
+    parts = inside.groupBy("_src", "_block", "part").agg(F.sum("size").alias("words"))
+    parts = parts.withColumn("before", F.sum("words").over(Window.partitionBy("_src", "_block").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("_src", "_block", "part").orderBy("_h").rangeBetween(Window.unboundedPreceding, 0))
+    inside = inside.join(parts.drop("words"), ["_src", "_block", "part"]).withColumn("upto", upto)
     cut = inside.where(F.col("upto") - F.col("size") / 2 <= F.col("open")).groupBy("_src", "_block").agg(F.max("_h").alias("cut"))
     taken = each.groupBy("_src", "_block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("taken"), F.max(F.when(F.col("open").isNotNull(), F.col("pass"))).alias("partial"))
     whole = blocks.select("_src", "_block").join(sources.select("_src", "source_size", "target"), "_src")
@@ -116,11 +134,21 @@ def mix(docs: DataFrame, levels: int = LEVELS, doc_id: str = "doc_id", text: str
     store = Store(docs.sparkSession, "mix")
     keyed = _keyed(docs, doc_id, text, source)
     narrow = store.save(keyed.select("_src", "_block", "_h", "size"), "rows")
-    return _decided(keyed, plan(narrow, store, levels)).select(*docs.drop("size", "source_size", "target", "copies").columns, "size", "source_size", "target", "copies")
+    return _decided(keyed, plan(narrow, store, levels)).select("row.*", "size", "source_size", "target", "copies")
 
 
 def sizes(docs: DataFrame, levels: int = LEVELS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """As mix(), without other columns than the id; reads the texts once."""
     store = Store(docs.sparkSession, "mix")
-    narrow = store.save(_keyed(docs, doc_id, text, source).select(F.col(doc_id).alias("doc_id"), "_src", "_block", "_h", "size"), "rows")
+    keyed = _keyed(docs.select(doc_id, text, source), doc_id, text, source)
+    narrow = store.save(keyed.select(F.col(f"row.{doc_id}").alias("doc_id"), "_src", "_block", "_h", "size"), "rows")
     return _decided(narrow, plan(narrow, store, levels)).select("doc_id", "size", "source_size", "target", "copies")
+
+
+def shards(mixed: DataFrame) -> DataFrame:
+    """The rows of mix(), one for each copy, dealt out by shard and shuffled within: a shard lies in RUNS runs of its order,
+    each in one partition. The columns that mix() adds go."""
+    rows = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies")]
+    each = mixed.select(F.struct(*rows).alias("row"), F.explode("copies").alias("copy"))
+    run = F.shiftright("copy.place", 64 - (RUNS - 1).bit_length())
+    return each.repartition(tasks(mixed.sparkSession), "copy.shard", run).sortWithinPartitions("copy.shard", "copy.place").select("row.*")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 
@@ -13,16 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="stratalens-")
+
+
 class Store:
-    """A folder of Parquet tables below spark.checkpoint.dir.
+    """A folder of Parquet tables below spark.checkpoint.dir, which is emptied by whoever set it.
 
-    Where that is unset (local tests), a temporary folder of this machine is set as checkpoint folder."""
+    Where that is unset, a temporary folder, but only if everything runs on this machine; a cluster needs the setting."""
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
-            base = tempfile.mkdtemp(prefix="stratalens-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            base = _local()
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Rules of a host and a path prefix give the verdict where one fits; the longest wins.
 Elsewhere a boosted ensemble of histogram trees, fitted in numpy by logistic loss, judges
 the URL by its length, depth, digit ratio, entropy, parameter counts and the statistics of
-its host's suffixes (how often, and how often blocked, over every labelled URL). It learns
-from at most SAMPLE labelled URLs, the smallest hashes; suffix statistics are in BUCKETS hashed
-counters, a fixed size, so a very common host is only a counter.
+its host's suffixes: how often, and how often blocked, over every labelled URL of other folds. Folds go by the
+URL's hash, so that neither a URL's own label nor that of its copies is among its features. The statistics are
+aggregated by suffix first; those of suffixes that hold HOT of all URLs or more, at most 1 / HOT of them, are broadcast,
+the others joined by shuffle. The trees learn from at most SAMPLE labelled URLs, whole, the smallest hashes.
 
 A URL that is null or lacks `://` has an empty host and path, fits no rule and has
 features of its parts as they are. With no labelled URL, or labels of one kind, every other URL gets
@@ -21,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, BUCKETS, DEFAULT = 20_000, 4096, "allow"
+from .store import Store
+
+SAMPLE, DEFAULT, FOLDS, HOT = 20_000, "allow", 5, 1e-3
 TREES, DEPTH, RATE, LEAST, RIDGE, CUTS = 40, 3, 0.2, 5, 1.0, 32
 FEATURES = ("length", "host_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "hyphens", "longest_label", "top_count", "top_share", "site_count", "site_share", "secure")
 
@@ -43,17 +46,10 @@ def match(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
-def _suffixes(host: Column) -> tuple[Column, Column]:
-    """Buckets of the host's last label, and of its last two."""
-    bucket = lambda s: F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")
-    return bucket(F.substring_index(host, ".", -1)), bucket(F.substring_index(host, ".", -2))
-
-
 @dataclass
 class Model:
     start: float
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    suffixes: np.ndarray  # BUCKETS rows: count and blocked of last labels, and of last two
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
@@ -72,8 +68,8 @@ def _entropy(s: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def features(urls: list[str | None], hosts: list[str], paths: list[str], top: np.ndarray, site: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-    """One row of FEATURES for each URL."""
+def features(urls: list[str | None], hosts: list[str], paths: list[str], top: np.ndarray, site: np.ndarray) -> np.ndarray:
+    """One row of FEATURES for each URL; top and site have the count and the blocked count of its suffixes, a row for each."""
     digits = lambda s: sum(c.isdigit() for c in s) / max(len(s), 1)
     rows = []
     for u, h, p in zip(urls, hosts, paths):
@@ -81,7 +77,8 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], top: np
         query = u.partition("?")[2].partition("#")[0]
         rows.append((len(u), len(h), h.count(".") + bool(h), sum(map(bool, p.split("/"))), digits(u), digits(h), _entropy(u), _entropy(h), sum(map(bool, query.split("&"))), h.count("-") + p.count("-"), max(map(len, h.split("."))), 0, 0, 0, 0, u[:8].lower() == "https://"))
     x = np.array(rows, float).reshape(len(rows), len(FEATURES))
-    for at, count, blocked in ((11, suffixes[top, 0], suffixes[top, 1]), (13, suffixes[site, 2], suffixes[site, 3])):
+    for at, suffix in ((11, top), (13, site)):
+        count, blocked = np.asarray(suffix, float).reshape(len(rows), 2).T
         x[:, at], x[:, at + 1] = np.log1p(count), (blocked + 0.5) / (count + 1)
     return x
 
@@ -119,41 +116,81 @@ def train(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[np.ndarray, n
     return start, trees
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | str:
-    """labelled: url, host, path, top, site and blocked (boolean). A model, or the verdict that all get."""
-    counts = np.zeros((BUCKETS, 4))
-    for k, column in ((0, "top"), (2, "site")):
-        for r in labelled.groupBy(column).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("b")).collect():  # at most BUCKETS rows
-            counts[r[column], k : k + 2] = r["n"], r["b"]
-    n, b = counts[:, 0].sum(), counts[:, 1].sum()
-    if n == 0 or b in (0, n):
-        return DEFAULT if n == 0 else "block" if b else "allow"
-    share = min(1.0, 4 * sample / n)
+def _attached(rows: DataFrame, store: Store, total: int) -> DataFrame:
+    """rows with top and site replaced by (count, blocked) of these suffixes over the labelled rows of other folds."""
+    out = rows
+    for key in ("top", "site"):
+        one = lambda k, c: F.count(F.when((F.col("fold") == k) & c, 1))
+        blocked, known = F.col("blocked"), F.col("blocked").isNotNull()
+        counts = rows.groupBy(key).agg(F.count("*").alias("rows"), F.array(*(F.struct(one(k, known).alias("n"), one(k, blocked).alias("b")) for k in range(FOLDS))).alias("in"))
+        every = lambda f: F.aggregate("in", F.lit(0).cast("long"), lambda s, x: s + x[f])
+        others = F.transform("in", lambda x: F.array(every("n") - x["n"], every("b") - x["b"]))
+        counts = store.save(counts.select(key, "rows", others.alias("others")), key)
+        hot = F.broadcast(counts.where(F.col("rows") >= HOT * total).drop("rows"))
+        cold = out.join(hot, key, "left_anti").join(counts.where(F.col("rows") < HOT * total).drop("rows"), key)
+        out = out.join(hot, key).unionByName(cold).withColumn(key, F.get("others", F.col("fold"))).drop("others")
+    return out
+
+
+def _sampled(known: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, answers (1: blocked) and folds of at most `sample` labelled rows."""
+    share = min(1.0, 4 * sample / max(known.count(), 1))
     key = F.xxhash64("url")
-    few = labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select(key.alias("key"), "url", "host", "path", "top", "site", "blocked")
+    few = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select(key.alias("key"), "url", "host", "path", "top", "site", "blocked", "fold")
     rows = sorted(map(tuple, few.orderBy("key", "url").limit(sample).collect()))
-    _, url, host, path, top, site, blocked = map(list, zip(*rows))
-    x, y = features(url, host, path, np.array(top), np.array(site), counts), np.array(blocked, float)
-    return Model(*train(x, y), counts)
+    _, url, host, path, top, site, blocked, fold = map(list, zip(*rows))
+    return features(url, host, path, np.array(top), np.array(site)), np.array(blocked, float), np.array(fold)
+
+
+def fit(known: DataFrame, sample: int = SAMPLE) -> Model | str:
+    """known has url, host, path, top, site, blocked (boolean) and fold. A model, or the verdict that all get."""
+    seen = {r["blocked"] for r in known.groupBy("blocked").count().collect()}
+    if len(seen) < 2:
+        return DEFAULT if not seen else "block" if seen.pop() else "allow"
+    x, y, _ = _sampled(known, sample)
+    return Model(*train(x, y))
+
+
+def auc(answers: np.ndarray, scores: np.ndarray) -> float:
+    """The share of pairs of a blocked and an allowed URL in which the blocked one scores higher, ties by half."""
+    values, back = np.unique(scores, return_inverse=True)
+    yes, no = (np.bincount(back, answers == k, len(values)) for k in (1, 0))
+    return float((yes * (np.cumsum(no) - no / 2)).sum() / (yes.sum() * no.sum()))
+
+
+def held_out_auc(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", labelled: DataFrame | None = None, sample: int = SAMPLE) -> float:
+    """How well trees fitted on the sample's other folds tell its first fold's labels."""
+    rows = _parsed(pages, rules, "url" if labelled is not None else url, url, labelled)
+    store = Store(pages.sparkSession, "urls")
+    rows = store.save(rows, "rows")
+    x, y, fold = _sampled(_attached(rows, store, rows.count()).where("blocked is not null"), sample)
+    model = Model(*train(x[fold > 0], y[fold > 0]))
+    return auc(y[fold == 0], model.odds(x[fold == 0]))
+
+
+def _parsed(pages: DataFrame, rules: list[tuple[str, str]], page_id: str, url: str, labelled: DataFrame | None) -> DataFrame:
+    """page_id, url, host, path, rule, verdict, top, site, fold, blocked and page of pages, and of the labelled URLs (page: false)."""
+    rows = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).cast("string").alias("url"), F.lit(None).cast("boolean").alias("blocked"), F.lit(True).alias("page"))
+    if labelled is not None:
+        more = labelled.where("url is not null and blocked is not null")
+        rows = rows.union(more.select(F.lit(None).cast("string"), F.col("url").cast("string"), F.col("blocked").cast("boolean"), F.lit(False)))
+    host, path = split_url(F.col("url"))
+    rule, verdict = match(F.col("host"), F.col("path"), rules)
+    rows = rows.select("*", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("verdict"))
+    if labelled is None:
+        rows = rows.withColumn("blocked", F.col("verdict") == "block")
+    fold = F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(FOLDS)).cast("int")
+    return rows.select("*", F.substring_index("host", ".", -1).alias("top"), F.substring_index("host", ".", -2).alias("site"), fold.alias("fold"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url", labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of each URL. labelled has url and blocked; without it the
     URLs that rules decide are the labelled ones. score is the model's probability of block, also where a rule decides."""
-
-    def parsed(df: DataFrame, *more: Column) -> DataFrame:
-        host, path = split_url(F.col("url"))
-        df = df.select("*", host.alias("host"), path.alias("path"))
-        top, site = _suffixes(F.col("host"))
-        return df.select("*", top.alias("top"), site.alias("site"), *more)
-
-    rule, verdict = match(F.col("host"), F.col("path"), rules)
-    rows = parsed(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url")), rule.alias("rule"), verdict.alias("verdict"))
-    if labelled is None:
-        known = rows.where("verdict is not null").withColumn("blocked", F.col("verdict") == "block")
-    else:
-        known = parsed(labelled.where("url is not null and blocked is not null").select("url", "blocked"))
-    model = fit(known)
+    store = Store(pages.sparkSession, "urls")
+    rows = store.save(_parsed(pages, rules, page_id, url, labelled), "rows")
+    rows = store.save(_attached(rows, store, rows.count()), "attached")
+    model = fit(rows.where("blocked is not null"))
+    rows = rows.where("page").withColumn("page_id", F.col("page_id").cast("long"))
     if isinstance(model, str):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(model)).alias("verdict"), F.lit(float(model == "block")).alias("score"))
     shared = rows.sparkSession.sparkContext.broadcast(model)  # a fixed size
@@ -161,7 +198,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         net = shared.value
         for u, h, p, top, site in batches:
-            x = features(u.to_pylist(), h.to_pylist(), p.to_pylist(), top.to_numpy(), site.to_numpy(), net.suffixes)
+            x = features(u.to_pylist(), h.to_pylist(), p.to_pylist(), top.flatten().to_numpy(), site.flatten().to_numpy())
             yield pa.array(1 / (1 + np.exp(-net.odds(x))))
 
     score = F.arrow_udf(run, "double")("url", "host", "path", "top", "site")

@@ -78,4 +78,7 @@ def test_vectors(spark):
     by = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got}
     assert by[1] == (3, 1, True) and by[2] == (3, 1, False) and by[None] == (3, 1, False)
     assert all(by[k] == (0, k, True) for k in range(3, 10))
+    far = [(1, [1e200, 0.0], 1, 5), (2, [1e200, 0.0], 1, 5), (3, [1e-200, 0.0], 1, 5), (4, [3e-320, 3e-322], 1, 5), (5, [1e308, 1e308], 1, 5)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(far, "vec_id long, embedding array<double>, label int, id int").withColumn("copies", F.lit("x"))).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []

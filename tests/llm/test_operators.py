@@ -136,7 +136,7 @@ def test_boosting():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(U.FEATURES)))
     y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
-    model = U.Model(*U.train(x[:2000], y[:2000]), np.zeros((1, 4)))
+    model = U.Model(*U.train(x[:2000], y[:2000]))
     assert ((model.odds(x[2000:]) > 0) == y[2000:]).mean() > 0.95
 
 
