@@ -71,3 +71,34 @@ def rows(bank: np.ndarray) -> list[tuple[int, int, int, int, float]]:
 
 def frame(spark: SparkSession, bank: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows(bank), BANK)
+
+
+def array(bank: DataFrame) -> np.ndarray:
+    """The bank of a table of rows, (kernel, band, y, x)."""
+    held = bank.collect()  # a bank is small
+    out = np.zeros(tuple(1 + max(r[c] for r in held) for c in ("kernel", "band", "ky", "kx")))
+    for r in held:
+        out[r["kernel"], r["band"], r["ky"], r["kx"]] = r["w"]
+    return out
+
+
+def gabor_fill(sigma: float, theta: float, phi: float, gamma: float, wavelength: float, height: int, width: int) -> np.ndarray:
+    """A Gabor function on a grid whose centre is half its sides."""
+    y, x = np.mgrid[:height, :width].astype(float)
+    y, x = y - height / 2, x - width / 2
+    across, along = x * np.cos(theta) + y * np.sin(theta), y * np.cos(theta) - x * np.sin(theta)
+    return np.exp(-(across**2 + gamma**2 * along**2) / (2 * sigma**2)) * np.sin(phi + 2 * np.pi * across / wavelength)
+
+
+def orientation_line(orientation: int, orientations: int = 8, kwidth: int = 11, shifted: bool = False) -> np.ndarray:
+    """A line through the centre in the direction of an orientation's stripes, 1 on 0."""
+    if not 0 <= orientation < orientations:
+        raise ValueError("no such orientation")
+    theta, half = np.pi / orientations * (orientation + 0.5 * shifted), kwidth // 2
+    steps = np.arange(-half, half + 1)
+    flat = abs(np.cos(theta)) >= abs(np.sin(theta))
+    slope = np.tan(theta) if flat else 1 / np.tan(theta)
+    other = np.clip(np.rint(steps * slope).astype(int) + half, 0, kwidth - 1)
+    out = np.zeros((kwidth, kwidth))
+    out[(steps + half, other) if flat else (other, steps + half)] = 1
+    return out

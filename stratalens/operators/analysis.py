@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,17 @@ def histogram_features(cells: DataFrame, bins: int, low: float = 0.0, high: floa
     """Counts by image, band and bin over all scales and places; the last bin is closed, empty bins are 0."""
     if bins < 1:
         raise ValueError("a number of bins is needed")
-    at = F.floor((F.col("v") - low) / (high - low) * bins).cast("int")
-    binned = cells.where((F.col("v") >= low) & (F.col("v") <= high)).select("image_id", "band", F.least(at, F.lit(bins - 1)).alias("bin"))
-    counts = binned.groupBy("image_id", "band", "bin").agg(F.count("*").alias("n"))
-    grid = cells.select("image_id", "band").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(counts, ["image_id", "band", "bin"], "left").select("image_id", "band", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    inside = (F.col("v") >= low) & (F.col("v") <= high)
+    at = F.when(inside, F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1)).cast("int"))
+    counts = cells.withColumn("_at", at).groupBy("image_id", "band").agg(*(F.count(F.when(F.col("_at") == k, 1)).alias(f"_{k}") for k in range(bins)))
+    return counts.select("image_id", "band", F.posexplode(F.array(*(f"_{k}" for k in range(bins)))).alias("bin", "n"))
+
+
+def histogram_vectors(cells: DataFrame, bins: int, low: float = 0.0, high: float = 0.2) -> DataFrame:
+    """(image_id, features): the counts of histogram_features() in order of band and bin, as a feature vector."""
+    counts = histogram_features(cells, bins, low, high)
+    ordered = F.array_sort(F.collect_list(F.struct("band", "bin", "n")))
+    return counts.groupBy("image_id").agg(F.transform(ordered, lambda c: c["n"].cast("double")).alias("features"))
 
 
 def quantile(values: Column, p: float, alpha: float = 0.4) -> Column:
@@ -60,6 +68,33 @@ def arg_max(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_top", F.max("v").over(Window.partitionBy("image_id"))).where("v = _top").drop("_top")
 
 
+def arg_min(cells: DataFrame) -> DataFrame:
+    """Every cell that attains its image's minimum."""
+    return cells.withColumn("_low", F.min("v").over(Window.partitionBy("image_id"))).where("v = _low").drop("_low")
+
+
+def first_of(cells: DataFrame, n: int = 64) -> DataFrame:
+    """The first n cells of each image, by scale, band, y and x."""
+    turn = F.row_number().over(Window.partitionBy("image_id").orderBy("scale", "band", "y", "x"))
+    return cells.withColumn("_turn", turn).where(F.col("_turn") <= n).drop("_turn")
+
+
+def bars(series: list[DataFrame]) -> DataFrame:
+    """(series, name, place, y_mean, y_stderr) of tables (name, value, at): names stand in the order in which they come first
+    in the first table; all tables must have the same names."""
+    rows = [s.select(F.lit(k).alias("series"), "name", "value", "at") for k, s in enumerate(series)]
+    names = {k: {r["name"] for r in s.select("name").distinct().collect()} for k, s in enumerate(series)}  # one bar each
+    if any(n != names[0] for n in names.values()):
+        raise ValueError("the series have different names")
+    order = [r["name"] for r in rows[0].groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("name")).cast("int") - 1
+    stats = every.groupBy("series", "name").agg(F.avg("value").alias("y_mean"), (F.stddev_pop("value") / F.sqrt(F.count("*"))).alias("y_stderr"))
+    return stats.withColumn("place", place)
+
+
 def best_match(cells: DataFrame) -> DataFrame:
     """Of each image and band the strongest cell, the first by scale, y and x among equals."""
     key = F.struct((-F.col("v")).alias("a"), "scale", "y", "x")
@@ -75,10 +110,27 @@ def confusion(rows: DataFrame, label: str, prediction: str) -> DataFrame:
     return rows.groupBy(label, prediction).agg(F.count("*").alias("n"))
 
 
+RANGES = 64
+
+
+def ranges(rows: DataFrame, column: str) -> Column:
+    """A number for ranges of a numeric column's values, in order, of about even counts: bounded windows over it can then be
+    taken range by range, after the counts of the ranges before."""
+    at = F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 1000)
+    bounds = sorted(set(rows.agg(at.alias("at")).first()["at"] or []))
+    return F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: b < F.col(column)))
+
+
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the curve by rank sums over the distinct scores; ties count half."""
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """Area under the curve by rank sums over the distinct scores; ties count half. Sums run within ranges of scores."""
+    by = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+    by = by.withColumn("range", ranges(rows.select(F.col(score).cast("double").alias("s")), "s"))
+    totals = sorted((r["range"], r["neg"]) for r in by.groupBy("range").agg(F.sum("neg").alias("neg")).collect())  # at most RANGES rows
+    before, upto = {}, 0
+    for k, neg in totals:
+        before[k], upto = upto, upto + neg
+    offset = F.create_map(*(F.lit(x) for k, n in (before or {0: 0}).items() for x in (k, n)))[F.col("range")]
+    below = offset + F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return by.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg((F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
@@ -89,13 +141,16 @@ def foreground_ratio(boxes: DataFrame, mask: DataFrame) -> DataFrame:
     return boxes.join(mask, inside, "left").groupBy("box_id").agg(F.coalesce(F.avg(1 - mask.m), F.lit(0.0)).alias("ratio"))
 
 
-def power_spectrum(cells: DataFrame, side: int) -> DataFrame:
-    """(image_id, ky, kx, power): the squared modulus of the discrete Fourier transform, summed directly."""
-    angle = -2 * 3.141592653589793 * (F.col("ky") * F.col("y") + F.col("kx") * F.col("x")) / side
-    waves = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    rows = cells.withColumn("ky", waves).withColumn("kx", waves)
-    re, im = F.sum(F.col("v") * F.cos(angle)), F.sum(F.col("v") * F.sin(angle))
-    return rows.groupBy("image_id", "ky", "kx").agg((re * re + im * im).alias("power"))
+def power_spectrum(images: DataFrame, data: str, height: int, width: int) -> DataFrame:
+    """(image_id, ky, kx, power): the squared modulus of the discrete Fourier transform of each row's map, within the row."""
+
+    def power(columns: pa.Array) -> pa.Array:
+        x = columns.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, height, width)
+        p = np.abs(np.fft.fft2(x)).reshape(len(x), -1) ** 2
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * height * width, pa.int32()), pa.array(p.ravel()))
+
+    rows = images.select("image_id", F.posexplode(F.arrow_udf(power, "array<double>")(F.col(data))).alias("i", "power"))
+    return rows.select("image_id", F.floor(F.col("i") / width).cast("int").alias("ky"), (F.col("i") % width).cast("int").alias("kx"), "power")
 
 
 def radial_spectrum(spectrum: DataFrame, side: int) -> DataFrame:

@@ -6,7 +6,7 @@ so distances need no join and a step is one partial and one final aggregate."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,9 +43,15 @@ def k_means(rows: DataFrame, k: int, iterations: int = 20, seed: int = 0, weight
     return np.array(fitted.clusterCenters())
 
 
+#: Rows of a reference set that nearest neighbours are taken from, at most: they stand in the plan.
+KNOWN = 1000
+
+
 def knn_mean(queries: DataFrame, known: DataFrame, value: str, k: int = 4) -> DataFrame:
-    """(id, value): mean of the value over a query's k nearest rows of a reference set, which must be small enough to send to all."""
-    pairs = queries.select("id", F.col("features").alias("q")).crossJoin(F.broadcast(known.select(F.col("id").alias("_id"), F.col("features").alias("r"), value)))
-    near = pairs.withColumn("d", squared_distance(F.col("q"), F.col("r")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "_id"))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy("id").agg(F.avg(value).alias(value))
+    """(id, value): mean of the value over a query's k nearest rows of a reference set of at most KNOWN rows, in one expression."""
+    held = known.select("id", "features", value).limit(KNOWN + 1).collect()
+    if not 0 < len(held) <= KNOWN:
+        raise ValueError(f"a reference set has 1 to {KNOWN} rows")
+    table = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in r["features"])).alias("x"), F.lit(r["id"]).alias("id"), F.lit(float(r[value])).alias("q")) for r in held))
+    near = F.array_sort(F.transform(table, lambda t: F.struct(squared_distance(F.col("features"), t["x"]).alias("d"), t["id"].alias("id"), t["q"].alias("q"))))
+    return queries.select("id", (F.aggregate(F.slice(near, 1, k), F.lit(0.0), lambda s, t: s + t["q"]) / min(k, len(held))).alias(value))

@@ -1,18 +1,22 @@
 """Corpora as DataFrames: labels, balance, splits and folds.
 
 Choices within a class go by a key's digest rather than by a random draw, so that they are
-repeatable on any partitioning. Ranks are taken within classes: a window holds one class."""
+repeatable on any partitioning."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import analysis
+
 
 def scan(files: DataFrame, class_name: str, path: str) -> DataFrame:
     """(path, class_name, label): labels are 0-based ranks of class names, joined from the small table of classes."""
-    names = files.select(F.col(class_name).alias("class_name")).distinct()
-    labels = names.withColumn("label", (F.row_number().over(Window.orderBy("class_name")) - 1).cast("int"))
+    names = sorted(r[0] for r in files.where(F.col(class_name).isNotNull()).select(class_name).distinct().collect())  # the classes
+    if files.where(F.col(class_name).isNull()).limit(1).count():
+        raise ValueError("files without a class")
+    labels = files.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], "class_name string, label int")
     return files.select(F.col(path).alias("path"), F.col(class_name).alias("class_name")).join(labels, "class_name").select("path", "class_name", "label")
 
 
@@ -34,30 +38,47 @@ def join_split(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.withColumn("is_train", F.lit(True)).unionByName(test.withColumn("is_train", F.lit(False)))
 
 
-def _order(key: str, shuffle: bool) -> list[Column]:
-    return [F.md5(F.col(key).cast("string")), F.col(key)] if shuffle else [F.col(key)]
+_PARTS = 3
+
+
+def _ranked(rows: DataFrame, label: str, key: str, digest: bool) -> DataFrame:
+    """rows with _rank (from 1) and _count within their class, in order of the key or of its digest.
+
+    Ranks are taken within a part of a class, a range of keys or digests, after the counts of the parts before; so a
+    window holds such a part, not a class."""
+    if digest:
+        order, part = [F.md5(F.col(key).cast("string")), F.col(key)], F.substring(F.md5(F.col(key).cast("string")), 1, _PARTS)
+    else:
+        numeric = dict(rows.dtypes)[key] != "string"
+        order, part = [F.col(key)], analysis.ranges(rows, key) if numeric else F.substring(F.col(key), 1, _PARTS)
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy(label, "_part").agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(label)
+    counts = counts.withColumn("_count", F.sum("_n").over(by)).withColumn("_before", F.sum("_n").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    turn = F.row_number().over(Window.partitionBy(label, "_part").orderBy(*order))
+    return rows.join(counts.drop("_n"), [label, "_part"]).withColumn("_rank", turn + F.col("_before")).drop("_part", "_before")
 
 
 def balance(rows: DataFrame, label: str, key: str, shuffle: bool = False) -> DataFrame:
     """The first rows of each class, or its first by digest, as many as the smallest class has."""
-    least = rows.groupBy(label).count().agg(F.min("count").alias("_least"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*_order(key, shuffle)))
-    return rows.withColumn("_rank", rank).crossJoin(F.broadcast(least)).where("_rank <= _least").drop("_rank", "_least")  # one row
+    least = rows.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    return _ranked(rows, label, key, shuffle).where(F.col("_rank") <= least).select(rows.columns)
 
 
 def choose_training(rows: DataFrame, label: str, key: str, size: float) -> DataFrame:
-    """Adds is_train: by class floor(size * count) rows for a size below 1, else size rows at most."""
+    """Adds is_train: by class floor(size * count) rows for a size below 1, else size rows at most. With a share, each class
+    needs two rows, so that it has rows of both kinds."""
     if size < 0:
         raise ValueError("size must not be negative")
-    by = Window.partitionBy(label)
-    n = F.floor(F.lit(float(size)) * F.count("*").over(by) + 1e-9) if size < 1 else F.lit(int(size))
-    return rows.withColumn("is_train", F.row_number().over(by.orderBy(*_order(key, True))) <= n)
+    if size < 1 and (r := rows.groupBy(label).count().where("count < 2").first()) is not None:
+        raise ValueError(f"class {r[0]} has one row only")
+    n = F.floor(F.lit(float(size)) * F.col("_count") + 1e-9) if size < 1 else F.lit(int(size))
+    return _ranked(rows, label, key, True).select(*rows.columns, (F.col("_rank") <= n).alias("is_train"))
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int = 10) -> DataFrame:
     """Adds fold: stratified, dealt in turn within each class."""
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(*_order(key, True)))
-    return rows.withColumn("fold", ((turn - 1) % k).cast("int"))
+    return _ranked(rows, label, key, True).select(*rows.columns, ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
 
 
 def relabel_binary(rows: DataFrame, label: str) -> DataFrame:

@@ -53,6 +53,18 @@ def norm_dot(cells: DataFrame, kernels: DataFrame, kwidth: int, height: int, wid
     return _responses(cells, kernels, kwidth, stride, height, width, F.sum(F.col("w") * F.col("v")) / F.sqrt(F.greatest(F.sum(F.col("v") * F.col("v")), F.lit(bias))))
 
 
+def correlate(cells: DataFrame, kernels: DataFrame, kwidth: int, height: int, width: int) -> DataFrame:
+    """Sum of products over all bands, of the map's own size: beyond the border it is mirrored, its edge repeated."""
+    h = kwidth // 2
+
+    def mirrored(c: str, side: int) -> Column:
+        at = F.array(F.col(c), F.when(F.col(c) < h, -1 - F.col(c)), F.when(F.col(c) >= side - h, 2 * side - 1 - F.col(c)))
+        return F.explode(F.transform(F.array_compact(at), lambda v: v + h))
+
+    wide = cells.withColumn("y", mirrored("y", height)).withColumn("x", mirrored("x", width))
+    return dot(wide, kernels, kwidth, height + 2 * h, width + 2 * h)
+
+
 def rbf(cells: DataFrame, kernels: DataFrame, kwidth: int, height: int, width: int, stride: int = 1, beta: float = 5.0) -> DataFrame:
     """Gaussian of the distance of window and kernel."""
     gap = F.col("w") - F.col("v")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StandardScaler
@@ -54,6 +55,31 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.drop("raw", "features", "rawPrediction", "probability")
 
 
+def linear(rows: DataFrame, weights, intercepts) -> DataFrame:
+    """rows with the margins of a given linear model (a row of weights for each class) and prediction, the first class of the largest."""
+    table = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in w)).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, intercepts, strict=True)))
+    dot = lambda t: F.aggregate(F.zip_with(t["w"], F.col("features"), lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v) + t["b"]
+    out = rows.withColumn("margins", F.transform(table, dot))
+    best = F.array_max(F.transform("margins", lambda m, k: F.struct(F.round(m, 9).alias("m"), (-k).alias("k"))))
+    return out.withColumn("prediction", -best["k"])
+
+
+def coefficients(model: PipelineModel) -> np.ndarray:
+    """A row of coefficients for each class of a fitted linear classifier."""
+    last = model.stages[-1]
+    models = getattr(last, "models", None)
+    if models is not None:
+        return np.array([m.coefficients.toArray() for m in models])
+    return last.coefficientMatrix.toArray()
+
+
+def score_classifier(rows: DataFrame, model: PipelineModel | None = None, score_func: str | Callable = "accuracy", learner="svm", key: str = "image_id") -> float:
+    """How well a model tells the rows' labels; without one, a learner fitted on half of each class is scored on the rest."""
+    if model is None:
+        return train_and_test(rows.drop("is_train"), learner, score_func, 0.5, key)["score"]
+    return score(predict(model, rows), score_func)
+
+
 def score(predictions: DataFrame, score_func: str | Callable = "accuracy") -> float:
     if callable(score_func):
         return float(score_func(predictions))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import images
 from ..params import Params, Response
 
+ORDER = ("image", "retina", "s1", "c1", "s2", "c2")
 MAPS = "image_id long, layer string, scale int, kwidth int, shape array<int>, data array<float>"
 
 
@@ -76,8 +77,7 @@ def s1_of(image: np.ndarray, bank: np.ndarray, p: Params) -> np.ndarray:
 
 def layers_of(image: np.ndarray, p: Params, s1_bank: np.ndarray, s2_banks: list[np.ndarray] | None, wanted: set[str]) -> dict[str, list]:
     """The wanted layers of one grey image in [0, 1]; nothing above the highest of them is computed."""
-    order = ["image", "retina", "s1", "c1", "s2", "c2"]
-    top = max(order.index(w) for w in wanted)
+    top = max(ORDER.index(w) for w in wanted)
     out: dict[str, list] = {"image": [(0, 0, image[None])]}
     retina = contrast(image, p.retina_kwidth, p.retina_bias) if p.retina_enabled else image
     out["retina"] = [(0, 0, retina[None])]
@@ -98,21 +98,38 @@ def layers_of(image: np.ndarray, p: Params, s1_bank: np.ndarray, s2_banks: list[
     return out
 
 
-def build(grey: DataFrame, p: Params, s1_bank: np.ndarray, s2_banks: list[np.ndarray] | None = None, wanted: tuple[str, ...] = ("c2",)) -> DataFrame:
-    """Rows of MAPS for the wanted layers of grey (image_id, height, width, data array<float>)."""
+class LayerError(RuntimeError):
+    """A layer could not be computed; the message names the image."""
+
+
+def build(grey: DataFrame, p: Params, s1_bank: np.ndarray, s2_banks: list[np.ndarray] | None = None, wanted: tuple[str, ...] = ("c2",), precision: str = "float") -> DataFrame:
+    """Rows of MAPS for the wanted layers of grey (image_id, height, width, data array<float>); precision is float or double."""
     keep = set(wanted)
+    number, kind = (np.float64, pa.float64()) if precision == "double" else (np.float32, pa.float32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                image = np.array(row["data"], np.float32).reshape(row["height"], row["width"])
-                made = [(name, *x) for name, found in layers_of(image, p, s1_bank, s2_banks, keep).items() if name in keep for x in found]
+            ids, height, width = (batch.column(k).to_pylist() for k in range(3))
+            cells, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.cumsum(np.multiply(height, width))
+            made, owner = [], []
+            for k, (h, w) in enumerate(zip(height, width)):
+                image = cells[ends[k] - h * w : ends[k]].astype(np.float32).reshape(h, w)
+                try:
+                    found = layers_of(image, p, s1_bank, s2_banks, keep)
+                except ValueError as e:
+                    raise LayerError(f"image {ids[k]}: {e}") from e
+                some = [(name, *x) for name, layer in found.items() if name in keep for x in layer]
+                made += some
+                owner += [ids[k]] * len(some)
+            if made:
+                flat = [m[3].ravel().astype(number) for m in made]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat), kind))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["image_id"]] * len(made), pa.int64()), pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.array([list(m[3].shape) for m in made], pa.list_(pa.int32())), pa.array([m[3].ravel().astype(np.float32) for m in made], pa.list_(pa.float32()))],
+                    [pa.array(owner, pa.int64()), pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.array([list(m[3].shape) for m in made], pa.list_(pa.int32())), lists],
                     names=["image_id", "layer", "scale", "kwidth", "shape", "data"],
                 )
 
-    return grey.select("image_id", "height", "width", "data").mapInArrow(run, MAPS)
+    return grey.select("image_id", "height", "width", "data").mapInArrow(run, MAPS.replace("array<float>", f"array<{precision}>"))
 
 
 def features(maps: DataFrame, layers: tuple[str, ...]) -> DataFrame:

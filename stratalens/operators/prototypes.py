@@ -26,9 +26,14 @@ def normed(bank: np.ndarray) -> np.ndarray:
     return np.array([unit(x) for x in bank])
 
 
+def imprint_order(total: int, seed: int) -> np.ndarray:
+    """The order in which imprint() takes patches."""
+    return np.random.default_rng(seed).permutation(total)
+
+
 def imprint(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
     """Drawn patches themselves."""
-    return patches[np.random.default_rng(seed).permutation(len(patches))[:n]]
+    return patches[imprint_order(len(patches), seed)[:n]]
 
 
 def shuffled(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -45,11 +50,15 @@ def normal(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
     return random_bank(n, patches.shape[1:], seed, normed=False, mean=float(patches.mean()), std=float(patches.std()))
 
 
-def histogram(n: int, patches: np.ndarray, seed: int = 0, bins: int = 100) -> np.ndarray:
-    """Draws from the elements' histogram, even within a bin."""
+def histogram(n: int, patches: np.ndarray, seed: int = 0, bins: int = 100, resolution: float = 0.0025) -> np.ndarray:
+    """Draws from the elements' histogram, even within a bin; a bin has its share over the resolution in whole
+    tickets, so bins of a smaller share than the resolution are left out."""
     counts, edges = np.histogram(patches, bins)
+    tickets = np.repeat(np.arange(bins), (counts / (counts.sum() * resolution)).astype(int))
+    if not len(tickets):
+        raise ValueError("the resolution is too coarse for the histogram")
     rng = np.random.default_rng(seed)
-    at = rng.choice(bins, (n, *patches.shape[1:]), p=counts / counts.sum())
+    at = rng.choice(tickets, (n, *patches.shape[1:]))
     return edges[at] + rng.random(at.shape) * (edges[1] - edges[0])
 
 
@@ -139,7 +148,8 @@ def ica(n: int, patches: np.ndarray, seed: int = 0, rounds: int = 200) -> np.nda
     x = _flat(patches)
     x = x - x.mean(axis=0)
     _, s, v = np.linalg.svd(x, full_matrices=False)
-    n = min(n, int((s > 1e-9 * s[0]).sum()))
+    if n > int((s > 1e-9 * s[0]).sum()):
+        raise ValueError("fewer directions than prototypes")
     whiten = v[:n].T / s[:n] * np.sqrt(len(x))
     z = x @ whiten
 
@@ -219,8 +229,35 @@ def mask_weights(ratios: np.ndarray, base: float = 0.0) -> np.ndarray:
 ALGORITHMS: dict[str, Learner] = {
     "imprint": imprint, "shuffle": shuffled, "uniform": uniform, "norm": normal, "histogram": histogram,
     "kmeans": kmeans, "nearest_kmeans": nearest_kmeans, "kmedoids": kmedoids, "contrast_kmeans": contrast_kmeans,
-    "ica": ica, "pca": pca, "sparse_pca": sparse_pca, "nmf": nmf, "weighted_kmeans": kmeans,
+    "ica": ica, "pca": pca, "sparse_pca": sparse_pca, "nmf": nmf, "normal": normal,
 }
+#: k-means of patches that weigh by masks or by their use to a classifier; the session finds the weights.
+WEIGHTED = {"object_mask_wkmeans": "mask", "omwkmeans": "mask", "meta_feature_wkmeans": "use", "mfwkmeans": "use"}
+
+
+def checked(learner: Learner, n: int, patches: np.ndarray, **options) -> np.ndarray:
+    """The learner's prototypes, normed; a learner must give n of the patches' shape, of numbers."""
+    bank = np.asarray(learner(n, patches, **options))
+    if bank.shape != (n, *patches.shape[1:]):
+        raise ValueError(f"the learner gave prototypes of shape {bank.shape} instead of {(n, *patches.shape[1:])}")
+    if not np.isfinite(bank).all():
+        raise ValueError("the learner gave prototypes that aren't numbers")
+    return normed(bank)
+
+
+def meta_features(patches: np.ndarray) -> np.ndarray:
+    """For each band of a patch the mean, the deviation, the extremes and the 0.3 and 0.7 quantiles (plotting positions 0.4)."""
+    flat = np.sort(patches.reshape(*patches.shape[:2], -1).astype(float), axis=2)
+    n = flat.shape[2]
+
+    def quantile(p: float) -> np.ndarray:
+        place = n * p + 0.4 + p * 0.2
+        k = int(np.floor(min(max(place, 1), n - 1)))
+        share = min(max(place - k, 0.0), 1.0)
+        return (1 - share) * flat[:, :, k - 1] + share * flat[:, :, min(k, n - 1)]
+
+    parts = [flat.mean(axis=2), flat.std(axis=2), flat[:, :, 0], flat[:, :, -1], quantile(0.3), quantile(0.7)]
+    return np.stack(parts, axis=2).reshape(len(patches), -1)
 
 
 def resolve(name: str | Learner) -> Learner:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..params import Params
+from . import packed
 from .filters import IMAGE
 
 
@@ -15,6 +21,43 @@ def patches_at(cells: DataFrame, y0: Column, x0: Column, side: int) -> DataFrame
     return rows.where((y >= 0) & (y < side) & (x >= 0) & (x < side)).select(*IMAGE, "band", "y0", "x0", y.alias("y"), x.alias("x"), "v")
 
 
+def patches_of(grey: DataFrame, images: DataFrame, n: int, p: Params, s1_bank: np.ndarray, seed: int) -> DataFrame:
+    """(patch_id, kwidth, image_id, scale, y0, x0, data): n patches of each width of p.s2_kwidth from the C1 maps of images.
+
+    With fewer patches than images, n images give one each; otherwise each image gives ceil(n / images), of which n
+    stay, the same for all widths. Which images give patches is settled first, and only those are computed. A patch's scale is
+    drawn evenly among its own image's maps that hold every width, its place as a fraction of the map."""
+    count = images.count()
+    if n < 1 or not count:
+        raise ValueError("patches need a number and images")
+    each = max(1, -(-n // count))
+    key = F.xxhash64(F.lit(seed), F.col("image_id"), F.col("_copy"))
+    rows = images.select("image_id", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("_copy")).select("image_id", key.alias("key"))
+    rows = rows.orderBy("key", "image_id").limit(n).groupBy("image_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    widths, largest = list(p.s2_kwidth), max(p.s2_kwidth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                image = np.array(r["data"], np.float32).reshape(r["height"], r["width"])
+                maps = [(s, x) for s, _, x in packed.layers_of(image, p, s1_bank, None, {"c1"})["c1"] if min(x.shape[1:]) >= largest]
+                if not maps:
+                    raise packed.LayerError(f"image {r['image_id']}: no C1 map holds a patch of {largest}")
+                out = []
+                for k in r["keys"]:
+                    draw = np.random.default_rng([k % (1 << 63), seed % (1 << 63)])
+                    scale, c1 = maps[draw.integers(len(maps))]
+                    share = draw.random(2)
+                    for w in widths:
+                        y, x = (int(u * (side - w + 1)) for u, side in zip(share, c1.shape[1:]))
+                        out.append((k, w, r["image_id"], scale, y, x, c1[:, y : y + w, x : x + w].ravel().astype(np.float32)))
+                ids, kw, image_id, scale, y, x, data = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kw, pa.int32()), pa.array(image_id, pa.int64()), pa.array(scale, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(data, pa.list_(pa.float32()))], names=["patch_id", "kwidth", "image_id", "scale", "y0", "x0", "data"])
+
+    drawn = grey.select("image_id", "height", "width", "data").join(rows, "image_id")
+    return drawn.mapInArrow(run, "patch_id long, kwidth int, image_id long, scale int, y0 int, x0 int, data array<float>")
+
+
 def draw(images: DataFrame, key: str, n: int, sides: dict[int, tuple[int, int]], kwidth: int, seed: int) -> DataFrame:
     """(patch_id, key, scale, y0, x0): n places for patches, drawn by hashes before any layer is computed.
 

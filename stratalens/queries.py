@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry, kernels
-from .operators import analysis, clusters, corpus, filters, layers, normalise
+from .operators import analysis, clusters, corpus, filters, layers, normalise, packed
 from .params import Params, Response
 from .sources.tables import table, vector_maps
 
@@ -183,10 +183,10 @@ def whiten_bands(spark, d):
 
 
 SMALL = Params(s1_kwidth=3, s1_num_orientations=4, s1_num_phases=2, c1_kwidth=3, c1_sampling=1, s2_kwidth=[2], s1_operation=Response.DOT)
-NDP = Params(s1_kwidth=3, c1_kwidth=3, c1_sampling=1, s2_kwidth=[2])
+NDP = Params(s1_kwidth=3, c1_kwidth=3, c1_sampling=1, s2_kwidth=[2], s2_beta=0.05, num_scales=1)
 _S1 = f"{cells_sql()}, {conv_sql('raw', 'cells', gabors(), NORM.format(0.01), 8, 8)}, s1 AS (SELECT image_id, band, y, x, abs(v) AS v FROM raw)"
 _C1 = f"{_S1}, {pool_sql('c1', 's1', 3, 6, 6)}"
-_S2 = f"{_C1}, {conv_sql('s2', 'c1', prototypes(4, 2), 'exp(-5.0 * sum((b.w - c.v) * (b.w - c.v)))', 4, 4)}"
+_S2 = f"{_C1}, {conv_sql('s2', 'c1', prototypes(4, 2), 'exp(-0.05 * sum((b.w - c.v) * (b.w - c.v)))', 4, 4)}"
 
 
 @query(f"WITH {cells_sql()}, {conv_sql('raw', 'cells', gabors(3, 4, 2), DOT, 8, 8)} SELECT image_id, CAST(band // 2 AS INT) AS band, y, x, {r6('max(v)')} AS v FROM raw GROUP BY 1, 2, 3, 4")
@@ -222,11 +222,11 @@ def features_flat(spark, d):
     return rounded(filters.flatten(_c1(spark, d)).select("image_id", F.posexplode("features").alias("pos", "v")))
 
 
-@query(f"""WITH {_C1}, g AS (SELECT DISTINCT image_id, band, CAST(b AS INT) AS bin FROM c1, range(10) AS r(b)),
-    n AS (SELECT image_id, band, CAST(least(floor(v / 0.2 * 10), 9) AS INT) AS bin, count(*) AS n FROM c1 WHERE v >= 0 AND v <= 0.2 GROUP BY 1, 2, 3)
+@query(f"""WITH {_C1}, g AS (SELECT DISTINCT image_id, band, CAST(b AS INT) AS bin FROM c1, range(4) AS r(b)),
+    n AS (SELECT image_id, band, CAST(least(floor(v / 0.8 * 4), 3) AS INT) AS bin, count(*) AS n FROM c1 WHERE v >= 0 AND v <= 0.8 GROUP BY 1, 2, 3)
     SELECT g.image_id, g.band, g.bin, CAST(coalesce(n.n, 0) AS BIGINT) AS n FROM g LEFT JOIN n ON g.image_id = n.image_id AND g.band = n.band AND g.bin = n.bin""")
 def features_hist(spark, d):
-    return analysis.histogram_features(_c1(spark, d), 10)
+    return analysis.histogram_features(_c1(spark, d), 4, 0.0, 0.8)
 
 
 @query(f"WITH {cells_sql()} SELECT image_id, band, CAST((y - 1) // 2 AS INT) AS y, CAST((x - 1) // 2 AS INT) AS x, {r6('v')} AS v FROM cells WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND (y - 1) % 2 = 0 AND (x - 1) % 2 = 0")
@@ -455,14 +455,18 @@ _WAVE = "{}(-2 * 3.141592653589793 * (ky * y + kx * x) / 8)"
 _POWER = f"""{cells_sql()}, f AS (SELECT image_id, CAST(ky AS INT) AS ky, CAST(kx AS INT) AS kx, sum(v * {_WAVE.format('cos')}) AS re, sum(v * {_WAVE.format('sin')}) AS im FROM cells, range(8) AS a(ky), range(8) AS b(kx) GROUP BY 1, 2, 3)"""
 
 
+def _power(spark, d):
+    return analysis.power_spectrum(table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding"), "embedding", 8, 8)
+
+
 @query(f"WITH {_POWER} SELECT image_id, ky, kx, {r6('re * re + im * im')} AS power FROM f")
 def power_spectrum(spark, d):
-    return rounded(analysis.power_spectrum(maps(spark, d), 8), "power")
+    return rounded(_power(spark, d), "power")
 
 
 @query(f"WITH {_POWER}, w AS (SELECT image_id, CASE WHEN ky >= 4 THEN ky - 8 ELSE ky END AS a, CASE WHEN kx >= 4 THEN kx - 8 ELSE kx END AS b, re * re + im * im AS p FROM f) SELECT image_id, CAST(floor(sqrt(a * a + b * b)) AS INT) AS r, {r6('sum(p)')} AS power, count(*) AS n FROM w GROUP BY 1, 2")
 def radial_spectrum(spark, d):
-    return rounded(analysis.radial_spectrum(analysis.power_spectrum(maps(spark, d), 8), 8), "power")
+    return rounded(analysis.radial_spectrum(_power(spark, d), 8), "power")
 
 
 def _train(spark, d):
@@ -491,52 +495,40 @@ def cross_validate(spark, d):
     return spark.createDataFrame(list(enumerate(scores)), "fold int, accuracy double")
 
 
-@query()
-def fit_kmeans(spark, d):
-    rows = vectors(spark, d)
-    return clusters.nearest(rows, clusters.k_means(rows, 5, seed=1)).select("id", "cluster", F.round("distance", 4).alias("distance"))
-
-
-def _learner(name):
-    def run(spark, d):
-        from .operators import prototypes as P
-
-        # a bounded sample of rows, by hash
-        rows = table(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(400).collect()
-        x = np.array([r["embedding"] for r in rows]).reshape(-1, 1, 8, 8)
-        bank = P.resolve(name)(6, x - x.min() if name == "nmf" else x)
-        return rounded(kernels.frame(spark, bank), "w")
-
-    run.__name__ = f"learn_{name}"
-    return run
+def _packed(spark, d, p: Params, banks):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("data"))
+    return packed.build(rows, p, gabors()[:, None], banks, ("c2",), "double")
 
 
-for _name in ("imprint", "shuffle", "uniform", "norm", "histogram", "kmeans", "nearest_kmeans", "kmedoids", "contrast_kmeans", "ica", "pca", "sparse_pca", "nmf"):
-    query()(_learner(_name))
+@query(f"WITH {_S2} SELECT image_id, band, {r6('max(v)')} AS v FROM s2 GROUP BY 1, 2")
+def packed_c2(spark, d):
+    """The packed engine, held against the same SQL as the long one."""
+    return rounded(_packed(spark, d, NDP, [prototypes(4, 2)]).select("image_id", F.posexplode("data").alias("band", "v")))
 
 
 @query()
-def packed_c2(spark, d):
-    """The packed engine on 32 x 32 maps, each made of four copies of a vector's map doubled in size."""
-    from .operators import packed
-
-    p = Params(s1_kwidth=5, c1_kwidth=3, c1_sampling=2, s2_kwidth=[3], num_scales=3)
+def packed_c2_scales(spark, d):
+    """The packed engine on 32 x 32 maps in three scales, each made of four copies of a vector's map doubled in size."""
+    p = Params(s1_kwidth=5, c1_kwidth=3, c1_sampling=2, s2_kwidth=[3], s2_beta=0.05, num_scales=3)
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(32).alias("height"), F.lit(32).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("embedding", (F.floor(i / 64) % 8 * 8 + F.floor(i % 32 / 2) % 8).cast("int"))).alias("data"))
-    maps = packed.build(rows, p, kernels.gabor_bank(5, 4), [prototypes(4, 3)], ("c2",))
-    return maps.select("image_id", "kwidth", F.posexplode("data").alias("band", "v")).withColumn("v", F.round("v", 4))
+    made = packed.build(rows, p, kernels.gabor_bank(5, 4), [prototypes(4, 3)], ("c2",))
+    return made.select("image_id", "kwidth", F.posexplode("data").alias("band", "v")).withColumn("v", F.round("v", 4))
 
 
 @query("SELECT vec_id AS image_id, CAST(i - 1 AS INT) AS band, round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 AS v FROM embeddings, range(1, 65) AS r(i)")
 def stream_activation(spark, d):
     """The streaming job on the embeddings' maps, run to the end of its input; its layer is the image itself."""
-    import tempfile
+    import uuid
 
+    from .sources.scratch import shared_folder
     from .streaming import activation
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalens-")
-    base = f"{base}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("data"))
     rows.write.parquet(f"{base}/in")
     activation.activate(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", Params(), kernels.gabor_bank(3, 4), None, ("image",)).awaitTermination()
     maps = spark.read.parquet(f"{base}/out")
     return rounded(maps.select("image_id", F.posexplode("data").alias("band", "v")).withColumn("v", F.col("v").cast("double")))
+
+
+from . import learner_queries  # noqa: E402, F401  registers its queries

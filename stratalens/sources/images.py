@@ -26,7 +26,12 @@ def read_corpus(spark: SparkSession, root: str, classes: list[str] | None = None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(f"{root}/*").select("path")
     files = files.withColumn("class_name", F.element_at(F.split("path", "/"), -2))
     found = corpus.scan(files, "class_name", "path") if classes is None else corpus.scan_given(files, classes, "class_name", "path")
-    return found.withColumn("image_id", F.row_number().over(Window.orderBy("label", "path")).cast("long") - 1).select("image_id", "path", "class_name", "label")
+    counts, before = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}, {}  # the classes
+    for label in sorted(counts):
+        before[label] = sum(counts[k] for k in counts if k < label)
+    first = F.create_map(*(F.lit(x) for k, n in (before or {0: 0}).items() for x in (k, n)))[F.col("label")]
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("path"))
+    return found.withColumn("image_id", (first + turn - 1).cast("long")).select("image_id", "path", "class_name", "label")
 
 
 def load_grey(spark: SparkSession, files: DataFrame, root: str, p: Params) -> DataFrame:
@@ -55,14 +60,22 @@ def write_svmlight(features: DataFrame, path: str, label: str = "label") -> None
     rows.write.format("libsvm").option("numFeatures", size[0] if size else 0).mode("overwrite").save(path)
 
 
-def store_experiment(path: str, params: Params, **tables: DataFrame) -> None:
+def svmlight_split(features: DataFrame, train: str, test: str, label: str = "label") -> list[tuple[int, str]]:
+    """Training and test rows (is_train) in files of their own; returns the legend, (number, class_name) as written."""
+    write_svmlight(features.where("is_train"), train, label)
+    write_svmlight(features.where("not is_train"), test, label)
+    return sorted((r[label] + 1, r["class_name"]) for r in features.select(label, "class_name").distinct().collect())  # the classes
+
+
+def store_experiment(path: str, params: Params, more: str = "{}", **tables: DataFrame) -> None:
     """An experiment as a folder of Parquet tables and a row of JSON parameters."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps(params.to_dict()), ",".join(tables))], "params string, tables string").write.mode("overwrite").json(f"{path}/_experiment")
+    spark.createDataFrame([(json.dumps(params.to_dict()), ",".join(tables), more)], "params string, tables string, more string").write.mode("overwrite").json(f"{path}/_experiment")
 
 
-def load_experiment(spark: SparkSession, path: str) -> tuple[Params, dict[str, DataFrame]]:
-    row = spark.read.schema("params string, tables string").json(f"{path}/_experiment").first()
-    return Params.from_dict(json.loads(row["params"])), {t: spark.read.parquet(f"{path}/{t}") for t in row["tables"].split(",")}
+def load_experiment(spark: SparkSession, path: str) -> tuple[Params, dict[str, DataFrame], str | None]:
+    """Parameters, tables and what else was stored, as JSON."""
+    row = spark.read.schema("params string, tables string, more string").json(f"{path}/_experiment").first()
+    return Params.from_dict(json.loads(row["params"])), {t: spark.read.parquet(f"{path}/{t}") for t in row["tables"].split(",")}, row["more"]

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import images as im
-from stratalens.operators import corpus, learn, prototypes, sampling
+from stratalens.operators import corpus, learn, learners, prototypes, sampling
 from stratalens.params import Params
 from stratalens.plans import dag
 from stratalens.sources import images
@@ -55,7 +55,7 @@ def test_image_corpus_to_classifier(spark, tmp_path):
     images.write_svmlight(rows, f"{tmp_path}/svm")
     assert spark.read.text(f"{tmp_path}/svm").where("value like '1.0 1:%' or value like '2.0 1:%'").count() == 8
     images.store_experiment(f"{tmp_path}/exp", Params(), rows=rows)
-    p, tables = images.load_experiment(spark, f"{tmp_path}/exp")
+    p, tables, _ = images.load_experiment(spark, f"{tmp_path}/exp")
     assert p == Params() and tables["rows"].count() == 8
 
 
@@ -69,6 +69,92 @@ def test_learners():
         prototypes.resolve("nonsense")
 
 
+def test_learners_must_keep_their_promise():
+    x = np.random.default_rng(2).random((60, 1, 5, 5))
+    assert np.allclose((prototypes.checked(prototypes.kmeans, 4, x) ** 2).sum(axis=(1, 2, 3)), 1)
+    for wrong in (lambda n, p: p[: n - 1], lambda n, p: p[:n, :, :4], lambda n, p: p[:n] * np.nan):
+        with pytest.raises(ValueError):
+            prototypes.checked(wrong, 4, x)
+    with pytest.raises(ValueError):
+        prototypes.ica(30, x)
+
+
+def test_table_learners(spark):
+    """Moments, directions and covariance of a table against numpy."""
+    x = np.random.default_rng(5).normal(size=(300, 6)) * np.arange(1, 7)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<double>")
+    n, mean, std = learners.moments(rows)
+    assert n == x.size and np.isclose(mean, x.mean()) and np.isclose(std, x.std())
+    bank, centre = learners.pca(rows, 3)
+    assert np.allclose(centre, x.mean(axis=0)) and np.allclose(bank, prototypes.pca(3, x), atol=1e-6)
+    assert learners.imprint(rows, 4).shape == (4, 6)
+    with pytest.raises(ValueError):
+        learners.k_means(rows.limit(2), 3)
+
+
+def test_meta_features_and_weights():
+    x = np.random.default_rng(6).random((30, 2, 4, 4))
+    meta = prototypes.meta_features(x)
+    assert meta.shape == (30, 12) and np.allclose(meta[:, 0], x[:, 0].mean(axis=(1, 2))) and np.allclose(meta[:, 9], x[:, 1].max(axis=(1, 2)))
+    coefficients = np.random.default_rng(7).random((3, 30))
+    w = prototypes.quality_weights(meta[:1], meta, coefficients, 1)
+    assert np.allclose(w, (coefficients[:, 0] ** 2).sum())
+
+
+def test_ranges_do_without_whole_windows(spark):
+    """Ranks, folds and sums run within parts of a class; no window takes a class or a table."""
+    import io
+    from contextlib import redirect_stdout
+
+    rows = labelled(spark, [50, 70])
+    for df in (corpus.balance(rows, "label", "image_id", True), corpus.choose_training(rows, "label", "image_id", 0.5), corpus.folds(rows, "label", "image_id")):
+        with redirect_stdout(io.StringIO()) as text:
+            df.explain("formatted")
+        assert "_part" in text.getvalue() and "SinglePartition" not in text.getvalue()
+
+
+def test_one_row_classes(spark):
+    with pytest.raises(ValueError):
+        corpus.choose_training(labelled(spark, [1, 2]), "label", "image_id", 0.5)
+
+
+def test_files_without_a_class(spark):
+    with pytest.raises(ValueError):
+        corpus.scan(spark.createDataFrame([("a", None)], "path string, class_name string"), "class_name", "path")
+
+
+def test_text_tables(spark, tmp_path):
+    from stratalens.sources import tables as S
+
+    (tmp_path / "m.txt").write_text("1 b 2.5\nx 4\n")
+    got = [[f["number"] if f["number"] is not None else f["text"] for f in r["fields"]] for r in S.mixed_text(spark, f"{tmp_path}/m.txt").collect()]
+    assert sorted(got, key=len) == [["x", 4.0], [1.0, "b", 2.5]]
+    (tmp_path / "b.txt").write_text("z 1\na 2\nz 3\n")
+    bars = S.bar_data(spark, f"{tmp_path}/b.txt")
+    from stratalens.operators import analysis
+
+    rows = [tuple(r) for r in analysis.bars([bars]).orderBy("place").select("name", "y_mean").collect()]
+    assert rows == [("z", 2.0), ("a", 2.0)]
+    with pytest.raises(ValueError):
+        analysis.bars([bars, bars.where("name = 'z'")])
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    for encoding, want in (("csv", "1 x"), ("text", '{"a":1,"b":"x"}')):
+        S.store_as(df, f"{tmp_path}/{encoding}", encoding)
+        assert [r[0] for r in spark.read.text(f"{tmp_path}/{encoding}").collect()] == [want]
+    with pytest.raises(ValueError):
+        S.store_as(df, f"{tmp_path}/p", "pickle")
+
+
+def test_orientation_lines():
+    from stratalens.functions.kernels import orientation_line
+
+    for k in range(8):
+        x = orientation_line(k)
+        assert x.shape == (11, 11) and x[5, 5] == 1 and x.sum() == 11
+    with pytest.raises(ValueError):
+        orientation_line(8)
+
+
 def test_whitener():
     x = np.random.default_rng(3).normal(size=(500, 6)) @ np.random.default_rng(4).normal(size=(6, 6))
     w = prototypes.Whitener(0.0).fit(x)
