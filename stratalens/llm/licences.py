@@ -57,8 +57,8 @@ NOTICES: list[tuple[str, str]] = [
 LICENCES = _texts() + NOTICES
 #: Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("version 2 0", "2 0"), ("http", "https"), ("httpss", "https")]
-#: A line that starts by (c) and a year, or by the word copyright before (c), a year or a place for one.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t:]*(\(c\)|©|[0-9<\[{])|(\(c\)|©)[ \t]*[0-9])[^\n]*"
+#: A line whose first letters or digits are (c) and a year, or the word copyright before (c), a year or a place for one.
+COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t:]*(\(c\)|©|[0-9<\[{])|(\(c\)|©)[ \t]*[0-9])[^\n]*"
 NOTICE = "licen|spdx"
 
 
