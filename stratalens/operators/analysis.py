@@ -25,19 +25,46 @@ def histogram_vectors(cells: DataFrame, bins: int, low: float = 0.0, high: float
     return counts.groupBy("image_id").agg(F.transform(ordered, lambda c: c["n"].cast("double")).alias("features"))
 
 
-def quantile(values: Column, p: float, alpha: float = 0.4) -> Column:
-    """A quantile of an unsorted array, plotting positions by alpha = beta."""
-    ordered, n = F.array_sort(values), F.size(values)
-    place = n * p + alpha + p * (1 - 2 * alpha)
+ALPHA = 0.4  # of plotting positions
+
+
+def _place(n: Column, p: float) -> tuple[Column, Column]:
+    """The order statistic below a quantile (from 1), and the share of the one after it."""
+    place = n * p + ALPHA + p * (1 - 2 * ALPHA)
     k = F.floor(F.greatest(F.lit(1.0), F.least(place, n - 1.0))).cast("int")
-    share = F.greatest(F.lit(0.0), F.least(place - k, F.lit(1.0)))
+    return k, F.greatest(F.lit(0.0), F.least(place - k, F.lit(1.0)))
+
+
+def quantile(values: Column, p: float) -> Column:
+    """A quantile of an unsorted array, by plotting positions."""
+    ordered, n = F.array_sort(values), F.size(values)
+    k, share = _place(n, p)
     return F.when(n == 1, F.element_at(ordered, 1)).otherwise((1 - share) * F.element_at(ordered, k) + share * F.element_at(ordered, F.least(k + 1, n)))
 
 
 def meta_features(values: DataFrame, by: str, v: str) -> DataFrame:
-    """Mean, population deviation, extremes and the 0.3 and 0.7 quantiles of each group."""
-    held = F.collect_list(v)
-    return values.groupBy(by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), quantile(held, 0.3).alias("q30"), quantile(held, 0.7).alias("q70"))
+    """Mean, population deviation, extremes and the 0.3 and 0.7 quantiles of each group, exactly.
+
+    The values that quantiles lie between are found by counts of ranges of values; only rows of the ranges that hold them are ranked."""
+    stats = values.groupBy(by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    ranged = values.select(by, F.col(v).cast("double").alias("_v"))
+    ranged = ranged.withColumn("_range", ranges(ranged, "_v"))
+    group = Window.partitionBy(by)
+    counts = ranged.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("n", F.sum("_n").over(group)).withColumn("_upto", F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)))
+    places = [(p, *_place(F.col("n"), p)) for p in (0.3, 0.7)]
+    inside = lambda k: (k > F.col("_upto") - F.col("_n")) & (k <= F.col("_upto"))
+    wanted = F.lit(False)
+    for _, k, _share in places:
+        wanted = wanted | inside(k) | inside(F.least(k + 1, F.col("n")))
+    rows = ranged.join(counts.where(wanted), [by, "_range"])
+    rank = F.row_number().over(Window.partitionBy(by, "_range").orderBy("_v")) + F.col("_upto") - F.col("_n")
+    rows = rows.withColumn("_rank", rank)
+    at = lambda k: F.max(F.when(F.col("_rank") == k, F.col("_v")))
+    found = [e for p, k, share in places for e in (at(k).alias(f"_a{p}"), at(F.least(k + 1, F.col("n"))).alias(f"_b{p}"), F.max(share).alias(f"_s{p}"))]
+    found = rows.groupBy(by).agg(*found)
+    mixed = [((1 - F.col(f"`_s{p}`")) * F.col(f"`_a{p}`") + F.col(f"`_s{p}`") * F.col(f"`_b{p}`")).alias(name) for p, name in ((0.3, "q30"), (0.7, "q70"))]
+    return stats.join(found, by).select(by, "mean", "std", "low", "high", *mixed)
 
 
 def grouped_stats(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -25,7 +25,7 @@ def mixed_text(spark: SparkSession, path: str, separator: str = " ") -> DataFram
 
 def bar_data(spark: SparkSession, path: str) -> DataFrame:
     """(name, value, at) of lines of a name and a number; at is the line's place within its file."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
     parts = F.split(F.trim("line"), r"\s+")
     return rows.select(parts[0].alias("name"), parts[1].cast("double").alias("value"), "at")
 
