@@ -367,8 +367,7 @@ def unique(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str
     decided = rows.where(~stays | (F.col("n") > 1)).select("doc_id", "th", stays.alias("stays"))
     decided = Store(spark, name).save(decided, "decided")
     # the caller's columns are one column of the joins, so that none clashes
-    whole = _texts(docs, doc_id, text).drop("text").schema
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias(whole[0].name), F.xxhash64(F.col(text).cast("string")).alias(whole[1].name))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"))
     alone = packed.join(decided.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
     first = packed.join(decided.where("stays").select("doc_id", "th"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
     return alone.union(first.select(alone.columns)).select("row.*")
