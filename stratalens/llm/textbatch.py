@@ -17,10 +17,6 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def release() -> None:
@@ -44,18 +40,6 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return whole
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 8 * SLICE_BYTES:
-            _POWERS[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply); a bijection."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -101,12 +85,40 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of one running polynomial, brought to power 0 and mixed."""
-    run = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=run[1:])
-    back = _powers(_BASE_INV, len(data) + 1)
-    return mix((run[end] - run[start]) * back[start] + (end - start).astype(np.uint64))
+BLOCK = 256
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes a step, each step multiplied and mixed whole, so that no two
+    arrangements of the same blocks meet by construction. A span of more than BLOCK bytes is the hash of its
+    blocks' hashes. Unlike seeds give independent hashes."""
+    start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    out = mix(size.astype(np.uint64) + _U((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1))
+    step = _U(0xD6E8FEB86659FD93)
+    at = np.flatnonzero((size > 0) & (size <= BLOCK))
+    place, left, h = start[at], size[at], out[at]
+    while len(at):
+        x = eight[place]
+        short = left < 8
+        x[short] &= (_U(1) << (left[short] * 8).astype(np.uint64)) - _U(1)
+        h = mix(h * step + x)
+        done = left <= 8
+        out[at[done]] = h[done]
+        more = ~done
+        at, place, left, h = at[more], place[more] + 8, left[more] - 8, h[more]
+    long = np.flatnonzero(size > BLOCK)
+    if len(long):
+        blocks = -(-size[long] // BLOCK)
+        upto = np.cumsum(blocks)
+        owner = np.repeat(long, blocks)
+        first = start[owner] + BLOCK * (np.arange(upto[-1]) - np.repeat(upto - blocks, blocks))
+        parts = span_hashes(data, first, np.minimum(first + BLOCK, (start + size)[owner]), seed)
+        whole = span_hashes(parts.astype("<u8").view(np.uint8), 8 * (upto - blocks), 8 * upto, seed + 1)
+        out[long] = mix(out[long] * step + whole)
+    return out
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
