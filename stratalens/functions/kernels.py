@@ -15,13 +15,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def gabor(kwidth: int, theta: float, gamma: float = 0.6, phi: float = 0.0, wavelength: float | None = None, sigma: float | None = None, normed: bool = True) -> np.ndarray:
-    """Values at odd half-steps about the centre: a Gaussian envelope times a cosine along theta."""
+    """A sine along theta under a Gaussian window, about the centre: an odd function at phase 0."""
     wavelength = kwidth / 4 if wavelength is None else wavelength
     sigma = wavelength / 2 if sigma is None else sigma
     at = np.arange(kwidth) - (kwidth - 1) / 2
     y, x = np.meshgrid(at, at, indexing="ij")
     along, across = x * np.cos(theta) + y * np.sin(theta), y * np.cos(theta) - x * np.sin(theta)
-    k = np.exp(-(along**2 + (gamma * across) ** 2) / (2 * sigma**2)) * np.cos(2 * np.pi * along / wavelength + phi)
+    k = np.exp(-(along**2 + (gamma * across) ** 2) / (2 * sigma**2)) * np.sin(2 * np.pi * along / wavelength + phi)
     return unit(k) if normed else k
 
 
@@ -31,8 +31,12 @@ def gabor_bank(kwidth: int, orientations: int, phases: int = 1, shift: bool = Tr
     return np.array([[gabor(kwidth, t, phi=2 * np.pi * j / phases, normed=normed) for j in range(phases)] for t in thetas])
 
 
-def multi_scale_bank(kwidths: list[int], orientations: int, phases: int = 1) -> list[np.ndarray]:
-    return [gabor_bank(k, orientations, phases) for k in kwidths]
+def multi_scale_bank(kwidth: int, scales: int, orientations: int, phases: int = 1, shift: bool = True, embed: int | None = None, normed: bool = True) -> np.ndarray:
+    """(scale, orientation, phase, y, x): window deviations spread from kwidth / 8 to less than kwidth / 2, wavelengths
+    twice those, all in arrays of the same width, embed if that is given."""
+    thetas = np.pi / orientations * (np.arange(orientations) + 0.5 * shift)
+    sigmas = kwidth / 4 * (0.5 + 1.5 * np.arange(scales) / scales)
+    return np.array([[[gabor(embed or kwidth, t, phi=2 * np.pi * j / phases, wavelength=2 * s, sigma=s, normed=normed) for j in range(phases)] for t in thetas] for s in sigmas])
 
 
 def random_bank(n: int, shape: tuple[int, ...], seed: int, normed: bool = True, mean: float = 0.0, std: float = 0.15) -> np.ndarray:

@@ -50,7 +50,16 @@ def prototypes(bands: int, k: int, n: int = 5) -> np.ndarray:
 
 def bank_sql(bank: np.ndarray) -> str:
     values = ", ".join(f"({a}, {b}, {c}, {d}, CAST({w!r} AS DOUBLE))" for a, b, c, d, w in kernels.rows(bank))
-    return f"(VALUES {values}) AS t(kernel, band, ky, kx, w)"
+    return f"(VALUES {values})"
+
+
+def gabor_sql(k: int = 3, n: int = 4, phases: int = 1) -> str:
+    """The rows of gabors(k, n, phases), from the formula."""
+    theta = f"(pi() * (o + 0.5) / {n})"
+    across, along = (f"((b - {k // 2}) * {p}({theta}) {s} (a - {k // 2}) * {q}({theta}))" for p, s, q in (("-sin", "+", "cos"), ("cos", "+", "sin")))
+    wave = f"exp(-({along} * {along} + 0.36 * {across} * {across}) / (2 * pow({k} / 8.0, 2))) * sin(2 * pi() * {along} / ({k} / 4.0) + 2 * pi() * p / {phases})"
+    return f"""(SELECT kernel, 0 AS band, ky, kx, w / sqrt(sum(w * w) OVER (PARTITION BY kernel)) AS w FROM (SELECT CAST(o * {phases} + p AS INT) AS kernel, CAST(a AS INT) AS ky, CAST(b AS INT) AS kx, {wave} AS w
+        FROM range({n}) AS r(o), range({phases}) AS s(p), range({k}) AS t(a), range({k}) AS u(b)))"""
 
 
 def cells_sql(bands: int = 1, h: int = 8, w: int = 8) -> str:
@@ -58,11 +67,12 @@ def cells_sql(bands: int = 1, h: int = 8, w: int = 8) -> str:
         CAST((i - 1) % {w} AS INT) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, {bands * h * w + 1}) AS r(i))"""
 
 
-def conv_sql(name: str, source: str, bank: np.ndarray, value: str, h: int, w: int, stride: int = 1) -> str:
-    k = bank.shape[-1]
+def conv_sql(name: str, source: str, bank: np.ndarray | tuple[int, int, int], value: str, h: int, w: int, stride: int = 1) -> str:
+    """A CTE of a filter; a bank is an array, or the arguments of gabor_sql()."""
+    k, bank = (bank[0], gabor_sql(*bank)) if isinstance(bank, tuple) else (bank.shape[-1], bank_sql(bank))
     oh, ow = (h - k + 1) // stride, (w - k + 1) // stride
     return f"""{name} AS (SELECT c.image_id, CAST(b.kernel AS INT) AS band, CAST((c.y - b.ky) // {stride} AS INT) AS y, CAST((c.x - b.kx) // {stride} AS INT) AS x, {value} AS v
-        FROM {source} c JOIN {bank_sql(bank)[:-len(' AS t(kernel, band, ky, kx, w)')]} AS b(kernel, band, ky, kx, w) ON c.band = b.band
+        FROM {source} c JOIN {bank} AS b(kernel, band, ky, kx, w) ON c.band = b.band
         WHERE c.y >= b.ky AND c.x >= b.kx AND (c.y - b.ky) % {stride} = 0 AND (c.x - b.kx) % {stride} = 0 AND (c.y - b.ky) // {stride} < {oh} AND (c.x - b.kx) // {stride} < {ow} GROUP BY 1, 2, 3, 4)"""
 
 
@@ -89,27 +99,27 @@ def map_cells(spark, d):
     return out(maps(spark, d))
 
 
-@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', gabors(), DOT, 8, 8)} {MAP} o")
+@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', (3, 4, 1), DOT, 8, 8)} {MAP} o")
 def conv_dot(spark, d):
     return out(filters.dot(maps(spark, d), kernels.frame(spark, gabors()), 3, 8, 8))
 
 
-@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', gabors(), NORM.format(0.01), 8, 8)} {MAP} o")
+@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', (3, 4, 1), NORM.format(0.01), 8, 8)} {MAP} o")
 def conv_norm_dot(spark, d):
     return out(filters.norm_dot(maps(spark, d), kernels.frame(spark, gabors()), 3, 8, 8))
 
 
-@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', gabors(), 'exp(-5.0 * sum((b.w - c.v) * (b.w - c.v)))', 8, 8)} {MAP} o")
+@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', (3, 4, 1), 'exp(-5.0 * sum((b.w - c.v) * (b.w - c.v)))', 8, 8)} {MAP} o")
 def conv_rbf(spark, d):
     return out(filters.rbf(maps(spark, d), kernels.frame(spark, gabors()), 3, 8, 8))
 
 
-@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', gabors(), 'exp(-10.0 * (1 - ' + NORM.format(0.1) + '))', 8, 8)} {MAP} o")
+@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', (3, 4, 1), 'exp(-10.0 * (1 - ' + NORM.format(0.1) + '))', 8, 8)} {MAP} o")
 def conv_norm_rbf(spark, d):
     return out(filters.norm_rbf(maps(spark, d), kernels.frame(spark, gabors()), 3, 8, 8))
 
 
-@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', gabors(), DOT, 8, 8, 2)} {MAP} o")
+@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', (3, 4, 1), DOT, 8, 8, 2)} {MAP} o")
 def conv_dot_stride2(spark, d):
     return out(filters.dot(maps(spark, d), kernels.frame(spark, gabors()), 3, 8, 8, stride=2))
 
@@ -184,12 +194,12 @@ def whiten_bands(spark, d):
 
 SMALL = Params(s1_kwidth=3, s1_num_orientations=4, s1_num_phases=2, c1_kwidth=3, c1_sampling=1, s2_kwidth=[2], s1_operation=Response.DOT)
 NDP = Params(s1_kwidth=3, c1_kwidth=3, c1_sampling=1, s2_kwidth=[2], s2_beta=0.05, num_scales=1)
-_S1 = f"{cells_sql()}, {conv_sql('raw', 'cells', gabors(), NORM.format(0.01), 8, 8)}, s1 AS (SELECT image_id, band, y, x, abs(v) AS v FROM raw)"
+_S1 = f"{cells_sql()}, {conv_sql('raw', 'cells', (3, 4, 1), NORM.format(0.01), 8, 8)}, s1 AS (SELECT image_id, band, y, x, abs(v) AS v FROM raw)"
 _C1 = f"{_S1}, {pool_sql('c1', 's1', 3, 6, 6)}"
 _S2 = f"{_C1}, {conv_sql('s2', 'c1', prototypes(4, 2), 'exp(-0.05 * sum((b.w - c.v) * (b.w - c.v)))', 4, 4)}"
 
 
-@query(f"WITH {cells_sql()}, {conv_sql('raw', 'cells', gabors(3, 4, 2), DOT, 8, 8)} SELECT image_id, CAST(band // 2 AS INT) AS band, y, x, {r6('max(v)')} AS v FROM raw GROUP BY 1, 2, 3, 4")
+@query(f"WITH {cells_sql()}, {conv_sql('raw', 'cells', (3, 4, 2), DOT, 8, 8)} SELECT image_id, CAST(band // 2 AS INT) AS band, y, x, {r6('max(v)')} AS v FROM raw GROUP BY 1, 2, 3, 4")
 def phase_pool(spark, d):
     return out(layers.s1(maps(spark, d), kernels.frame(spark, gabors(3, 4, 2)), SMALL, 8, 8))
 
@@ -289,7 +299,7 @@ def best_match(spark, d):
 
 
 @query("""WITH g AS (SELECT CAST(o AS INT) AS kernel, CAST(a AS INT) AS ky, CAST(b AS INT) AS kx, (b - 3) * cos(pi() / 4 * (o + 0.5)) + (a - 3) * sin(pi() / 4 * (o + 0.5)) AS u, (a - 3) * cos(pi() / 4 * (o + 0.5)) - (b - 3) * sin(pi() / 4 * (o + 0.5)) AS t
-    FROM range(4) AS x(o), range(7) AS y(a), range(7) AS z(b)), e AS (SELECT *, exp(-(u * u + 0.36 * t * t) / (2 * 0.875 * 0.875)) * cos(2 * pi() * u / 1.75) AS w FROM g)
+    FROM range(4) AS x(o), range(7) AS y(a), range(7) AS z(b)), e AS (SELECT *, exp(-(u * u + 0.36 * t * t) / (2 * 0.875 * 0.875)) * sin(2 * pi() * u / 1.75) AS w FROM g)
     SELECT kernel, ky, kx, round(w / sqrt(sum(w * w) OVER (PARTITION BY kernel)), 6) + 0.0 AS w FROM e""")
 def gabor_bank(spark, d):
     return rounded(kernels.frame(spark, gabors(7, 4)).drop("band"), "w")
