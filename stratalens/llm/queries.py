@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_cnn, embedding_dedup, licences, line_dedup, minhash_dedup, quality, secrets, source_mix, url_filter
+from . import byte_bpe, byte_cnn, embedding_dedup, fill_middle, licences, line_dedup, minhash_dedup, quality, secrets, source_mix, turns, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]', 0, 's') AS units FROM d),
+c AS (SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS h1, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM u),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(units[1:least(h1, h2)], '') AS prefix, array_to_string(units[least(h1, h2) + 1:greatest(h1, h2)], '') AS middle, array_to_string(units[greatest(h1, h2) + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM f"""
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").where("turn is not null").select("conv_id", "turn", "role", "text")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), F.col("turn").cast("string"))
+    said = said.withColumn("h", F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long"))
+    once = F.struct((F.col("h") % 12).alias("batch"), "role")
+    again = F.struct(((F.col("h") + 5) % 12).alias("batch"), F.lit("user").alias("role"))
+    arrivals = said.withColumn("a", F.explode(F.when(F.col("h") % 7 < 2, F.array(once, again)).otherwise(F.array(once)))).select("conv_id", "turn", "a.role", "text", "a.batch")
+    found = turns.reassemble(arrivals, batches=12, idle=2)
+    payload = F.when(F.col("event") == "close", F.array_join("pending", ",")).otherwise(F.concat("role", F.lit("|"), "text"))
+    return found.select("event", F.sha2(payload, 256).alias("sha256"), "conv_id", "turn", "batch", "n_missing", "n_breaks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -102,5 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_turns": op13_turns,
 }
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_licences": licences.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_licences": licences.oracle(), "op12_fill_middle": OP12_SQL}
