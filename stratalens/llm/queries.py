@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_cnn, embedding_dedup, fill_middle, licences, line_dedup, minhash_dedup, quality, secrets, source_mix, turns, url_filter
+from . import byte_bpe, byte_cnn, embedding_dedup, fill_middle, hidden_markov, licences, line_dedup, minhash_dedup, quality, secrets, source_mix, turns, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.transform(_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
     whole = fill_middle.restored(F.col("output"), F.col("form"))
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
+    "op11_hidden_markov": op11_hidden_markov,
     "op12_fill_middle": op12_fill_middle,
     "op13_turns": op13_turns,
 }
