@@ -117,46 +117,43 @@ class Experiment:
         self._need("corpus")
         return written(sampling.patches_of(self.grey, self._training().select("image_id"), count, self.params, self.s1_bank, self.seed), "patches")
 
-    @staticmethod
-    def _arrays(patches: DataFrame, kwidth: int) -> np.ndarray:
-        rows = patches.where(F.col("kwidth") == kwidth).orderBy("patch_id").collect()  # the patches drawn, a bounded number
-        return np.array([np.array(r["data"], np.float32).reshape(-1, kwidth, kwidth) for r in rows])
-
     def make_prototypes(self, n: int, algorithm="imprint", samples: int | None = None, masks: DataFrame | None = None, base_weight: float = 0.0, regression_samples: int = REGRESSION_SAMPLES, **options) -> Experiment:
         """n prototypes of each width, learned from patches of the training images' C1 maps. Only images with a
-        drawn place are computed, and only their patches come to the driver: samples of them (10 n if it learns).
+        drawn place are computed: samples of them (10 n if it learns). Learners read the table of patches; a caller's own function gets it as an array.
 
-        Weighted learners take patches' weights from masks (image_id, y, x, m; m = 0 is foreground), or from the use that
-        a classifier makes of like prototypes; they learn one width only."""
+        Weighted learners take patches' weights from masks (image_id, and y, x, m or height, width, data; 0 is foreground), or from the
+        use that a classifier makes of like prototypes; they learn one width only."""
         self._need("corpus")
         if n <= 0:
             raise ValueError("a number of prototypes is needed")
         began = time.monotonic()
-        weighted = isinstance(algorithm, str) and algorithm.lower() in prototypes.WEIGHTED
-        learner = prototypes.kmeans if weighted else prototypes.resolve(algorithm)
+        name = algorithm.lower() if isinstance(algorithm, str) else ""
+        weighted = prototypes.WEIGHTED.get(name)
+        if weighted:
+            algorithm, options = "kmeans", options | {"weight": F.col("w")}
+        prototypes.resolve(algorithm)
         if weighted and len(self.params.s2_kwidth) > 1:
             raise ValueError("weighted learners make prototypes of one width")
-        drawn = self.draw_patches(samples or (n if learner in (prototypes.imprint, prototypes.shuffled) else 10 * n))
+        drawn = self.draw_patches(samples or (n if name in ("imprint", "shuffle") else 10 * n))
         banks = []
         for k in self.params.s2_kwidth:
-            patches = self._arrays(drawn, k)
-            more = {"weights": self._weights(prototypes.WEIGHTED[algorithm.lower()], drawn, patches, masks, base_weight, regression_samples)} if weighted else {}
-            banks.append(prototypes.checked(learner, n, patches, seed=self.seed, **more, **options))
+            rows = drawn.where(F.col("kwidth") == k).select(F.col("patch_id").alias("id"), F.col("data").cast("array<double>").alias("features"))
+            if weighted:
+                rows = written(self._weighted(weighted, rows, drawn, masks, base_weight, regression_samples), "weighted")
+            banks.append(prototypes.learned(algorithm, n, rows, (self.params.s1_num_orientations, k, k), **options))
         self.banks, self.places = banks, drawn.drop("data")
         self._timed("prototypes", began)
         return self
 
-    def _weights(self, kind: str, drawn: DataFrame, patches: np.ndarray, masks: DataFrame | None, base: float, regression_samples: int) -> np.ndarray:
+    def _weighted(self, kind: str, rows: DataFrame, drawn: DataFrame, masks: DataFrame | None, base: float, regression_samples: int) -> DataFrame:
         if kind == "mask":
             if masks is None:
                 raise ValueError("masks are needed")
             box = geometry.receptive_field(self.params, F.col("scale"), F.col("y0"), F.col("x0"), self.params.s2_kwidth[0])
             boxes = drawn.select(F.col("patch_id").alias("box_id"), "image_id", *(v.alias(k) for k, v in box.items()))
-            ratios = {r["box_id"]: r["ratio"] for r in analysis.foreground_ratio(boxes, masks).collect()}  # a number for each patch
-            ordered = [r["patch_id"] for r in drawn.select("patch_id").orderBy("patch_id").collect()]
-            return prototypes.mask_weights(np.array([ratios[k] for k in ordered]), base)
-        known, coefficients = self._rated(regression_samples)
-        return prototypes.quality_weights(prototypes.meta_features(patches), prototypes.meta_features(known), coefficients)
+            arrays = masks if "data" in masks.columns else analysis.mask_arrays(masks)
+            return prototypes.mask_weights(rows, analysis.foreground_ratio(boxes, arrays), base)
+        return prototypes.use_weights(rows, *self._rated(regression_samples))
 
     def _rated(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Imprinted prototypes, and the coefficients that a classifier of their activation gives them."""
@@ -290,8 +287,8 @@ class Experiment:
         """image_id, scale, y0 and x0 of an imprinted prototype."""
         if self.places is None:
             raise ExperimentError("prototypes were not drawn from images")
-        order = prototypes.imprint_order(len(self.banks[kwidth]), self.seed)
-        at = self.places.where(F.col("kwidth") == self.params.s2_kwidth[kwidth]).orderBy("patch_id").collect()[order[k]]
+        here = self.places.where(F.col("kwidth") == self.params.s2_kwidth[kwidth])
+        at = learners.digest_order(here, "patch_id").limit(k + 1).collect()[k]  # the prototypes
         return {c: at[c] for c in ("image_id", "scale", "y0", "x0")}
 
     def receptive_field(self, scale: int, y: int, x: int, kwidth: int = 0) -> dict:

@@ -42,3 +42,11 @@ def scales_supported(p: Params, side: int) -> int:
         if p.scale_factor == 1:
             break
     return n
+
+
+def scales_of(p: Params, side: Column, most: int = 64) -> Column:
+    """scales_supported() of a column of sides, up to a number of scales."""
+    if p.scale_factor == 1:
+        return (side > minimum_side(p)).cast("int")
+    grown = F.array(*(F.lit(minimum_side(p) * p.scale_factor**i) for i in range(most)))
+    return F.size(F.filter(grown, lambda least: least < side))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import kernels
-from .operators import analysis, clusters, filters, learn, learners, normalise, packed, sequences
+from .operators import analysis, clusters, factors, filters, learn, learners, normalise, packed, sequences, sums
 from .queries import _C1, MAP, NDP, _c1, cells_sql, gabors, maps, mask_fg_ratio, out, prototypes, query, r6, rounded, table, vectors
 
 N, SIZE, STEPS = 6, 64, 3
@@ -57,9 +57,11 @@ def learn_shuffle(spark, d):
     return bank(spark, learners.shuffle(vectors(spark, d), N))
 
 
-@query(f"SELECT CAST(k AS INT) AS kernel, CAST(i AS INT) AS pos, {r6(draw_sql(chr(39) + 'uniform' + chr(39), 'k', 'i'))} AS w FROM range({N}) AS a(k), range({SIZE}) AS b(i)")
+@query(f"WITH b AS (SELECT CAST(min(e) AS DOUBLE) AS low, CAST(max(e) AS DOUBLE) AS high FROM (SELECT unnest(embedding) AS e FROM embeddings)) SELECT CAST(k AS INT) AS kernel, CAST(i AS INT) AS pos, {r6('low + (high - low) * ' + draw_sql(chr(39) + 'uniform' + chr(39), 'k', 'i'))} AS w FROM b, range({N}) AS a(k), range({SIZE}) AS c(i)")
 def learn_uniform(spark, d):
-    return bank(spark, learners.uniform(N, SIZE))
+    """Even draws between the extremes of the vectors' elements."""
+    low, high = vectors(spark, d).agg(F.min(F.array_min("features")), F.max(F.array_max("features"))).first()
+    return bank(spark, learners.uniform(N, SIZE, low, high))
 
 
 _NORMAL = f"sqrt(-2 * ln({draw_sql(chr(39) + 'normal' + chr(39), 'k', 'i', '1')})) * cos(2 * pi() * {draw_sql(chr(39) + 'normal' + chr(39), 'k', 'i', '2')})"
@@ -97,43 +99,101 @@ def learn_contrast_kmeans(spark, d):
     return bank(spark, learners.k_means(learners.local_contrast(vectors(spark, d)), N, STEPS))
 
 
-_MEDOID = "SELECT p.cluster, coalesce(m.x, p.centre) AS centre FROM {0} p LEFT JOIN (SELECT a.cluster, a.id, any_value(a.x) AS x, round(sum(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))))), 9) AS cost FROM {1} a JOIN {1} b ON a.cluster = b.cluster GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.cluster ORDER BY cost, a.id) = 1) m ON p.cluster = m.cluster"
-_DEALT = "(SELECT s.id, s.x, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (x[i] - centre[i]) * (x[i] - centre[i]))) AS d FROM few s, {0} c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1"
+#: Swaps tried a round.
+TRIED = 8
 
 
-@query(f"""WITH {V}, few AS MATERIALIZED (SELECT id, x FROM v ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 400), {FIRST.format('few', N)}, c0 AS MATERIALIZED (SELECT kernel AS cluster, x AS centre FROM first),
-    n1 AS MATERIALIZED (SELECT * FROM {_DEALT.format('c0')}), c1 AS MATERIALIZED ({_MEDOID.format('c0', 'n1')}), n2 AS MATERIALIZED (SELECT * FROM {_DEALT.format('c1')}), c2 AS MATERIALIZED ({_MEDOID.format('c1', 'n2')}) {bank_of('c2', 'cluster', 'centre')}""")
+def swap_sql(r: int) -> str:
+    """CTEs of a round of swaps: m{r} (slot, x) from m{r - 1}, by the exact costs of all swaps over all rows."""
+    old, dist = f"m{r - 1}", "sqrt(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - {0}.x[i]) * (v.x[i] - {0}.x[i]))))"
+    return f"""t{r} AS MATERIALIZED (SELECT CAST(t - 1 AS INT) AS t, x FROM (SELECT x, row_number() OVER (ORDER BY md5(concat_ws(':', 'medoid', '{r - 1}', CAST(id AS VARCHAR))), id) AS t FROM v) WHERE t <= {TRIED}),
+    dm{r} AS MATERIALIZED (SELECT v.id, m.slot, {dist.format('m')} AS d FROM v, {old} m), dt{r} AS MATERIALIZED (SELECT v.id, t.t, {dist.format('t')} AS d FROM v, t{r} t),
+    without{r} AS MATERIALIZED (SELECT a.id, a.slot, min(b.d) AS d FROM dm{r} a JOIN dm{r} b ON a.id = b.id AND a.slot <> b.slot GROUP BY 1, 2),
+    cost{r} AS MATERIALIZED (SELECT w.slot, t.t, round(sum(least(w.d, t.d)), 6) AS c FROM without{r} w JOIN dt{r} t ON w.id = t.id GROUP BY 1, 2),
+    best{r} AS MATERIALIZED (SELECT slot, t FROM cost{r} WHERE c < (SELECT round(sum(d), 6) FROM (SELECT min(d) AS d FROM dm{r} GROUP BY id)) QUALIFY row_number() OVER (ORDER BY c, slot, t) = 1),
+    m{r} AS MATERIALIZED (SELECT m.slot, coalesce(t.x, m.x) AS x FROM {old} m LEFT JOIN best{r} b ON b.slot = m.slot LEFT JOIN t{r} t ON t.t = b.t)"""
+
+
+@query(f"WITH {V}, {FIRST.format('v', N)}, m0 AS MATERIALIZED (SELECT kernel AS slot, x FROM first), {swap_sql(1)}, {swap_sql(2)} {bank_of('m2', 'slot')}")
 def learn_kmedoids(spark, d):
-    """Of 400 vectors: a medoid needs all distances within its cluster."""
-    return bank(spark, learners.k_medoids(vectors(spark, d), N))
+    """Two rounds of swaps, each with the exact costs over all rows."""
+    return bank(spark, learners.k_medoids(vectors(spark, d), N, 2, TRIED))
+
+
+def mini_sql(s: int, batches: int) -> str:
+    """CTEs of a mini-batch step: centroids and counts b{s} from b{s - 1}."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - centre[i]) * (x[i] - centre[i])))"
+    return f"""a{s} AS MATERIALIZED (SELECT * FROM (SELECT q.*, c.cluster, {gap} AS d FROM q, b{s - 1} c WHERE batch = {(s - 1) % batches}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1),
+    s{s} AS MATERIALIZED (SELECT cluster, list(t ORDER BY i) AS total, any_value(w) AS w FROM (SELECT cluster, i, sum(w * x[i]) AS t, sum(w) AS w FROM a{s}, {POS} GROUP BY 1, 2) GROUP BY 1),
+    b{s} AS MATERIALIZED (SELECT b.cluster, CASE WHEN s.w > 0 THEN list_transform(range(1, 65), lambda i: (b.centre[i] * b.n + s.total[i]) / (b.n + s.w)) ELSE b.centre END AS centre, b.n + coalesce(s.w, 0) AS n FROM b{s - 1} b LEFT JOIN s{s} s ON s.cluster = b.cluster)"""
+
+
+@query(f"""WITH {V}, {FIRST.format('v', N)}, q AS MATERIALIZED (SELECT id, x, CAST(id % 3 + 1 AS DOUBLE) AS w, CAST(floor({draw_sql("'batch'", 'CAST(id AS VARCHAR)')} * 2) AS INT) AS batch FROM v),
+    b0 AS MATERIALIZED (SELECT kernel AS cluster, x AS centre, 0.0 AS n FROM first), {mini_sql(1, 2)}, {mini_sql(2, 2)}, {mini_sql(3, 2)} {bank_of('b3', 'cluster', 'centre')}""")
+def learn_mini_batch(spark, d):
+    """Weighted mini-batch k-means: three steps over two batches, which hold all rows."""
+    rows = vectors(spark, d)
+    model = learners.mini_batch_steps(rows, learners.imprint(rows, N), batches=2, count=3, weight=F.col("id") % 3 + 1)
+    return bank(spark, model.centres)
+
+
+@query()
+def learn_mini_batch_spread(spark, d):
+    """Weighted mini-batch k-means to its end, from spread starts."""
+    return bank(spark, learners.mini_batch(vectors(spark, d), N, batches=4, rounds=5, weight=(F.col("id") % 3 + 1).cast("double"))[0])
+
+
+@query()
+def learn_whitened_kmeans(spark, d):
+    """k-means of vectors of normed contrast, whitened over the whole table; centroids are brought back."""
+    from .operators import prototypes as P
+
+    return bank(spark, P.contrast_kmeans(vectors(spark, d), N, rounds=STEPS))
 
 
 @query(f"WITH {V}, m AS MATERIALIZED (SELECT i, avg(x[i]) AS m FROM v, {POS} GROUP BY 1) SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.j - 1 AS INT) AS j, {r6('avg(x[a.i] * x[b.j]) - any_value(p.m) * any_value(q.m)')} AS c FROM v, range(1, 65) AS a(i), range(1, 65) AS b(j), m p, m q WHERE p.i = a.i AND q.i = b.j GROUP BY 1, 2")
 def learn_covariance(spark, d):
     """What PCA and whitening take from the table."""
-    _, c = learners.covariance(vectors(spark, d))
+    _, c = sums.covariance(vectors(spark, d))
     return rounded(spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(c) for j, v in enumerate(row)], "i int, j int, c double"), "c")
 
 
-def _sampled(name: str, nonnegative: bool = False):
-    def run(spark, d):
-        from .operators import prototypes as P
+@query()
+def learn_ica(spark, d):
+    return bank(spark, factors.ica(vectors(spark, d), N, rounds=12))
 
-        x = learners.imprint(vectors(spark, d), 400).reshape(-1, 1, 8, 8)
-        return rounded(kernels.frame(spark, P.resolve(name)(N, x - x.min() if nonnegative else x)), "w")
 
-    run.__name__ = f"learn_{name}"
-    run.__doc__ = "Learned from the 400 vectors of the smallest digests: this learner works on drawn patches."
-    return run
+@query()
+def learn_sparse_pca(spark, d):
+    return bank(spark, factors.sparse_pca(vectors(spark, d), N))
 
 
-for _name in ("ica", "sparse_pca", "nmf"):
-    query()(_sampled(_name, _name == "nmf"))
+@query()
+def learn_nmf(spark, d):
+    """Parts of the vectors less the least element of all."""
+    low = vectors(spark, d).agg(F.min(F.array_min("features"))).first()[0]
+    rows = vectors(spark, d).withColumn("features", F.transform("features", lambda v: v - F.lit(low)))
+    return bank(spark, factors.nmf(rows, N, rounds=8)[0])
 
 
-@query()
+SQUARINGS = 14
+
+
+def direction_sql(k: int) -> str:
+    """CTEs of the leading direction d{k} of the covariance m{k}, by squaring it again and again, and the covariance without it."""
+    dot = "list_dot_product(a, b)"
+    return f"""p{k} AS (SELECT 0 AS s, c AS m FROM m{k} UNION ALL SELECT s + 1, list_transform(q, lambda a: list_transform(a, lambda e: e / t)) FROM (SELECT s, q, list_sum(list_transform(range(1, 65), lambda i: q[i][i])) AS t FROM (SELECT s, list_transform(m, lambda a: list_transform(m, lambda b: {dot})) AS q FROM p{k} WHERE s < {SQUARINGS}))),
+    r{k} AS (SELECT row AS x FROM (SELECT unnest(m) AS row, unnest(list_transform(range(1, 65), lambda i: m[i][i])) AS top FROM p{k} WHERE s = {SQUARINGS}) ORDER BY top DESC LIMIT 1),
+    d{k} AS MATERIALIZED (SELECT list_transform(x, lambda e: e / sqrt(list_dot_product(x, x)) * sign(list_max(x) + list_min(x))) AS x FROM r{k}),
+    m{k + 1} AS MATERIALIZED (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: c[i][j] - lambda_ * x[i] * x[j])) AS c FROM (SELECT c, x, list_dot_product(x, list_transform(c, lambda r: list_dot_product(r, x))) AS lambda_ FROM m{k}, d{k}))"""
+
+
+@query(f"""WITH RECURSIVE {V}, mean AS MATERIALIZED (SELECT i, avg(x[i]) AS m FROM v, {POS} GROUP BY 1), u AS MATERIALIZED (SELECT id, list(x[i] - m ORDER BY i) AS x FROM v, mean GROUP BY 1),
+    m1 AS MATERIALIZED (SELECT list(row ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS row FROM (SELECT a.i, b.j, avg(x[a.i] * x[b.j]) AS c FROM u, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY 1, 2) GROUP BY 1)),
+    {', '.join(direction_sql(k) for k in range(1, 4))}, found AS (SELECT 0 AS kernel, x FROM d1 UNION ALL SELECT 1, x FROM d2 UNION ALL SELECT 2, x FROM d3) SELECT CAST(kernel AS INT) AS kernel, CAST(i - 1 AS INT) AS pos, round(x[i], 4) + 0.0 AS w FROM found, {POS}""")
 def learn_pca(spark, d):
-    return bank(spark, learners.pca(vectors(spark, d), N)[0])
+    """Three principal directions, to four digits."""
+    return learners.frame(spark, factors.pca(vectors(spark, d), 3)[0]).withColumn("w", F.round("w", 4) + 0.0)
 
 
 @query(f"""WITH {V}, {cells_sql()}, b AS (SELECT vec_id AS id, label, CAST(vec_id % 4 AS INT) AS t, CAST(vec_id % 3 AS INT) AS l FROM embeddings),
@@ -156,7 +216,7 @@ _Q = "l[CAST(floor({0}) AS INT)] * (1 - ({0} - floor({0}))) + l[CAST(floor({0})
 _META = f"""meta AS MATERIALIZED (SELECT id, x, [m, sqrt(q - m * m), l[1], l[64], {_Q.format('(64 * 0.3 + 0.4 + 0.3 * 0.2)')}, {_Q.format('(64 * 0.7 + 0.4 + 0.7 * 0.2)')}] AS meta
     FROM (SELECT id, x, list_sum(x) / 64 AS m, list_sum(list_transform(x, lambda e: e * e)) / 64 AS q, list_sort(x) AS l FROM v))"""
 _RATES = "rates AS (SELECT i AS kernel, sum(((c * 7 + i * 3) % 11 - 5) / 10.0 * (((c * 7 + i * 3) % 11 - 5) / 10.0)) AS q FROM range(10) AS a(c), range(40) AS b(i) GROUP BY 1)"
-_WEIGH = """near AS (SELECT m.id, r.q, row_number() OVER (PARTITION BY m.id ORDER BY list_sum(list_transform(range(1, 7), lambda i: (m.meta[i] - k.meta[i]) * (m.meta[i] - k.meta[i]))), f.kernel) AS rank
+_WEIGH = """near AS (SELECT m.id, r.q, row_number() OVER (PARTITION BY m.id ORDER BY round(list_sum(list_transform(range(1, 7), lambda i: (m.meta[i] - k.meta[i]) * (m.meta[i] - k.meta[i]))), 9), f.kernel) AS rank
     FROM meta m, first40 f JOIN meta k ON k.id = f.id JOIN rates r ON r.kernel = f.kernel), w AS (SELECT id, avg(q) AS w FROM near WHERE rank <= 4 GROUP BY 1), o AS MATERIALIZED (SELECT v.id, v.x, w.w FROM v JOIN w ON v.id = w.id)"""
 
 
@@ -164,12 +224,11 @@ _WEIGH = """near AS (SELECT m.id, r.q, row_number() OVER (PARTITION BY m.id ORDE
 def learn_mfw_kmeans(spark, d):
     """Vectors weigh by the rates of the 4 known vectors of the likest meta-features; rates are sums of squared coefficients."""
     rows = vectors(spark, d)
-    drawn = rows.select("id", _meta(F.col("features")).alias("features"))
-    known = learners.imprint(drawn, KNOWN)
+    meta = rows.select("id", _meta(F.col("features")).alias("features"))
     coefficients = spark.createDataFrame([(c, i, float(w)) for c, r in enumerate(RATES) for i, w in enumerate(r)], "class int, pos int, w double")
-    quality = [r["quality"] for r in learners.coefficient_quality(coefficients).orderBy("pos").collect()]
-    weighted = rows.withColumn("w", learners.nearest_quality(known, np.array(quality), _meta(F.col("features"))))
-    return bank(spark, learners.k_means(weighted, N, STEPS, F.col("w")))
+    quality = [r["quality"] for r in learners.coefficient_quality(coefficients).orderBy("pos").collect()]  # KNOWN rows
+    known = spark.createDataFrame([(k, m.tolist(), float(q)) for k, (m, q) in enumerate(zip(learners.imprint(meta, KNOWN), quality))], "id long, features array<double>, w double")
+    return bank(spark, learners.k_means(rows.join(clusters.knn_mean(meta, known, "w"), "id"), N, STEPS, F.col("w")))
 
 
 @query(f"WITH {V}, {k_means_sql('v', 5, STEPS, '(id % 3 + 1)')} SELECT id, cluster, {r6('d')} AS distance FROM n{STEPS + 1}")
@@ -285,10 +344,12 @@ def hist2d_weighted(spark, d):
     return rounded(rows, "n").where("n between 1 and 1000")
 
 
-@query("SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(exp(-(xo * xo + 0.25 * yo * yo) / (2 * 2.5 * 2.5)) * sin(0.7 + 2 * pi() * xo / 4.5), 6) + 0.0 AS v FROM (SELECT y, x, (x - 4.5) * cos(0.6) + (y - 3.5) * sin(0.6) AS xo, -(x - 4.5) * sin(0.6) + (y - 3.5) * cos(0.6) AS yo FROM range(7) AS a(y), range(9) AS b(x))")
+@query(f"""WITH {cells_sql()}, k AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, exp(-(xo * xo + 0.25 * yo * yo) / (2 * 2.5 * 2.5)) * sin(0.7 + 2 * pi() * xo / 4.5) AS w FROM (SELECT y, x, (x - 4) * cos(0.6) + (y - 4) * sin(0.6) AS xo, -(x - 4) * sin(0.6) + (y - 4) * cos(0.6) AS yo FROM range(8) AS a(y), range(8) AS b(x)))
+    SELECT image_id, {r6('sum(c.v * k.w)')} AS v FROM cells c JOIN k ON c.y = k.y AND c.x = k.x GROUP BY 1""")
 def gabor_fill(spark, d):
-    filled = kernels.gabor_fill(2.5, 0.6, 0.7, 0.5, 4.5, 7, 9)
-    return rounded(kernels.frame(spark, filled[None]).select(F.col("ky").alias("y"), F.col("kx").alias("x"), F.col("w").alias("v")))
+    """The maps' products with one Gabor function over the whole map."""
+    filled = kernels.frame(spark, kernels.gabor_fill(2.5, 0.6, 0.7, 0.5, 4.5, 8, 8)[None]).select(F.col("ky").alias("y"), F.col("kx").alias("x"), "w")
+    return rounded(maps(spark, d).join(F.broadcast(filled), ["y", "x"]).groupBy("image_id").agg(F.sum(F.col("v") * F.col("w")).alias("v")))  # 64 rows
 
 
 @query("SELECT e.vec_id, CASE WHEN e.label < 5 THEN 'host' || e.label END AS host FROM embeddings e")

@@ -161,11 +161,44 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     return by.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg((F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
-def foreground_ratio(boxes: DataFrame, mask: DataFrame) -> DataFrame:
-    """Of each box (box_id, image_id, top, bottom, left, right) the share of mask cells (image_id, y, x, m) in it
-    that are foreground, m = 0; an image without a mask gives 0. Boxes and cells meet on image_id."""
-    inside = (mask.image_id == boxes.image_id) & (mask.y >= boxes.top) & (mask.y < boxes.bottom) & (mask.x >= boxes.left) & (mask.x < boxes.right)
-    return boxes.join(mask, inside, "left").groupBy("box_id").agg(F.coalesce(F.avg(1 - mask.m), F.lit(0.0)).alias("ratio"))
+def mask_arrays(cells: DataFrame) -> DataFrame:
+    """(image_id, height, width, data) of mask cells (image_id, y, x, m), row by row; a cell that isn't there is background."""
+    sized = cells.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).alias("at"), F.col("m").cast("double").alias("m")))).alias("held"))
+    i = F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)
+    at = lambda k: F.struct(F.floor(k / F.col("width")).cast("int").alias("y"), (k % F.col("width")).cast("int").alias("x"))
+    return sized.select("image_id", "height", "width", F.transform(i, lambda k: F.coalesce(F.try_element_at("held", at(k)), F.lit(1.0))).alias("data"))
+
+
+def integral(masks: DataFrame) -> DataFrame:
+    """(image_id, height, width, sums) of masks (image_id, height, width, data): the foreground, 1 less the mask's value, above and
+    to the left of each corner, (height + 1) x (width + 1) numbers."""
+
+    def one(height: pa.Array, width: pa.Array, data: pa.Array) -> pa.Array:
+        out, cells, at = [], data.flatten().to_numpy(zero_copy_only=False), 0
+        for h, w in zip(height.to_pylist(), width.to_pylist()):
+            table = np.zeros((h + 1, w + 1))
+            table[1:, 1:] = (1 - cells[at : at + h * w].astype(np.float64).reshape(h, w)).cumsum(axis=0).cumsum(axis=1)
+            at += h * w
+            out.append(table.ravel())
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0)))
+
+    sums = F.arrow_udf(one, "array<double>")(F.col("height").cast("int"), F.col("width").cast("int"), F.col("data").cast("array<double>"))
+    return masks.select("image_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), sums.alias("sums"))
+
+
+def foreground_ratio(boxes: DataFrame, masks: DataFrame) -> DataFrame:
+    """(box_id, ratio): of each box (box_id, image_id, top, bottom, left, right) the share of foreground in the part of it that lies
+    in its image's mask (image_id, height, width, data; 0 is foreground, 1 background). No mask, or no such part, gives 0.
+
+    A box takes four values of its mask's integral image, which it meets on image_id."""
+    both = boxes.select("box_id", "image_id", *(F.col(c).cast("int").alias(c) for c in ("top", "bottom", "left", "right"))).join(integral(masks), "image_id", "left")
+    inside = lambda c, most: F.least(F.greatest(F.col(c), F.lit(0)), F.col(most))
+    top, bottom, left, right = inside("top", "height"), inside("bottom", "height"), inside("left", "width"), inside("right", "width")
+    at = lambda y, x: F.get("sums", y * (F.col("width") + 1) + x)
+    cells = (bottom - top) * (right - left)
+    some = F.col("sums").isNotNull() & (bottom > top) & (right > left)
+    return both.select("box_id", F.when(some, (at(bottom, right) - at(top, right) - at(bottom, left) + at(top, left)) / cells).otherwise(F.lit(0.0)).alias("ratio"))
 
 
 def power_spectrum(images: DataFrame, data: str, height: int, width: int) -> DataFrame:

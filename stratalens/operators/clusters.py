@@ -1,24 +1,55 @@
-"""Centroids: nearest ones, steps of weighted k-means, nearest neighbours.
+"""Centroids: nearest ones, sums of clusters, nearest neighbours.
 
-Vectors are rows (id, features array<double>); centroids are few and stand in a literal array,
-so distances need no join and a step is one partial and one final aggregate."""
+Vectors are rows (id, features array<double>). Centroids are few and travel with the function that measures distances
+to them, batch by batch in numpy; of clusters only their sums leave the tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sums
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
+def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """(row, centroid), by differences: equal vectors give equal numbers."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+
+
 def nearest(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Adds cluster and distance (squared); the first of equals."""
-    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centroids))
-    each = F.transform(centres, lambda c, i: F.struct(squared_distance(F.col("features"), c).alias("d"), i.alias("k")))
-    return rows.withColumn("_best", F.array_min(each)).select("*", F.col("_best.k").alias("cluster"), F.col("_best.d").alias("distance")).drop("_best")
+
+    def one(column: pa.Array) -> pa.Array:
+        x = sums.matrix(column)
+        d = squared_distances(x, centroids) if len(x) else np.zeros((0, len(centroids)))
+        at = d.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
+        return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(x)), at])], names=["cluster", "distance"])
+
+    best = F.arrow_udf(one, "struct<cluster:int,distance:double>")("features")
+    return rows.withColumn("_best", best).select("*", F.col("_best.cluster").alias("cluster"), F.col("_best.distance").alias("distance")).drop("_best")
+
+
+def cluster_sums(rows: DataFrame, centroids: np.ndarray, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of each cluster the weighted sum of its rows and their weight; and the weighted sum of squared distances."""
+    k, d = centroids.shape
+
+    def part(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        gap = squared_distances(x, centroids)
+        at = gap.argmin(axis=1)
+        own = np.zeros((len(x), k))
+        own[np.arange(len(x)), at] = w
+        return np.concatenate([(own.T @ x).ravel(), own.sum(axis=0), [(gap[np.arange(len(x)), at] * w).sum()]])
+
+    got = sums.total(rows, part, k * d + k + 1, (F.lit(1.0) if weight is None else weight).cast("double"))
+    return got[: k * d].reshape(k, d), got[k * d : -1], float(got[-1])
 
 
 def step(assigned: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -43,15 +74,63 @@ def k_means(rows: DataFrame, k: int, iterations: int = 20, seed: int = 0, weight
     return np.array(fitted.clusterCenters())
 
 
-#: Rows of a reference set that nearest neighbours are taken from, at most: they stand in the plan.
-KNOWN = 1000
+#: Rows of a tile of a reference set or of queries.
+TILE = 4096
+#: Digits of squared distances that neighbours are ordered by; the smallest id goes first among equals.
+DIGITS = 9
+
+
+def _best(k: int, queries: np.ndarray, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and places of the k nearest known rows of each query."""
+    d = (queries * queries).sum(axis=1)[:, None] + (known * known).sum(axis=1) - 2 * queries @ known.T
+    d = np.round(np.maximum(d, 0), DIGITS)
+    few = min(k, len(known))
+    if few < len(known):
+        # all that are as near as the k-th, so that ids decide among equals
+        bound = np.partition(d, few - 1, axis=1)[:, few - 1]
+        width = int((d <= bound[:, None]).sum(axis=1).max(initial=0))
+        at = np.argpartition(d, min(width, len(known)) - 1, axis=1)[:, :width]
+    else:
+        at = np.broadcast_to(np.arange(len(known)), d.shape)
+    near = np.take_along_axis(d, at, axis=1)
+    order = np.lexsort((ids[at], near), axis=1)[:, :few]
+    at = np.take_along_axis(at, order, axis=1)
+    return np.take_along_axis(d, at, axis=1), at
+
+
+def knn(queries: DataFrame, known: DataFrame, value: str, k: int = 4) -> DataFrame:
+    """(id, near): of each query its k nearest known rows, as structs (d, id, value) in order. Ids are longs, of either side unique.
+
+    Both sides are dealt into tiles, and each pair of tiles is a group of work of bounded size, which keeps its k nearest of each
+    query; of these the nearest stay."""
+    if k < 1:
+        raise ValueError("a neighbour is needed")
+    deal = lambda rows: max(1, -(-rows.count() // TILE))
+    q, r = deal(queries), deal(known)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"), own(q).alias("qt"), every(r).alias("rt"))
+    right = known.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"), F.col(value).cast("double").alias("value"), own(r).alias("rt"), every(q).alias("qt"))
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.combine_chunks(), b.combine_chunks()
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "known": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        x, y = sums.matrix(a["features"].chunk(0)), sums.matrix(b["features"].chunk(0))
+        ids, known_ids, values = a["id"].to_numpy(), b["id"].to_numpy(), b["value"].to_numpy(zero_copy_only=False)
+        out = [[], [], [], []]
+        for s in range(0, len(x), 512):
+            d, at = _best(k, x[s : s + 512], y, known_ids)
+            for column, v in zip(out, (np.repeat(ids[s : s + 512], at.shape[1]), d.ravel(), known_ids[at].ravel(), values[at].ravel())):
+                column.append(v)
+        return pa.table(dict(zip(("id", "d", "known", "value"), map(np.concatenate, out))))
+
+    found = left.groupBy("qt", "rt").cogroup(right.groupBy("qt", "rt")).applyInArrow(pair, "id long, d double, known long, value double")
+    near = F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("known").alias("id"), "value"))), 1, k)
+    return found.groupBy("id").agg(near.alias("near"))
 
 
 def knn_mean(queries: DataFrame, known: DataFrame, value: str, k: int = 4) -> DataFrame:
-    """(id, value): mean of the value over a query's k nearest rows of a reference set of at most KNOWN rows, in one expression."""
-    held = known.select("id", "features", value).limit(KNOWN + 1).collect()
-    if not 0 < len(held) <= KNOWN:
-        raise ValueError(f"a reference set has 1 to {KNOWN} rows")
-    table = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in r["features"])).alias("x"), F.lit(r["id"]).alias("id"), F.lit(float(r[value])).alias("q")) for r in held))
-    near = F.array_sort(F.transform(table, lambda t: F.struct(squared_distance(F.col("features"), t["x"]).alias("d"), t["id"].alias("id"), t["q"].alias("q"))))
-    return queries.select("id", (F.aggregate(F.slice(near, 1, k), F.lit(0.0), lambda s, t: s + t["q"]) / min(k, len(held))).alias(value))
+    """(id, value): mean of the value over a query's k nearest rows of a reference set of any size, or all of a smaller one."""
+    total = F.aggregate("near", F.lit(0.0), lambda s, t: s + t["value"])
+    return knn(queries, known, value, k).select("id", (total / F.size("near")).alias(value))

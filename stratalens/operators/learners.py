@@ -6,23 +6,27 @@ of clusters); only numbers of the prototypes' size come to the driver."""
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters
+from ..sources.scratch import shared_folder
+from . import clusters, sums
+from .draws import draw, drawn
 
+#: Digits of costs that medoids are compared by.
+DIGITS = 6
 
-def draw(*key) -> float:
-    """A number in (0, 1), by the key's digest."""
-    return (int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+def digest_order(rows: DataFrame, key: str) -> DataFrame:
+    return rows.orderBy(F.md5(F.col(key).cast("string")), key)
 
 
 def _first(rows: DataFrame, n: int) -> DataFrame:
     """The n rows of the smallest digests of their ids, in order."""
-    return rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n)
+    return digest_order(rows, "id").limit(n)
 
 
 def _bank(rows: DataFrame, n: int) -> np.ndarray:
@@ -80,13 +84,12 @@ def histogram(rows: DataFrame, n: int, size: int, bins: int = 100, resolution: f
     return np.array([[one(k, i) for i in range(size)] for k in range(n)])
 
 
-def k_means(rows: DataFrame, n: int, steps: int = 10, weight: Column | None = None, tol: float = 0.0) -> np.ndarray:
-    """Weighted Lloyd steps from drawn vectors; a cluster without rows, or without weight, keeps its centroid."""
-    centres = imprint(rows, n)
-    for _ in range(steps):
-        moved = centres.copy()
-        for r in clusters.step(clusters.nearest(rows, centres), weight).where("weight > 0").collect():  # n * size rows
-            moved[r["cluster"], r["pos"]] = r["v"]
+def steps(rows: DataFrame, centres: np.ndarray, rounds: int, weight: Column | None = None, tol: float = 0.0) -> np.ndarray:
+    """Weighted Lloyd steps; a cluster without rows, or without weight, keeps its centroid. It ends when the centroids move by
+    no more than tol, squared and summed; tol is a share of the elements' mean variance in scale_free()."""
+    for _ in range(rounds):
+        total, mass, _ = clusters.cluster_sums(rows, centres, weight)
+        moved = np.where(mass[:, None] > 0, total / np.where(mass > 0, mass, 1)[:, None], centres)
         gap = float(((moved - centres) ** 2).sum())
         centres = moved
         if gap <= tol:
@@ -94,26 +97,162 @@ def k_means(rows: DataFrame, n: int, steps: int = 10, weight: Column | None = No
     return centres
 
 
-def nearest_k_means(rows: DataFrame, n: int, steps: int = 10) -> np.ndarray:
+def scale_free(rows: DataFrame, tol: float) -> float:
+    """A tolerance as a share of the elements' mean variance."""
+    _, c = sums.covariance(rows)
+    return tol * float(np.diag(c).mean())
+
+
+def k_means(rows: DataFrame, n: int, rounds: int = 10, weight: Column | None = None, tol: float = 0.0, start: str = "imprint") -> np.ndarray:
+    """Weighted k-means from drawn vectors ("imprint") or from spread ones ("spread")."""
+    centres = spread(rows, n, weight=weight) if start == "spread" else imprint(rows, n)
+    return steps(rows, centres, rounds, weight, tol)
+
+
+def spread(rows: DataFrame, n: int, rounds: int = 4, factor: int = 2, weight: Column | None = None) -> np.ndarray:
+    """Starts that lie apart. In each round every row is drawn with odds of factor * n times its share of the weighted squared
+    distance to those drawn before (so about factor * n a round); candidates weigh what is nearest to them, and n of them stay:
+    the heaviest, then again and again the one with the largest weight times squared distance to those that stay."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    found = imprint(rows, 1)
+    for r in range(rounds):
+        _, _, cost = clusters.cluster_sums(rows, found, w)
+        if cost <= 0:
+            break
+        odds = F.col("distance") * w * (factor * n / cost)
+        picked = clusters.nearest(rows, found).where(odds > drawn("spread", r, F.col("id"))).orderBy("id").select("features").collect()  # factor * n rows, about
+        found = np.unique(np.concatenate([found, *(np.array([p["features"]], float) for p in picked)]), axis=0)
+    if len(found) < n:
+        more = imprint(rows, n)
+        found = np.concatenate([found, more[~(more[:, None] == found[None]).all(axis=2).any(axis=1)]])
+    if len(found) < n:  # vectors repeat
+        return np.concatenate([found, imprint(rows, n)])[:n]
+    _, mass, _ = clusters.cluster_sums(rows, found, w)
+    chosen = [int(mass.argmax())]
+    gap = ((found - found[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < n:
+        score = np.where(np.isin(np.arange(len(found)), chosen), -1.0, gap * mass)
+        chosen.append(int(score.argmax()))
+        gap = np.minimum(gap, ((found - found[chosen[-1]]) ** 2).sum(axis=1))
+    return found[chosen]
+
+
+class MiniBatch:
+    """Centroids with counts, moved by one batch after another: each is the weighted mean of what it has met."""
+
+    def __init__(self, centres: np.ndarray, counts: np.ndarray | None = None, sphered: bool = False):
+        self.centres, self.sphered = np.array(centres, float), sphered
+        self.counts = np.zeros(len(centres)) if counts is None else np.array(counts, float)
+
+    def update(self, batch: DataFrame, weight: Column | None = None) -> float:
+        """Takes a batch in; the weighted sum of squared distances to the centroids before."""
+        total, mass, inertia = clusters.cluster_sums(batch, self.centres, weight)
+        some = mass > 0
+        self.centres[some] = (self.centres[some] * self.counts[some, None] + total[some]) / (self.counts[some] + mass[some])[:, None]
+        self.counts = self.counts + mass
+        if self.sphered:
+            self.centres[some] /= np.maximum(np.linalg.norm(self.centres[some], axis=1, keepdims=True), 1e-12)
+        return inertia
+
+    def deal_anew(self, batch: DataFrame, turn: int, ratio: float = 0.01, weight: Column | None = None) -> int:
+        """Centroids of few counts (1, or ratio of the largest) become rows of the batch, drawn by cumulative weight: a row's
+        odds are its weight times how much nearer than the farthest row it lies to its centroid. How many did."""
+        low = np.flatnonzero((self.counts <= 1) | (self.counts <= ratio * self.counts.max()))
+        if not len(low):
+            return 0
+        near = clusters.nearest(batch, self.centres)
+        far = near.agg(F.max("distance")).first()[0]
+        if far is None:
+            return 0
+        w = F.lit(1.0) if weight is None else weight.cast("double")
+        odds = w * (F.lit(float(far)) - F.col("distance"))
+        # the first of exponential clocks of these rates: a draw without repeats by cumulative weight, spread over tasks
+        clock = -F.log(drawn("anew", turn, F.col("id"))) / odds
+        for k, r in zip(low, near.where(odds > 0).orderBy(clock, "id").limit(len(low)).collect()):
+            self.centres[k], self.counts[k] = r["features"], 0.0
+        return len(low)
+
+
+def dealt_batches(rows: DataFrame, batches: int, weight: Column | None = None) -> DataFrame:
+    """(id, features, w, batch) of all rows, dealt by digests of ids and written by batch, so that a step reads its batch alone."""
+    w = (F.lit(1.0) if weight is None else weight).cast("double")
+    folder = f"{shared_folder(rows.sparkSession)}/batches-{uuid.uuid4().hex}"
+    dealt = rows.select("id", "features", w.alias("w"), F.floor(drawn("batch", F.col("id")) * batches).cast("int").alias("batch"))
+    dealt.write.partitionBy("batch").parquet(folder)
+    return rows.sparkSession.read.schema("id long, features array<double>, w double, batch int").parquet(folder)
+
+
+def mini_batch_steps(rows: DataFrame, centres: np.ndarray, batches: int, count: int, weight: Column | None = None, sphered: bool = False) -> MiniBatch:
+    """A number of mini-batch steps and nothing else."""
+    dealt, model = dealt_batches(rows, batches, weight), MiniBatch(centres, sphered=sphered)
+    for s in range(count):
+        model.update(dealt.where(F.col("batch") == s % batches), F.col("w"))
+    return model
+
+
+def mini_batch(rows: DataFrame, n: int, batches: int = 10, rounds: int = 20, weight: Column | None = None, start: str | np.ndarray = "spread", patience: int = 10, ratio: float = 0.01, tol: float = 0.0, sphered: bool = False) -> tuple[np.ndarray, list[float]]:
+    """Weighted mini-batch k-means over all rows, dealt once into batches by digests of ids; the smoothed inertia of each step.
+
+    It ends after `rounds` passes, when the smoothed inertia hasn't fallen for `patience` steps, or when centroids move by no
+    more than tol. Centroids of few counts are dealt anew every 10 steps, and later the more the fewest counts are."""
+    dealt = dealt_batches(rows, batches, weight)
+    mass = float(dealt.agg(F.sum("w")).first()[0] or 0)
+    if not mass:
+        raise ValueError("no samples")
+    centres = start if isinstance(start, np.ndarray) else spread(rows, n, weight=weight) if start == "spread" else imprint(rows, n)
+    model, alpha, smooth, best, waited = MiniBatch(centres, sphered=sphered), min(1.0, 2 / batches), [], np.inf, 0
+    for s in range(rounds * batches):
+        batch = dealt.where(F.col("batch") == s % batches)
+        if (s + 1) % (10 + int(model.counts.min())) == 0:
+            model.deal_anew(batch, s, ratio, F.col("w"))
+        before = model.centres.copy()
+        inertia = model.update(batch, F.col("w")) * batches / mass
+        smooth.append(inertia if not smooth else smooth[-1] * (1 - alpha) + inertia * alpha)
+        waited = 0 if smooth[-1] < best else waited + 1
+        best = min(best, smooth[-1])
+        if waited >= patience or 0 < tol >= float(((model.centres - before) ** 2).sum()):
+            break
+    return model.centres, smooth
+
+
+def nearest_k_means(rows: DataFrame, n: int, rounds: int = 10, **options) -> np.ndarray:
     """Of each cluster the vector nearest to its centroid; the centroid where a cluster is empty."""
-    centres = k_means(rows, n, steps)
+    centres = k_means(rows, n, rounds, **options)
     near = clusters.nearest(rows, centres).groupBy("cluster").agg(F.min_by("features", F.struct("distance", "id")).alias("v"))
     for r in near.collect():  # n rows
         centres[r["cluster"]] = r["v"]
     return centres
 
 
-def k_medoids(rows: DataFrame, n: int, sample: int = 400, steps: int = 2) -> np.ndarray:
-    """Medoids of the `sample` vectors of the smallest digests: those with the least summed distance to their cluster's."""
-    rows = _first(rows.select("id", "features"), sample)
-    centres = imprint(rows, n)
-    for _ in range(steps):
-        dealt = clusters.nearest(rows, centres).select("cluster", "id", "features")
-        pairs = dealt.join(dealt.select("cluster", F.col("features").alias("other")), "cluster")
-        cost = pairs.groupBy("cluster", "id").agg(F.round(F.sum(F.sqrt(clusters.squared_distance(F.col("features"), F.col("other")))), 9).alias("cost"), F.first("features").alias("v"))
-        for r in cost.groupBy("cluster").agg(F.min_by("v", F.struct("cost", "id")).alias("v")).collect():  # n rows
-            centres[r["cluster"]] = r["v"]
-    return centres
+def k_medoids(rows: DataFrame, n: int, rounds: int = 10, candidates: int = 24) -> np.ndarray:
+    """Vectors with a small summed distance of all rows to the nearest of them, by swaps.
+
+    A round draws candidates and takes, in one pass over all rows, the exact cost of every swap of a medoid for a candidate;
+    the best swap is made if it lowers the cost, else the search ends."""
+    medoids = imprint(rows, n)
+    for r in range(rounds):
+        others = rows.orderBy(F.md5(F.concat_ws(":", F.lit("medoid"), F.lit(str(r)), F.col("id").cast("string"))), "id").limit(candidates)
+        tried = np.array([x["features"] for x in others.select("features").collect()], float)  # candidates, at most
+
+        def part(x: np.ndarray, medoids: np.ndarray = medoids, tried: np.ndarray = tried) -> np.ndarray:
+            d, new = np.sqrt(clusters.squared_distances(x, medoids)), np.sqrt(clusters.squared_distances(x, tried))
+            at = d.argmin(axis=1)
+            first, rest = d[np.arange(len(x)), at], d.copy()
+            rest[np.arange(len(x)), at] = np.inf
+            with_all = np.minimum(new, first[:, None])
+            own = np.zeros((len(x), n))
+            own[np.arange(len(x)), at] = 1
+            # where a row's own medoid goes, its second counts
+            cost = with_all.sum(axis=0)[None] + own.T @ (np.minimum(new, rest.min(axis=1)[:, None]) - with_all)
+            return np.concatenate([[first.sum()], cost.ravel()])
+
+        got = np.round(sums.total(rows, part, 1 + n * len(tried)), DIGITS)
+        best = int(got[1:].argmin())
+        if got[1 + best] >= got[0]:
+            break
+        medoids = medoids.copy()
+        medoids[best // len(tried)] = tried[best % len(tried)]
+    return medoids
 
 
 def local_contrast(rows: DataFrame, bias: float = 10 / 255**2) -> DataFrame:
@@ -125,31 +264,6 @@ def local_contrast(rows: DataFrame, bias: float = 10 / 255**2) -> DataFrame:
     return rows.withColumn("_scale", F.sqrt(square + bias)).withColumn("features", F.transform("features", lambda v: (v - F.col("_mean")) / F.col("_scale"))).drop("_mean", "_scale")
 
 
-def covariance(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Means and the population covariance of the elements, by sums over the table."""
-    wide = rows.select(F.posexplode("features").alias("i", "a"), "features")
-    sums = wide.groupBy("i").agg(F.count("*").alias("n"), F.avg("a").alias("m"), F.array(*(F.avg(F.col("a") * F.get("features", F.lit(j))) for j in range(rows.select(F.size("features")).first()[0]))).alias("c")).collect()
-    sums = sorted(sums, key=lambda r: r["i"])
-    mean = np.array([r["m"] for r in sums])
-    return mean, np.array([r["c"] for r in sums]) - np.outer(mean, mean)
-
-
-def pca(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n principal directions, strongest first, the largest element of each positive; and the mean."""
-    mean, c = covariance(rows)
-    if n > len(c):
-        raise ValueError("fewer directions than prototypes")
-    v = np.linalg.eigh(c)[1][:, ::-1].T[:n]
-    return v * np.sign(v[np.arange(n), np.abs(v).argmax(axis=1)])[:, None], mean
-
-
-def nearest_quality(known: np.ndarray, quality: np.ndarray, features: Column, k: int = 4) -> Column:
-    """The mean quality of the k known vectors (some hundreds, in the plan) nearest to a row's, the first of equals."""
-    table = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in x)).alias("x"), F.lit(float(q)).alias("q")) for x, q in zip(known, quality)))
-    near = F.array_sort(F.transform(table, lambda t, i: F.struct(clusters.squared_distance(t["x"], features).alias("d"), i.alias("i"), t["q"].alias("q"))))
-    return F.aggregate(F.slice(near, 1, k), F.lit(0.0), lambda s, t: s + t["q"]) / min(k, len(known))
-
-
 def coefficient_quality(coefficients: DataFrame) -> DataFrame:
     """(pos, quality): squares of the coefficients (class, pos, w), summed over classes."""
     return coefficients.groupBy("pos").agg(F.sum(F.col("w") * F.col("w")).alias("quality"))

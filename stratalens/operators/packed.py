@@ -7,7 +7,7 @@ image's row to its feature vector."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images
 from ..params import Params, Response
+from ..plans.dag import Graph
 
 ORDER = ("image", "retina", "s1", "c1", "s2", "c2")
 MAPS = "image_id long, layer string, scale int, kwidth int, shape array<int>, data array<float>"
@@ -98,8 +99,34 @@ def layers_of(image: np.ndarray, p: Params, s1_bank: np.ndarray, s2_banks: list[
     return out
 
 
+def layers_above(x: np.ndarray, layer: str, scale: int, kwidth: int, p: Params, s2_banks: list[np.ndarray] | None, top: str) -> dict[str, list]:
+    """What a map of S1, C1 or S2 of one scale gives by itself, up to a layer; of C2 the maxima of this scale."""
+    out: dict[str, list] = {layer: [(scale, kwidth, x)]}
+    upto = ORDER.index(top)
+    if "s1" in out and upto >= 3:
+        c = pool(x, p.c1_kwidth, p.c1_sampling)
+        out["c1"] = [(scale, 0, whiten(c) if p.c1_whiten else c)]
+    if "c1" in out and upto >= 4:
+        if not s2_banks:
+            raise ValueError("S2 needs prototypes")
+        out["s2"] = [(scale, i, respond(out["c1"][0][2], b, p.s2_operation, p.s2_sampling, p.s2_bias, p.s2_beta)) for i, b in enumerate(s2_banks)]
+    if "s2" in out and upto >= 5:
+        out["c2"] = [(scale, i, m.max(axis=(1, 2))[:, None, None]) for _, i, m in out["s2"]]
+    return out
+
+
 class LayerError(RuntimeError):
-    """A layer could not be computed; the message names the image."""
+    """A layer could not be computed; the message names the image, and the layer and scale it was made from."""
+
+
+def _rows(owner: list[int], made: list[tuple], number: type, kind: pa.DataType) -> pa.RecordBatch:
+    """Rows of MAPS of (layer, scale, kwidth, map)."""
+    flat = [m[3].ravel().astype(number) for m in made]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat), kind))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(owner, pa.int64()), pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.array([list(m[3].shape) for m in made], pa.list_(pa.int32())), lists],
+        names=["image_id", "layer", "scale", "kwidth", "shape", "data"],
+    )
 
 
 def build(grey: DataFrame, p: Params, s1_bank: np.ndarray, s2_banks: list[np.ndarray] | None = None, wanted: tuple[str, ...] = ("c2",), precision: str = "float") -> DataFrame:
@@ -122,16 +149,72 @@ def build(grey: DataFrame, p: Params, s1_bank: np.ndarray, s2_banks: list[np.nda
                 made += some
                 owner += [ids[k]] * len(some)
             if made:
-                flat = [m[3].ravel().astype(number) for m in made]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat), kind))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner, pa.int64()), pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.array([list(m[3].shape) for m in made], pa.list_(pa.int32())), lists],
-                    names=["image_id", "layer", "scale", "kwidth", "shape", "data"],
-                )
+                yield _rows(owner, made, number, kind)
 
     return grey.select("image_id", "height", "width", "data").mapInArrow(run, MAPS.replace("array<float>", f"array<{precision}>"))
 
 
+def climb(maps: DataFrame, p: Params, s1_bank: np.ndarray | None = None, s2_banks: list[np.ndarray] | None = None, wanted: tuple[str, ...] = ("c2",), precision: str = "float") -> DataFrame:
+    """Rows of MAPS for the wanted layers, from rows of MAPS of one stored layer that lies at or below them.
+
+    From an image or retina on this is build(). S1, C1 and S2 are stored by scale, and each scale is worked on where its row is;
+    only C2's maxima, a number for each prototype, meet by image."""
+    if any(w not in ORDER for w in wanted):
+        raise LookupError(f"no layer among {', '.join(ORDER)}: {', '.join(w for w in wanted if w not in ORDER)}")
+    held = sorted((r["layer"] for r in maps.select("layer").distinct().collect()), key=ORDER.index)  # at most len(ORDER)
+    if not held:
+        return maps
+    layer, top = held[-1], max(wanted, key=ORDER.index)
+    if min(ORDER.index(w) for w in wanted) < ORDER.index(layer):
+        raise LookupError(f"a layer below {layer} can't be made from it")
+    maps = maps.where(F.col("layer") == layer)
+    if layer in ("image", "retina"):
+        grey = maps.select("image_id", F.col("shape")[1].alias("height"), F.col("shape")[2].alias("width"), "data")
+        if layer == "retina":
+            p = Params.from_dict(p.to_dict() | {"retina_enabled": False})
+        made = build(grey, p, s1_bank, s2_banks, tuple("image" if w == layer else w for w in wanted), precision)
+        return made.withColumn("layer", F.when(F.col("layer") == "image", F.lit(layer)).otherwise(F.col("layer")))
+    number, kind = (np.float64, pa.float64()) if precision == "double" else (np.float32, pa.float32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, scale, kwidth = (batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
+            shapes, cells = batch.column(3).to_pylist(), batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            ends, made, owner = np.cumsum([np.prod(x) for x in shapes]), [], []
+            for k, shape in enumerate(shapes):
+                x = cells[int(ends[k]) - int(np.prod(shape)) : int(ends[k])].reshape(shape).astype(np.float64 if precision == "double" else np.float32)
+                try:
+                    found = layers_above(x, layer, scale[k], kwidth[k], p, s2_banks, top)
+                except ValueError as e:
+                    raise LayerError(f"image {ids[k]}, {layer}, scale {scale[k]}: {e}") from e
+                some = [(name, *y) for name in wanted for y in found.get(name, [])]
+                made += some
+                owner += [ids[k]] * len(some)
+            if made:
+                yield _rows(owner, made, number, kind)
+
+    schema = MAPS.replace("array<float>", f"array<{precision}>")
+    made = maps.select("image_id", "scale", "kwidth", "shape", "data").mapInArrow(run, schema)
+    if "c2" not in wanted or layer == "c2":
+        return made
+    whole = made.where("layer = 'c2'").select("image_id", "kwidth", "shape", F.posexplode("data").alias("i", "v")).groupBy("image_id", "kwidth", "shape", "i").agg(F.max("v").alias("v"))
+    whole = whole.groupBy("image_id", "kwidth", "shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda t: t["v"]).alias("data"))
+    whole = whole.select("image_id", F.lit("c2").alias("layer"), F.lit(0).alias("scale"), "kwidth", "shape", "data")
+    return whole if wanted == ("c2",) else made.where("layer <> 'c2'").unionByName(whole)
+
+
+def graph(p: Params, s1_bank: np.ndarray, s2_banks: list[np.ndarray] | None = None, precision: str = "float") -> Graph:
+    """The layers as a graph of tables of MAPS: a request starts from whatever layer its state holds."""
+    out = Graph()
+
+    def builder(name: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda maps: climb(maps, p, s1_bank, s2_banks, (name,), precision)
+
+    for above, below in (("r", "i"), ("s1", "r"), ("c1", "s1"), ("s2", "c1"), ("c2", "s2")):
+        out.register(above, (below,), builder({"r": "retina"}.get(above, above)))
+    return out
+
+
 def features(maps: DataFrame, layers: tuple[str, ...]) -> DataFrame:
     """(image_id, features array<double>): the layers' values in the order given, then scale and kernel width."""
     rank = F.array_position(F.array(*map(F.lit, layers)), F.col("layer"))

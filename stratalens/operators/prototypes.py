@@ -1,245 +1,83 @@
-"""Prototype learners: (n, patches) to n prototypes of the patches' shape.
+"""Prototype algorithms by name, for a session: they learn from a table of patches of one shape.
 
-Patches are a bounded sample that the caller has drawn (sampling.draw), held as an array (samples,
-*shape); learning from it is driver work. k-means over whole tables is clusters.k_means."""
+Patches are rows (id, features array<double>, and for weighted learners w). Learners read the table as learners and factors do; a
+caller's own function is given the patches drawn, which the caller has asked for a number of, as an array (samples, *shape)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.kernels import random_bank, uniform_bank, unit
+from ..functions.kernels import unit
+from . import clusters, factors, learners, sums
 
 Learner = Callable[..., np.ndarray]
 
 
-def _flat(patches: np.ndarray) -> np.ndarray:
-    return patches.reshape(len(patches), -1).astype(np.float64)
-
-
-def _shaped(x: np.ndarray, patches: np.ndarray) -> np.ndarray:
-    return x.reshape(len(x), *patches.shape[1:])
-
-
 def normed(bank: np.ndarray) -> np.ndarray:
     return np.array([unit(x) for x in bank])
 
 
-def imprint_order(total: int, seed: int) -> np.ndarray:
-    """The order in which imprint() takes patches."""
-    return np.random.default_rng(seed).permutation(total)
-
-
-def imprint(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Drawn patches themselves."""
-    return patches[imprint_order(len(patches), seed)[:n]]
-
-
-def shuffled(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Imprinted patches, the elements of each in random order."""
-    return _shaped(np.random.default_rng(seed).permuted(_flat(imprint(n, patches, seed)), axis=1), patches)
-
-
-def uniform(n: int, patches: np.ndarray, seed: int = 0, low: float = 0.0, high: float = 1.0) -> np.ndarray:
-    return uniform_bank(n, patches.shape[1:], seed, low, high, normed=False)
-
-
-def normal(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Draws with the mean and deviation of all elements."""
-    return random_bank(n, patches.shape[1:], seed, normed=False, mean=float(patches.mean()), std=float(patches.std()))
-
-
-def histogram(n: int, patches: np.ndarray, seed: int = 0, bins: int = 100, resolution: float = 0.0025) -> np.ndarray:
-    """Draws from the elements' histogram, even within a bin; a bin has its share over the resolution in whole
-    tickets, so bins of a smaller share than the resolution are left out."""
-    counts, edges = np.histogram(patches, bins)
-    tickets = np.repeat(np.arange(bins), (counts / (counts.sum() * resolution)).astype(int))
-    if not len(tickets):
-        raise ValueError("the resolution is too coarse for the histogram")
-    rng = np.random.default_rng(seed)
-    at = rng.choice(tickets, (n, *patches.shape[1:]))
-    return edges[at] + rng.random(at.shape) * (edges[1] - edges[0])
-
-
-def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
-
-
-def kmeans(n: int, patches: np.ndarray, seed: int = 0, weights: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
-    """Weighted Lloyd steps from drawn starts that spread; an empty cluster keeps its centroid."""
-    x, rng = _flat(patches), np.random.default_rng(seed)
-    w = np.ones(len(x)) if weights is None else np.asarray(weights, float)
-    if len(x) < n:
-        raise ValueError("fewer samples than prototypes")
-    centres = x[[rng.choice(len(x), p=w / w.sum())]]
-    while len(centres) < n:
-        gap = ((x - centres[_nearest(x, centres)]) ** 2).sum(axis=1) * w
-        centres = np.vstack([centres, x[rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(x))]])
-    for _ in range(rounds):
-        near = _nearest(x, centres)
-        total = np.bincount(near, w, minlength=n)
-        sums = np.stack([np.bincount(near, w * c, minlength=n) for c in x.T], axis=1)
-        moved = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-300)[:, None], centres)
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return _shaped(centres, patches)
-
-
-def nearest_kmeans(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Of each cluster the patch nearest to its centroid; the centroid where a cluster is empty."""
-    x, centres = _flat(patches), _flat(kmeans(n, patches, seed))
-    near = _nearest(x, centres)
-    out = centres.copy()
-    for k in set(near.tolist()):
-        rows = np.flatnonzero(near == k)
-        out[k] = x[rows[((x[rows] - centres[k]) ** 2).sum(axis=1).argmin()]]
-    return _shaped(out, patches)
-
-
-def kmedoids(n: int, patches: np.ndarray, seed: int = 0, rounds: int = 20) -> np.ndarray:
-    """Medoids: patches with the least summed distance to their cluster."""
-    x = _flat(patches)
-    gap = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * x @ x.T, 0))
-    medoids = np.random.default_rng(seed).permutation(len(x))[:n]
-    for _ in range(rounds):
-        near = gap[:, medoids].argmin(axis=1)
-        moved = np.array([rows[gap[np.ix_(rows, rows)].sum(axis=1).argmin()] if len(rows := np.flatnonzero(near == k)) else medoids[k] for k in range(len(medoids))])
-        if np.array_equal(moved, medoids):
-            break
-        medoids = moved
-    return _shaped(x[medoids], patches)
-
-
-def pca(n: int, patches: np.ndarray, seed: int = 0) -> np.ndarray:
-    """The first n principal directions, strongest first; the largest element of each is positive."""
-    x = _flat(patches)
-    _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-    if n > len(v):
-        raise ValueError("fewer directions than prototypes")
-    v = v[:n]
-    return _shaped(v * np.sign(v[np.arange(n), np.abs(v).argmax(axis=1)])[:, None], patches)
-
-
-def sparse_pca(n: int, patches: np.ndarray, seed: int = 0, penalty: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Directions with soft-thresholded loadings, by alternating power steps and deflation."""
-    x = _flat(patches)
-    x = x - x.mean(axis=0)
-    out = []
-    for _ in range(n):
-        v = np.linalg.svd(x, full_matrices=False)[2][0]
-        for _ in range(rounds):
-            u = x @ v
-            u /= max(np.linalg.norm(u), 1e-12)
-            w = x.T @ u
-            w = np.sign(w) * np.maximum(np.abs(w) - penalty * np.abs(w).max(), 0)
-            w /= max(np.linalg.norm(w), 1e-12)
-            if np.allclose(v, w):
-                break
-            v = w
-        x = x - np.outer(x @ v, v)
-        out.append(v)
-    return _shaped(np.array(out), patches)
-
-
-def ica(n: int, patches: np.ndarray, seed: int = 0, rounds: int = 200) -> np.ndarray:
-    """Columns of the mixing matrix, by whitening and a symmetric fixed point with tanh."""
-    x = _flat(patches)
-    x = x - x.mean(axis=0)
-    _, s, v = np.linalg.svd(x, full_matrices=False)
-    if n > int((s > 1e-9 * s[0]).sum()):
-        raise ValueError("fewer directions than prototypes")
-    whiten = v[:n].T / s[:n] * np.sqrt(len(x))
-    z = x @ whiten
-
-    def even(w: np.ndarray) -> np.ndarray:
-        u, _, t = np.linalg.svd(w)
-        return u @ t
-
-    w = even(np.random.default_rng(seed).normal(size=(n, n)))
-    for _ in range(rounds):
-        y = np.tanh(z @ w.T)
-        new = even(y.T @ z / len(z) - (1 - y * y).mean(axis=0)[:, None] * w)
-        done = np.abs(np.abs((new * w).sum(axis=1)) - 1).max() < 1e-6
-        w = new
-        if done:
-            break
-    return _shaped(np.linalg.pinv(whiten @ w.T), patches)
-
+def kmeans(rows: DataFrame, n: int, rounds: int = 50, weight: Column | None = None, tol: float = 1e-4) -> np.ndarray:
+    return learners.k_means(rows, n, rounds, weight, learners.scale_free(rows, tol), "spread")
 
-def nmf(n: int, patches: np.ndarray, seed: int = 0, rounds: int = 200) -> np.ndarray:
-    """Non-negative parts by multiplicative updates."""
-    x = _flat(patches)
-    if x.min() < 0:
-        raise ValueError("patches must not be negative")
-    rng = np.random.default_rng(seed)
-    w, h = rng.random((len(x), n)) + 0.1, rng.random((n, x.shape[1])) + 0.1
-    for _ in range(rounds):
-        h *= (w.T @ x) / (w.T @ w @ h + 1e-12)
-        w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
-    return _shaped(h, patches)
 
-
-class Whitener:
-    """Decorrelates patches, ZCA with a floor: rows times V (D + floor)^-1/2 V'."""
-
-    def __init__(self, floor: float = 0.1):
-        self.floor = floor
-
-    def fit(self, patches: np.ndarray) -> Whitener:
-        x = _flat(patches)
-        self.mean = x.mean(axis=0)
-        d, v = np.linalg.eigh(np.cov(x - self.mean, rowvar=False, ddof=0))
-        root = np.sqrt(np.maximum(d, 0) + self.floor)
-        self.forth, self.back = v / root @ v.T, v * root @ v.T
-        return self
-
-    def transform(self, patches: np.ndarray) -> np.ndarray:
-        return _shaped((_flat(patches) - self.mean) @ self.forth, patches)
-
-    def inverse_transform(self, patches: np.ndarray) -> np.ndarray:
-        return _shaped(_flat(patches) @ self.back + self.mean, patches)
-
-
-def contrast_kmeans(n: int, patches: np.ndarray, seed: int = 0, whiten: bool = True, unwhiten: bool = True) -> np.ndarray:
+def contrast_kmeans(rows: DataFrame, n: int, whiten: bool = True, unwhiten: bool = True, floor: float = 0.1, rounds: int = 50) -> np.ndarray:
     """k-means of patches of normed contrast, whitened; prototypes are brought back."""
-    x = _flat(patches)
-    x = _shaped((x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 10 / 255**2), patches)
+    rows = learners.local_contrast(rows)
     if not whiten:
-        return kmeans(n, x, seed)
-    w = Whitener().fit(x)
-    out = kmeans(n, w.transform(x), seed)
-    return w.inverse_transform(out) if unwhiten else out
+        return kmeans(rows, n, rounds)
+    w = factors.Whitening.fit(rows, floor)
+    out = kmeans(w.transform(rows), n, rounds)
+    return out @ w.back + w.mean if unwhiten else out
 
 
-def quality_weights(sample_meta: np.ndarray, known_meta: np.ndarray, coefficients: np.ndarray, k: int = 4) -> np.ndarray:
-    """Weights of patches by the classifier's use of like features: the mean over the k nearest known
-    meta-features of the summed squared coefficients of their features."""
-    quality = (coefficients**2).sum(axis=0)
-    gap = ((sample_meta[:, None] - known_meta[None]) ** 2).sum(axis=2)
-    return quality[np.argsort(gap, axis=1, kind="stable")[:, :k]].mean(axis=1)
+ALGORITHMS: dict[str, Learner] = {
+    "imprint": learners.imprint,
+    "shuffle": learners.shuffle,
+    "uniform": lambda rows, n, **more: learners.uniform(n, sums.dimension(rows), **more),
+    "norm": lambda rows, n: learners.normal(rows, n, sums.dimension(rows)),
+    "normal": lambda rows, n: learners.normal(rows, n, sums.dimension(rows)),
+    "histogram": lambda rows, n, **more: learners.histogram(rows, n, sums.dimension(rows), **more),
+    "kmeans": kmeans,
+    "minibatch_kmeans": lambda rows, n, **more: learners.mini_batch(rows, n, **more)[0],
+    "nearest_kmeans": lambda rows, n, rounds=50: learners.nearest_k_means(rows, n, rounds, start="spread"),
+    "kmedoids": learners.k_medoids,
+    "contrast_kmeans": contrast_kmeans,
+    "ica": factors.ica,
+    "pca": lambda rows, n: factors.pca(rows, n)[0],
+    "sparse_pca": factors.sparse_pca,
+    "nmf": lambda rows, n, **more: factors.nmf(rows, n, **more)[0],
+}
+#: k-means of patches that weigh by masks or by their use to a classifier; the session finds the weights.
+WEIGHTED = {"object_mask_wkmeans": "mask", "omwkmeans": "mask", "meta_feature_wkmeans": "use", "mfwkmeans": "use"}
 
 
-def mask_weights(ratios: np.ndarray, base: float = 0.0) -> np.ndarray:
-    """Weights of patches by the share of foreground in their receptive fields."""
-    return np.asarray(ratios) + base
+def resolve(name: str | Learner) -> Learner:
+    """A learner over a table (rows, n); a caller's own function stays as it is."""
+    if callable(name):
+        return name
+    try:
+        return ALGORITHMS[name.lower()]
+    except KeyError:
+        raise ValueError(f"no prototype algorithm {name}; there are {', '.join(sorted(ALGORITHMS))}") from None
 
 
-ALGORITHMS: dict[str, Learner] = {
-    "imprint": imprint, "shuffle": shuffled, "uniform": uniform, "norm": normal, "histogram": histogram,
-    "kmeans": kmeans, "nearest_kmeans": nearest_kmeans, "kmedoids": kmedoids, "contrast_kmeans": contrast_kmeans,
-    "ica": ica, "pca": pca, "sparse_pca": sparse_pca, "nmf": nmf, "normal": normal,
-}
-#: k-means of patches that weigh by masks or by their use to a classifier; the session finds the weights.
-WEIGHTED = {"object_mask_wkmeans": "mask", "omwkmeans": "mask", "meta_feature_wkmeans": "use", "mfwkmeans": "use"}
+def arrays(rows: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The patches drawn, in order of their ids."""
+    held = rows.orderBy("id").select("features").collect()  # as many as the caller has asked for
+    return np.array([r["features"] for r in held], float).reshape(-1, *shape)
 
 
-def checked(learner: Learner, n: int, patches: np.ndarray, **options) -> np.ndarray:
-    """The learner's prototypes, normed; a learner must give n of the patches' shape, of numbers."""
-    bank = np.asarray(learner(n, patches, **options))
-    if bank.shape != (n, *patches.shape[1:]):
-        raise ValueError(f"the learner gave prototypes of shape {bank.shape} instead of {(n, *patches.shape[1:])}")
+def learned(algorithm: str | Learner, n: int, rows: DataFrame, shape: tuple[int, ...], **options) -> np.ndarray:
+    """n prototypes of a shape, normed; a learner must give n of them, of numbers."""
+    learner = resolve(algorithm)
+    bank = np.asarray(learner(n, arrays(rows, shape), **options) if callable(algorithm) else learner(rows, n, **options).reshape(-1, *shape))
+    if bank.shape != (n, *shape):
+        raise ValueError(f"the learner gave prototypes of shape {bank.shape} instead of {(n, *shape)}")
     if not np.isfinite(bank).all():
         raise ValueError("the learner gave prototypes that aren't numbers")
     return normed(bank)
@@ -260,10 +98,16 @@ def meta_features(patches: np.ndarray) -> np.ndarray:
     return np.stack(parts, axis=2).reshape(len(patches), -1)
 
 
-def resolve(name: str | Learner) -> Learner:
-    if callable(name):
-        return name
-    try:
-        return ALGORITHMS[name.lower()]
-    except KeyError:
-        raise ValueError(f"no prototype algorithm {name}; there are {', '.join(sorted(ALGORITHMS))}") from None
+def use_weights(rows: DataFrame, known: np.ndarray, coefficients: np.ndarray, k: int = 4) -> DataFrame:
+    """rows with w: how much a classifier uses like features. The mean, over the k known patches of the nearest meta-features, of
+    the summed squared coefficients of their features."""
+    bands, side = known.shape[1:3]
+    quality = (coefficients**2).sum(axis=0)
+    table = rows.sparkSession.createDataFrame([(i, m.tolist(), float(q)) for i, (m, q) in enumerate(zip(meta_features(known), quality))], "id long, features array<double>, w double")
+    meta = sums.applied(rows.select("id", "features"), lambda x: meta_features(x.reshape(-1, bands, side, side)))
+    return rows.join(clusters.knn_mean(meta, table, "w", k), "id")
+
+
+def mask_weights(rows: DataFrame, ratios: DataFrame, base: float = 0.0) -> DataFrame:
+    """rows with w: the share of foreground in their receptive fields (box_id, ratio), and base more."""
+    return rows.join(ratios.select(F.col("box_id").alias("id"), (F.col("ratio") + base).alias("w")), "id")

@@ -152,36 +152,37 @@ def global_max(spark, d):
     return rounded(filters.global_max(maps(spark, d, 4, 4, 4)).select("image_id", "band", "v"))
 
 
-@query("SELECT CAST(side AS INT) AS side, k, s, CAST((side - k + 1) // s AS INT) AS out_side FROM range(11, 221) AS t(side), (VALUES (11, 1), (11, 5), (7, 1)) AS u(k, s)")
-def out_shape(spark, d):
-    sides = spark.range(11, 221).select(F.col("id").cast("int").alias("side"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in ((11, 1), (11, 5), (7, 1))))).alias("f"))
-    return sides.select("side", "f.k", "f.s", geometry.output_side(F.col("side"), F.col("f.k"), F.col("f.s")).alias("out_side"))
+_SIDES = "sides AS (SELECT p_partkey AS id, CAST(p_size * 9 AS INT) AS side FROM part)"
 
 
-@query("SELECT CAST(side AS INT) AS side, CAST(side * 5 + 10 AS INT) AS in_side FROM range(1, 50) AS t(side)")
-def in_shape(spark, d):
-    side = F.col("id").cast("int")
-    return spark.range(1, 50).select(side.alias("side"), geometry.input_side(side, 11, 5).alias("in_side"))
+def _sides(spark, d):
+    """The sizes of parts, in pixels, as sides of images."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 9).cast("int").alias("side"))
 
 
-_FIELD = "CAST(floor({} * pow(pow(2, 0.25), s)) AS INT) AS {}"
+@query(f"WITH {_SIDES} SELECT id, side, k, s, CAST(greatest(side - k + 1, 0) // s AS INT) AS out_side FROM sides, (VALUES (11, 1), (11, 5), (7, 1)) AS u(k, s)")
+def out_shape(spark, d):
+    filters_ = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in ((11, 1), (11, 5), (7, 1))))
+    sides = _sides(spark, d).select("id", "side", F.explode(filters_).alias("f"))
+    return sides.select("id", "side", "f.k", "f.s", F.greatest(geometry.output_side(F.col("side"), F.col("f.k"), F.col("f.s")), F.lit(0)).alias("out_side"))
 
 
-@query(f"SELECT CAST(s AS INT) AS scale, CAST(y AS INT) AS y, {_FIELD.format('y * 5', 'top')}, {_FIELD.format('((y + 7) * 5 + 11 - 1 + 11 - 1)', 'bottom')}, {_FIELD.format('2 * 5', 'left_side')}, {_FIELD.format('((2 + 7) * 5 + 11 - 1 + 11 - 1)', 'right_side')} FROM range(9) AS a(s), range(20) AS b(y)")
-def receptive_field(spark, d):
-    grid = spark.range(9 * 20).select((F.col("id") / 20).cast("int").alias("scale"), (F.col("id") % 20).cast("int").alias("y"))
-    box = geometry.receptive_field(Params(), F.col("scale"), F.col("y"), F.lit(2), 7)
-    return grid.select("scale", "y", box["top"].alias("top"), box["bottom"].alias("bottom"), box["left"].alias("left_side"), box["right"].alias("right_side"))
+@query(f"WITH {_SIDES} SELECT id, side, CAST(side * 5 + 10 AS INT) AS in_side FROM sides")
+def in_shape(spark, d):
+    return _sides(spark, d).select("id", "side", geometry.input_side(F.col("side"), 11, 5).alias("in_side"))
 
 
-@query("SELECT CAST(k AS INT) AS s2_kwidth, CAST((k * 5 + 10) + 10 AS INT) AS least_side FROM range(1, 20) AS t(k)")
+@query(f"WITH {_SIDES} SELECT id, CAST(side // 9 AS INT) AS s2_kwidth, CAST((side // 9 * 5 + 10) + 10 AS INT) AS least_side FROM sides")
 def min_retina(spark, d):
-    return spark.createDataFrame([(k, geometry.minimum_side(Params(s2_kwidth=[k]))) for k in range(1, 20)], "s2_kwidth int, least_side int")
+    """The least side of an image for S2 kernels as wide as the parts are large."""
+    least = F.create_map(*(x for k in range(1, 51) for x in (F.lit(k), F.lit(geometry.minimum_side(Params(s2_kwidth=[k]))))))
+    wide = (F.col("side") / 9).cast("int")
+    return _sides(spark, d).select("id", wide.alias("s2_kwidth"), least[wide].alias("least_side"))
 
 
-@query("SELECT CAST(side AS INT) AS side, CAST((SELECT count(*) FROM range(60) AS n(i) WHERE 55 * pow(pow(2, 0.25), i) < side) AS INT) AS scales FROM range(50, 400, 7) AS t(side)")
+@query(f"WITH {_SIDES} SELECT id, side, CAST((SELECT count(*) FROM range(60) AS n(i) WHERE 55 * pow(pow(2, 0.25), i) < side - 0.0001) AS INT) AS scales FROM sides")
 def num_scales(spark, d):
-    return spark.createDataFrame([(s, geometry.scales_supported(Params(), s)) for s in range(50, 400, 7)], "side int, scales int")
+    return _sides(spark, d).select("id", "side", geometry.scales_of(Params(), F.col("side") - 0.0001).alias("scales"))
 
 
 WHITE = """m AS (SELECT *, v - avg(v) OVER (PARTITION BY image_id, y, x) AS u FROM {}), wh AS (SELECT image_id, band, y, x, u / greatest(1.0, sqrt(sum(u * u) OVER (PARTITION BY image_id, y, x))) AS v FROM m)"""
@@ -298,27 +299,42 @@ def best_match(spark, d):
     return out(analysis.best_match(_c1(spark, d)))
 
 
-@query("""WITH g AS (SELECT CAST(o AS INT) AS kernel, CAST(a AS INT) AS ky, CAST(b AS INT) AS kx, (b - 3) * cos(pi() / 4 * (o + 0.5)) + (a - 3) * sin(pi() / 4 * (o + 0.5)) AS u, (a - 3) * cos(pi() / 4 * (o + 0.5)) - (b - 3) * sin(pi() / 4 * (o + 0.5)) AS t
-    FROM range(4) AS x(o), range(7) AS y(a), range(7) AS z(b)), e AS (SELECT *, exp(-(u * u + 0.36 * t * t) / (2 * 0.875 * 0.875)) * sin(2 * pi() * u / 1.75) AS w FROM g)
-    SELECT kernel, ky, kx, round(w / sqrt(sum(w * w) OVER (PARTITION BY kernel)), 6) + 0.0 AS w FROM e""")
+_FIELD = "CAST(floor({}) AS INT)"
+
+
+@query(f"""WITH {_S2}, t AS (SELECT *, row_number() OVER (PARTITION BY image_id, band ORDER BY v DESC, y, x) AS r FROM s2)
+    SELECT image_id, band, {_FIELD.format('y')} AS top, {_FIELD.format('y + 2 + 3 - 1 + 3 - 1')} AS bottom, {_FIELD.format('x')} AS left_side, {_FIELD.format('x + 2 + 3 - 1 + 3 - 1')} AS right_side FROM t WHERE r = 1""")
+def receptive_field(spark, d):
+    """What each image's best match of a prototype sees."""
+    best = analysis.best_match(_s2(spark, d))
+    box = geometry.receptive_field(NDP, F.col("scale"), F.col("y"), F.col("x"), 2)
+    return best.select("image_id", "band", box["top"].alias("top"), box["bottom"].alias("bottom"), box["left"].alias("left_side"), box["right"].alias("right_side"))
+
+
+@query(f"WITH {cells_sql()}, {conv_sql('o', 'cells', (7, 4, 2), DOT, 8, 8)} {MAP} o")
 def gabor_bank(spark, d):
-    return rounded(kernels.frame(spark, gabors(7, 4)).drop("band"), "w")
+    """A bank of two phases over the maps, whose rows SQL makes from the formula."""
+    return out(filters.dot(maps(spark, d), kernels.frame(spark, gabors(7, 4, 2)), 7, 8, 8))
 
 
-_BLACKMAN = "(0.42 - 0.5 * cos(2 * pi() * {0} / 10) + 0.08 * cos(4 * pi() * {0} / 10))"
+_BLACKMAN = "(0.42 - 0.5 * cos(2 * pi() * {0} / 7) + 0.08 * cos(4 * pi() * {0} / 7))"
 
 
-@query(f"SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, {r6(_BLACKMAN.format('y') + ' * ' + _BLACKMAN.format('x'))} AS v FROM range(11) AS a(y), range(11) AS b(x)")
+@query(f"WITH {cells_sql()} SELECT image_id, band, y, x, {r6('v * ' + _BLACKMAN.format('y') + ' * ' + _BLACKMAN.format('x'))} AS v FROM cells")
 def blackman2d(spark, d):
-    return rounded(kernels.frame(spark, kernels.blackman2d(11)[None]).select(F.col("ky").alias("y"), F.col("kx").alias("x"), F.col("w").alias("v")))
+    """The maps under a Blackman window."""
+    window = kernels.frame(spark, kernels.blackman2d(8)[None]).select(F.col("ky").alias("y"), F.col("kx").alias("x"), "w")
+    return out(maps(spark, d).join(F.broadcast(window), ["y", "x"]).withColumn("v", F.col("v") * F.col("w")))  # 64 rows
 
 
 _SINC = "CASE WHEN {0} = 0 THEN 1.0 WHEN abs({0}) = 3 THEN 0.0 ELSE sin(pi() * {0}) / (pi() * {0}) * sin(pi() * {0} / 3) / (pi() * {0} / 3) END"
+_LANCZOS = f"l AS (SELECT 0 AS kernel, 0 AS band, CAST(y + 3 AS INT) AS ky, CAST(x + 3 AS INT) AS kx, w / sum(w) OVER () AS w FROM (SELECT y, x, ({_SINC.format('y')}) * ({_SINC.format('x')}) AS w FROM range(-3, 4) AS a(y), range(-3, 4) AS b(x)))"
 
 
-@query(f"WITH k AS (SELECT y, x, ({_SINC.format('y')}) * ({_SINC.format('x')}) AS w FROM range(-3, 4) AS a(y), range(-3, 4) AS b(x)) SELECT CAST(y + 3 AS INT) AS y, CAST(x + 3 AS INT) AS x, {r6('w / sum(w) OVER ()')} AS v FROM k")
+@query(f"WITH {cells_sql()}, {_LANCZOS} SELECT c.image_id, 0 AS band, CAST(c.y - b.ky AS INT) AS y, CAST(c.x - b.kx AS INT) AS x, {r6('sum(b.w * c.v)')} AS v FROM cells c JOIN l b ON c.y - b.ky BETWEEN 0 AND 1 AND c.x - b.kx BETWEEN 0 AND 1 GROUP BY 1, 2, 3, 4")
 def lanczos_kernel(spark, d):
-    return rounded(kernels.frame(spark, kernels.lanczos()[None]).select(F.col("ky").alias("y"), F.col("kx").alias("x"), F.col("w").alias("v")))
+    """The maps smoothed by a Lanczos kernel."""
+    return out(filters.dot(maps(spark, d), kernels.frame(spark, kernels.lanczos()[None]), 7, 8, 8))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, source AS class_name, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INT) AS label FROM documents")
@@ -404,7 +420,7 @@ def meta_features(spark, d):
 
 
 @query(f"""WITH m AS (SELECT label AS rid, i, avg(CAST(embedding[i] AS DOUBLE)) AS r FROM embeddings, range(1, 65) AS t(i) GROUP BY 1, 2),
-    pairs AS (SELECT e.vec_id AS id, rid, sum((CAST(e.embedding[i] AS DOUBLE) - r) * (CAST(e.embedding[i] AS DOUBLE) - r)) AS d FROM embeddings e, m GROUP BY 1, 2),
+    pairs AS (SELECT e.vec_id AS id, rid, round(sum((CAST(e.embedding[i] AS DOUBLE) - r) * (CAST(e.embedding[i] AS DOUBLE) - r)), 9) AS d FROM embeddings e, m GROUP BY 1, 2),
     top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, rid) <= 4) SELECT id, {r6('avg(rid)')} AS quality FROM top GROUP BY 1""")
 def knn_quality(spark, d):
     """The reference set is one mean vector for each class."""
@@ -414,13 +430,23 @@ def knn_quality(spark, d):
     return rounded(clusters.knn_mean(rows, known, "quality"), "quality")
 
 
+@query("""WITH v AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings),
+    pairs AS (SELECT a.id, b.id AS known, b.label, round(list_distance(a.x, b.x) * list_distance(a.x, b.x), 9) AS d FROM v a, v b),
+    top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, known) AS rank FROM pairs QUALIFY rank <= 5) SELECT id, CAST(rank AS INT) AS rank, known, round(d, 6) + 0.0 AS distance FROM top""")
+def knn_neighbours(spark, d):
+    """The five nearest of all vectors to each vector, itself among them."""
+    rows = vectors(spark, d)
+    near = clusters.knn(rows, rows, "label", 5).select("id", F.posexplode("near").alias("rank", "n"))
+    return rounded(near.select("id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("known"), F.col("n.d").alias("distance")), "distance")
+
+
 @query(f"""WITH {cells_sql()}, b AS (SELECT vec_id AS box_id, vec_id AS image_id, label, CAST(vec_id % 4 AS INT) AS t, CAST(vec_id % 3 AS INT) AS l FROM embeddings)
     SELECT b.box_id, {r6('coalesce(avg(1 - CAST(c.v > 0 AS INT)), 0)')} AS ratio FROM b LEFT JOIN cells c ON b.image_id = c.image_id AND b.label <> 0 AND c.y >= t AND c.y < t + 4 AND c.x >= l AND c.x < l + 5 GROUP BY 1""")
 def mask_fg_ratio(spark, d):
     """Images of class 0 have no mask."""
     rows = table(spark, d, "embeddings")
     boxes = rows.select(F.col("vec_id").alias("box_id"), F.col("vec_id").alias("image_id"), (F.col("vec_id") % 4).alias("top"), (F.col("vec_id") % 4 + 4).alias("bottom"), (F.col("vec_id") % 3).alias("left"), (F.col("vec_id") % 3 + 5).alias("right"))
-    mask = vector_maps(rows.where("label <> 0"), 1, 8, 8).select("image_id", "y", "x", (F.col("v") > 0).cast("int").alias("m"))
+    mask = rows.where("label <> 0").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", lambda v: (v > 0).cast("double")).alias("data"))
     return rounded(analysis.foreground_ratio(boxes, mask), "ratio")
 
 
@@ -505,9 +531,13 @@ def cross_validate(spark, d):
     return spark.createDataFrame(list(enumerate(scores)), "fold int, accuracy double")
 
 
+def _maps8(spark, d):
+    """The vectors as grey maps of 8 x 8."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("data"))
+
+
 def _packed(spark, d, p: Params, banks):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("data"))
-    return packed.build(rows, p, gabors()[:, None], banks, ("c2",), "double")
+    return packed.build(_maps8(spark, d), p, gabors()[:, None], banks, ("c2",), "double")
 
 
 @query(f"WITH {_S2} SELECT image_id, band, {r6('max(v)')} AS v FROM s2 GROUP BY 1, 2")
@@ -525,20 +555,29 @@ def packed_c2_scales(spark, d):
     return made.select("image_id", "kwidth", F.posexplode("data").alias("band", "v")).withColumn("v", F.round("v", 4))
 
 
-@query("SELECT vec_id AS image_id, CAST(i - 1 AS INT) AS band, round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 AS v FROM embeddings, range(1, 65) AS r(i)")
+@query(f"WITH {_C1.replace('c1 AS', 'c1 AS MATERIALIZED', 1)} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY band, y, x) - 1 AS INT) AS pos, {r6('v')} AS v FROM c1")
 def stream_activation(spark, d):
-    """The streaming job on the embeddings' maps, run to the end of its input; its layer is the image itself."""
+    """The streaming job on the embeddings' maps, run to the end of its input: C1 of each image as it arrives."""
     import uuid
 
     from .sources.scratch import shared_folder
     from .streaming import activation
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("data"))
-    rows.write.parquet(f"{base}/in")
-    activation.activate(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", Params(), kernels.gabor_bank(3, 4), None, ("image",)).awaitTermination()
-    maps = spark.read.parquet(f"{base}/out")
-    return rounded(maps.select("image_id", F.posexplode("data").alias("band", "v")).withColumn("v", F.col("v").cast("double")))
+    _maps8(spark, d).write.parquet(f"{base}/in")
+    activation.activate(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", NDP, gabors()[:, None], None, ("c1",), precision="double").awaitTermination()
+    made = spark.read.parquet(f"{base}/out")
+    return rounded(made.select("image_id", F.posexplode("data").alias("pos", "v")))
+
+
+@query(f"WITH {_S2} SELECT image_id, band, {r6('max(v)')} AS v FROM s2 GROUP BY 1, 2")
+def climb_from_c1(spark, d):
+    """C2 from a stored C1, by the layer graph, held against the SQL that starts from the images."""
+    from .sources.scratch import written
+
+    stored = written(packed.build(_maps8(spark, d), NDP, gabors()[:, None], None, ("c1",), "double"), "c1")
+    made = packed.graph(NDP, gabors()[:, None], [prototypes(4, 2)], "double").build("c2", {"c1": stored})["c2"]
+    return rounded(made.select("image_id", F.posexplode("data").alias("band", "v")))
 
 
 from . import learner_queries  # noqa: E402, F401  registers its queries

@@ -1,4 +1,4 @@
-"""Activation of images as they arrive, and centroids that follow a stream."""
+"""Activation of images as they arrive, and statistics of events by window."""
 
 from __future__ import annotations
 
@@ -7,35 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import clusters, packed
+from ..operators import packed
 from ..params import Params
 
 
-def activate(spark: SparkSession, source: str, sink: str, checkpoint: str, p: Params, s1_bank: np.ndarray, s2_banks: list[np.ndarray] | None, wanted: tuple[str, ...] = ("c2",), files_at_once: int = 16) -> StreamingQuery:
+def activate(spark: SparkSession, source: str, sink: str, checkpoint: str, p: Params, s1_bank: np.ndarray, s2_banks: list[np.ndarray] | None, wanted: tuple[str, ...] = ("c2",), files_at_once: int = 16, precision: str = "float") -> StreamingQuery:
     """Reads Parquet files of (image_id, height, width, data) as they appear in a folder, and appends their maps.
 
     Each row stands for itself, so there is no state; the checkpoint makes the sink exactly-once."""
     grey = spark.readStream.schema("image_id long, height int, width int, data array<float>").option("maxFilesPerTrigger", files_at_once).parquet(source)
-    maps = packed.build(grey, p, s1_bank, s2_banks, wanted)
+    maps = packed.build(grey, p, s1_bank, s2_banks, wanted, precision)
     return maps.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class FollowedCentroids:
-    """Weighted running means of clusters, one batch after another; use update as a foreachBatch function.
-
-    A batch is reduced to sums by cluster before it reaches the driver: clusters x positions numbers."""
-
-    def __init__(self, centroids: np.ndarray):
-        self.centroids, self.weights = np.array(centroids, float), np.zeros(len(centroids))
-
-    def update(self, batch: DataFrame, _: int = 0) -> None:
-        weight = F.col("weight") if "weight" in batch.columns else None
-        for r in clusters.step(clusters.nearest(batch, self.centroids), weight).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("v"), F.first("weight").alias("weight")).collect():
-            k, total = r["cluster"], self.weights[r["cluster"]] + r["weight"]
-            self.centroids[k] += (np.array([x["v"] for x in r["v"]]) - self.centroids[k]) * r["weight"] / total
-            self.weights[k] = total
-
-
 def windowed_stats(events: DataFrame, ts: str, by: str, value: str, width: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Counts and means by tumbling window; rows later than the watermark are dropped and their state freed."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

@@ -10,7 +10,6 @@ from stratalens.api import Experiment, ExperimentError, histogram_builder
 from stratalens.functions import images as im
 from stratalens.operators import packed
 from stratalens.params import Params
-from stratalens.streaming import activation
 
 SMALL = Params(image_resize_length=40, s1_kwidth=5, c1_kwidth=5, c1_sampling=2, s2_kwidth=[3], num_scales=2)
 
@@ -134,10 +133,3 @@ def test_command_line(spark, root, capsys):
     params = [x for k, v in SMALL.to_dict().items() if k in ("image_resize_length", "s1_kwidth", "c1_kwidth", "c1_sampling", "s2_kwidth", "num_scales") for x in ("-P", f"{k}={json.dumps(v)}")]
     assert cli.main(["-c", root, "-n", "3", "-E", "-L", "logreg", *params]) == 0
     assert set(json.loads(capsys.readouterr().out.strip().splitlines()[-1])) == {"training_score", "score"}
-
-
-def test_followed_centroids(spark):
-    follow = activation.FollowedCentroids(np.array([[0.0, 0.0], [10.0, 10.0]]))
-    for batch in ([[1.0, 1.0], [11.0, 9.0]], [[3.0, 1.0]]):
-        follow.update(spark.createDataFrame([(i, x) for i, x in enumerate(batch)], "id long, features array<double>"))
-    assert np.allclose(follow.centroids, [[2.0, 1.0], [11.0, 9.0]]) and follow.weights.tolist() == [2, 1]

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import images as im
-from stratalens.operators import corpus, learn, learners, prototypes, sampling
+from stratalens.operators import corpus, factors, learn, learners, prototypes, sampling
 from stratalens.params import Params
 from stratalens.plans import dag
 from stratalens.sources import images
@@ -59,46 +59,24 @@ def test_image_corpus_to_classifier(spark, tmp_path):
     assert p == Params() and tables["rows"].count() == 8
 
 
-def test_learners():
-    x = np.random.default_rng(2).random((60, 1, 5, 5))
-    for name in prototypes.ALGORITHMS:
-        bank = prototypes.resolve(name)(4, x)
-        assert bank.shape == (4, 1, 5, 5) and np.isfinite(bank).all()
-        assert np.array_equal(bank, prototypes.resolve(name.upper())(4, x))
-    with pytest.raises(ValueError):
-        prototypes.resolve("nonsense")
-
-
-def test_learners_must_keep_their_promise():
-    x = np.random.default_rng(2).random((60, 1, 5, 5))
-    assert np.allclose((prototypes.checked(prototypes.kmeans, 4, x) ** 2).sum(axis=(1, 2, 3)), 1)
-    for wrong in (lambda n, p: p[: n - 1], lambda n, p: p[:n, :, :4], lambda n, p: p[:n] * np.nan):
-        with pytest.raises(ValueError):
-            prototypes.checked(wrong, 4, x)
-    with pytest.raises(ValueError):
-        prototypes.ica(30, x)
-
-
 def test_table_learners(spark):
     """Moments, directions and covariance of a table against numpy."""
     x = np.random.default_rng(5).normal(size=(300, 6)) * np.arange(1, 7)
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<double>")
     n, mean, std = learners.moments(rows)
     assert n == x.size and np.isclose(mean, x.mean()) and np.isclose(std, x.std())
-    bank, centre = learners.pca(rows, 3)
-    assert np.allclose(centre, x.mean(axis=0)) and np.allclose(bank, prototypes.pca(3, x), atol=1e-6)
+    bank, centre = factors.pca(rows, 3)
+    v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3]
+    assert np.allclose(centre, x.mean(axis=0)) and np.allclose(np.abs(bank), np.abs(v), atol=1e-6) and (bank[np.arange(3), np.abs(bank).argmax(axis=1)] > 0).all()
     assert learners.imprint(rows, 4).shape == (4, 6)
     with pytest.raises(ValueError):
         learners.k_means(rows.limit(2), 3)
 
 
-def test_meta_features_and_weights():
+def test_meta_features():
     x = np.random.default_rng(6).random((30, 2, 4, 4))
     meta = prototypes.meta_features(x)
     assert meta.shape == (30, 12) and np.allclose(meta[:, 0], x[:, 0].mean(axis=(1, 2))) and np.allclose(meta[:, 9], x[:, 1].max(axis=(1, 2)))
-    coefficients = np.random.default_rng(7).random((3, 30))
-    w = prototypes.quality_weights(meta[:1], meta, coefficients, 1)
-    assert np.allclose(w, (coefficients[:, 0] ** 2).sum())
 
 
 def test_ranges_do_without_whole_windows(spark):
@@ -155,19 +133,6 @@ def test_orientation_lines():
         orientation_line(8)
 
 
-def test_whitener():
-    x = np.random.default_rng(3).normal(size=(500, 6)) @ np.random.default_rng(4).normal(size=(6, 6))
-    w = prototypes.Whitener(0.0).fit(x)
-    assert np.allclose(np.cov(w.transform(x), rowvar=False, ddof=0), np.eye(6), atol=1e-6)
-    assert np.allclose(w.inverse_transform(w.transform(x)), x)
-
-
-def test_weighted_kmeans_minds_weights():
-    x = np.array([[0.0], [1.0], [10.0]])
-    centre = prototypes.kmeans(1, x, weights=np.array([1.0, 1.0, 2.0]))
-    assert np.isclose(centre[0, 0], 21 / 4)
-
-
 def test_draw(spark):
     ids = spark.range(5).withColumnRenamed("id", "image_id")
     for n in (1, 3, 5, 16):
