@@ -89,11 +89,15 @@ def power_spectrum(x: np.ndarray, width: int | None = None) -> np.ndarray:
 
 
 def radial_spectrum(x: np.ndarray, width: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whole frequencies, their summed power and the number of coefficients."""
+    """Frequencies in cycles per pixel, summed power and the number of coefficients, by whole radius about the spectrum's middle;
+    the first and the last radius are left out, and those beyond half the side."""
     power = power_spectrum(x, width)
-    at = np.arange(len(power)) - len(power) // 2
-    r = np.floor(np.hypot(*np.meshgrid(at, at, indexing="ij"))).astype(int).ravel()
-    return np.arange(r.max() + 1), np.bincount(r, power.ravel()), np.bincount(r)
+    side = len(power)
+    at = np.arange(side) - (side - 1) / 2
+    r = np.hypot(*np.meshgrid(at, at, indexing="ij")).astype(int).ravel()
+    keep = slice(1, min(r.max(), side // 2 + 1))
+    total, count = np.bincount(r, power.ravel())[keep], np.bincount(r)[keep]
+    return np.arange(len(total)) / side, total, count
 
 
 def one_over_f_noise(shape: tuple[int, int], beta: float, seed: int) -> np.ndarray:

@@ -137,15 +137,22 @@ def confusion(rows: DataFrame, label: str, prediction: str) -> DataFrame:
     return rows.groupBy(label, prediction).agg(F.count("*").alias("n"))
 
 
-RANGES = 64
+#: Ranges of values at least, and rows of a range, about.
+RANGES, RANGE_ROWS = 64, 1 << 20
 
 
-def ranges(rows: DataFrame, column: str) -> Column:
-    """A number for ranges of a numeric column's values, in order, of about even counts: bounded windows over it can then be
-    taken range by range, after the counts of the ranges before."""
-    at = F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 1000)
-    bounds = sorted(set(rows.agg(at.alias("at")).first()["at"] or []))
-    return F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: b < F.col(column)))
+def ranges(rows: DataFrame, column: str, most: int = RANGES) -> Column:
+    """A number for ranges of a numeric column's values, in order, of about even counts, RANGES of them or up to `most` where the table
+    is large: bounded windows over it can then be taken range by range, after the counts of the ranges before."""
+    count = RANGES if most <= RANGES else min(most, max(RANGES, rows.count() // RANGE_ROWS))
+    at = F.percentile_approx(column, [k / count for k in range(1, count)], max(1000, 20 * count))
+    bounds = np.array(sorted(set(rows.agg(at.alias("at")).first()["at"] or [])), float)
+
+    def below(values: pa.Array) -> pa.Array:
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(np.where(there, np.searchsorted(bounds, values.fill_null(0.0).to_numpy(zero_copy_only=False)), 0), pa.int32())
+
+    return F.arrow_udf(below, "int")(F.col(column).cast("double"))
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
@@ -214,7 +221,10 @@ def power_spectrum(images: DataFrame, data: str, height: int, width: int) -> Dat
 
 
 def radial_spectrum(spectrum: DataFrame, side: int) -> DataFrame:
-    """(image_id, r, power, n): power by whole frequency about the zero frequency."""
-    wrap = lambda c: F.when(F.col(c) >= side // 2 + side % 2, F.col(c) - side).otherwise(F.col(c))
-    r = F.floor(F.sqrt(wrap("ky") * wrap("ky") + wrap("kx") * wrap("kx"))).cast("int")
-    return spectrum.groupBy("image_id", r.alias("r")).agg(F.sum("power").alias("power"), F.count("*").alias("n"))
+    """(image_id, freq, power, n): power and coefficients by whole radius about the middle of the shifted spectrum, the first and the
+    last radius left out, up to half the side; frequencies in cycles per pixel, from 0."""
+    shifted = lambda c: (F.col(c) + side // 2) % side - (side - 1) / 2
+    r = F.floor(F.sqrt(shifted("ky") * shifted("ky") + shifted("kx") * shifted("kx"))).cast("int")
+    last = int(np.hypot((side - 1) / 2, (side - 1) / 2))
+    rows = spectrum.withColumn("r", r).where((F.col("r") > 0) & (F.col("r") < last) & (F.col("r") <= side // 2))
+    return rows.groupBy("image_id", "r").agg(F.sum("power").alias("power"), F.count("*").alias("n")).select("image_id", ((F.col("r") - 1) / side).alias("freq"), "power", "n")

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from . import analysis
 
 
+#: Classes whose table of labels is broadcast, and rows a class that Spark limits within each task before it deals them by class.
+FEW_CLASSES, FEW_ROWS = 10_000, 1000
+
+
 def scan(files: DataFrame, class_name: str, path: str) -> DataFrame:
     """(path, class_name, label): labels are 0-based ranks of class names, joined from the small table of classes."""
-    names = sorted(r[0] for r in files.where(F.col(class_name).isNotNull()).select(class_name).distinct().collect())  # the classes
-    if files.where(F.col(class_name).isNull()).limit(1).count():
+    names = [r[0] for r in files.groupBy(class_name).agg(F.lit(1)).collect()]  # the classes
+    if None in names:
         raise ValueError("files without a class")
-    labels = files.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], "class_name string, label int")
+    labels = files.sparkSession.createDataFrame([(n, k) for k, n in enumerate(sorted(names))], "class_name string, label int")
+    labels = F.broadcast(labels) if len(names) <= FEW_CLASSES else labels
     return files.select(F.col(path).alias("path"), F.col(class_name).alias("class_name")).join(labels, "class_name").select("path", "class_name", "label")
 
 
@@ -62,6 +67,10 @@ def _ranked(rows: DataFrame, label: str, key: str, digest: bool) -> DataFrame:
 def balance(rows: DataFrame, label: str, key: str, shuffle: bool = False) -> DataFrame:
     """The first rows of each class, or its first by digest, as many as the smallest class has."""
     least = rows.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    if least <= FEW_ROWS:
+        order = [F.md5(F.col(key).cast("string")), F.col(key)] if shuffle else [F.col(key)]
+        turn = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+        return rows.withColumn("_rank", turn).where(F.col("_rank") <= least).select(rows.columns)
     return _ranked(rows, label, key, shuffle).where(F.col("_rank") <= least).select(rows.columns)
 
 

@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import analysis
+
+
+#: Ranges of an ordered column at most, in which windows are taken.
+RANGES = 4096
+
+
+def _ranged(rows: DataFrame, by: str, order: str, part: Column) -> tuple[DataFrame, DataFrame, WindowSpec]:
+    """(by, _range, part) of each range of a group, the rows with their _range, and the window of a group's rows within a range.
+
+    Groups are worked on range by range of the order's values, so that no task takes a whole group; what a range needs
+    of those before it comes from windows over the parts, of which a group has RANGES at most. The order is numeric."""
+    rows = rows.withColumn("_range", analysis.ranges(rows, order, RANGES))
+    parts = rows.groupBy(by, "_range").agg(part)
+    return parts, rows, Window.partitionBy(by, "_range").orderBy(order)
+
 
 def differences(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Each row's value less the one before it in its group; the first row of a group goes."""
-    inside = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("difference", F.col(value) - F.lag(value).over(inside)).where("difference is not null")
+    parts, rows, inside = _ranged(rows, by, order, F.max_by(value, order).alias("_last"))
+    parts = parts.withColumn("_last", F.lag("_last").over(Window.partitionBy(by).orderBy("_range")))
+    both = rows.join(parts, [by, "_range"])
+    before = F.coalesce(F.lag(value).over(inside), F.col("_last"))
+    return both.withColumn("difference", F.col(value) - before).where("difference is not null").drop("_range", "_last")
 
 
 def running_total(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """The sum of a group's values up to each row."""
-    return rows.withColumn("total", F.sum(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    parts, rows, inside = _ranged(rows, by, order, F.sum(value).alias("_sum"))
+    parts = parts.withColumn("_sum", F.sum("_sum").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    here = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(parts, [by, "_range"]).withColumn("total", here + F.coalesce("_sum", F.lit(0))).drop("_range", "_sum")
 
 
 def moving_average(values: Column, alpha: float) -> Column:
@@ -33,8 +55,10 @@ def groups(rows: DataFrame, by: str, order: str, value: str, size: int) -> DataF
     """(by, part, values): values in order, `size` to a group; the last of a group may have fewer."""
     if size < 1:
         raise ValueError("a group has one row at least")
-    turn = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    dealt = rows.withColumn("part", F.floor(turn / size).cast("int"))
+    parts, rows, inside = _ranged(rows, by, order, F.count("*").alias("_n"))
+    parts = parts.withColumn("_n", F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    turn = F.row_number().over(inside) - 1 + F.coalesce("_n", F.lit(0))
+    dealt = rows.join(parts, [by, "_range"]).withColumn("part", F.floor(turn / size).cast("int"))
     return dealt.groupBy(by, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
 
 

@@ -302,11 +302,11 @@ def best_match(spark, d):
 _FIELD = "CAST(floor({}) AS INT)"
 
 
-@query(f"""WITH {_S2}, t AS (SELECT *, row_number() OVER (PARTITION BY image_id, band ORDER BY v DESC, y, x) AS r FROM s2)
+@query(f"""WITH {_S2}, t AS (SELECT *, row_number() OVER (PARTITION BY image_id, band ORDER BY round(v, 9) DESC, y, x) AS r FROM s2)
     SELECT image_id, band, {_FIELD.format('y')} AS top, {_FIELD.format('y + 2 + 3 - 1 + 3 - 1')} AS bottom, {_FIELD.format('x')} AS left_side, {_FIELD.format('x + 2 + 3 - 1 + 3 - 1')} AS right_side FROM t WHERE r = 1""")
 def receptive_field(spark, d):
     """What each image's best match of a prototype sees."""
-    best = analysis.best_match(_s2(spark, d))
+    best = analysis.best_match(_s2(spark, d).withColumn("v", F.round("v", 9)))
     box = geometry.receptive_field(NDP, F.col("scale"), F.col("y"), F.col("x"), 2)
     return best.select("image_id", "band", box["top"].alias("top"), box["bottom"].alias("bottom"), box["left"].alias("left_side"), box["right"].alias("right_side"))
 
@@ -500,7 +500,8 @@ def power_spectrum(spark, d):
     return rounded(_power(spark, d), "power")
 
 
-@query(f"WITH {_POWER}, w AS (SELECT image_id, CASE WHEN ky >= 4 THEN ky - 8 ELSE ky END AS a, CASE WHEN kx >= 4 THEN kx - 8 ELSE kx END AS b, re * re + im * im AS p FROM f) SELECT image_id, CAST(floor(sqrt(a * a + b * b)) AS INT) AS r, {r6('sum(p)')} AS power, count(*) AS n FROM w GROUP BY 1, 2")
+@query(f"""WITH {_POWER}, w AS (SELECT image_id, (ky + 4) % 8 - 3.5 AS a, (kx + 4) % 8 - 3.5 AS b, re * re + im * im AS p FROM f)
+    SELECT image_id, (floor(sqrt(a * a + b * b)) - 1) / 8 AS freq, {r6('sum(p)')} AS power, count(*) AS n FROM w WHERE floor(sqrt(a * a + b * b)) BETWEEN 1 AND 3 GROUP BY 1, 2""")
 def radial_spectrum(spark, d):
     return rounded(analysis.radial_spectrum(_power(spark, d), 8), "power")
 

@@ -79,16 +79,57 @@ def test_meta_features():
     assert meta.shape == (30, 12) and np.allclose(meta[:, 0], x[:, 0].mean(axis=(1, 2))) and np.allclose(meta[:, 9], x[:, 1].max(axis=(1, 2)))
 
 
-def test_ranges_do_without_whole_windows(spark):
-    """Ranks, folds and sums run within parts of a class; no window takes a class or a table."""
+def explained(df):
     import io
     from contextlib import redirect_stdout
 
+    with redirect_stdout(io.StringIO()) as text:
+        df.explain("formatted")
+    return text.getvalue()
+
+
+def test_ranges_do_without_whole_windows(spark, monkeypatch):
+    """Ranks, folds and sums run within parts of a class; no window takes a class or a table."""
     rows = labelled(spark, [50, 70])
-    for df in (corpus.balance(rows, "label", "image_id", True), corpus.choose_training(rows, "label", "image_id", 0.5), corpus.folds(rows, "label", "image_id")):
-        with redirect_stdout(io.StringIO()) as text:
-            df.explain("formatted")
-        assert "_part" in text.getvalue() and "SinglePartition" not in text.getvalue()
+    few = corpus.balance(rows, "label", "image_id", True)
+    assert "WindowGroupLimit" in explained(few)  # small classes: each task passes on no more than it must
+    monkeypatch.setattr(corpus, "FEW_ROWS", 0)
+    many = corpus.balance(rows, "label", "image_id", True)
+    assert sorted(many.collect()) == sorted(few.collect())
+    for df in (many, corpus.choose_training(rows, "label", "image_id", 0.5), corpus.folds(rows, "label", "image_id")):
+        text = explained(df)
+        assert "_part" in text and "SinglePartition" not in text
+
+
+def test_ordered_rows_of_a_hot_group(spark, monkeypatch):
+    """Differences, sums and groups carried across the ranges of a group that holds most rows."""
+    from stratalens.operators import analysis, sequences
+
+    monkeypatch.setattr(analysis, "RANGES", 8)
+    draw = np.random.default_rng(4)
+    rows = [(0 if k % 3 else int(draw.integers(1, 9)), int(v), float(draw.integers(0, 100)), "x") for k, v in enumerate(draw.permutation(500))] + [(None, 900, 1.0, "x"), (None, 901, 3.0, "x")]
+    df = spark.createDataFrame(rows, "g int, at long, v double, part string")
+    by = {}
+    for g, at, v, _ in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(g, []).append((at, v))
+    got = {(r["g"], r["at"]): r["difference"] for r in sequences.differences(df, "g", "at", "v").collect() if r["g"] is not None}
+    assert got == {(g, b[0]): b[1] - a[1] for g, x in by.items() if g is not None for a, b in zip(x, x[1:])}
+    got = {(r["g"], r["at"]): r["total"] for r in sequences.running_total(df, "g", "at", "v").collect() if r["g"] is not None}
+    assert got == {(g, at): sum(v for _, v in x[: k + 1]) for g, x in by.items() if g is not None for k, (at, _) in enumerate(x)}
+    got = {(r["g"], r["part"]): r["values"] for r in sequences.groups(df.drop("part"), "g", "at", "v", 7).collect() if r["g"] is not None}
+    assert got == {(g, k // 7): [v for _, v in x[k : k + 7]] for g, x in by.items() if g is not None for k in range(0, len(x), 7)}
+    assert sequences.running_total(df.limit(0), "g", "at", "v").count() == 0
+
+
+def test_radial_spectrum_by_hand(spark):
+    """A 4 x 4 spectrum: radii about the middle are 0.7 (4 cells), 1.6 (8) and 2.1 (4); the first and the last go."""
+    from stratalens.functions import images as I
+
+    x = np.random.default_rng(1).random((4, 4))
+    power = np.abs(np.fft.fftshift(np.fft.fft2(x))) ** 2
+    ring = power.sum() - power[1:3, 1:3].sum() - power[[0, 0, 3, 3], [0, 3, 0, 3]].sum()
+    freq, total, n = I.radial_spectrum(x)
+    assert freq.tolist() == [0.0] and np.allclose(total, [ring]) and n.tolist() == [8]
 
 
 def test_one_row_classes(spark):
