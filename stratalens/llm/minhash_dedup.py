@@ -9,8 +9,8 @@
    whole, in tiles dealt over tasks if they are crowds (see crowds). Candidates whose signatures agree in
    `near` of HASHES values (half a byte of each; 5 standard deviations below the threshold) join a family.
 3. Families: components of those edges. Each member's text is sent once to its
-   family, or once for each pair of tiles if the family is larger than a tile; all pairs
-   of a tile pair are decided exactly on full sets, by products of incidence matrices, and only the
+   family's tile, and once more for each tile that holds members apart from the family's largest part; all pairs
+   of a tile, or of two, are decided exactly on full sets, by products of incidence matrices, and only the
    spanning forest of the confirmed links leaves the task.
 4. Components of the confirmed links name the groups.
 
@@ -291,15 +291,38 @@ def families(family: DataFrame) -> DataFrame:
     return member.join(member.groupBy("family").agg(F.count("*").alias("size")), "family")
 
 
-def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of) -> DataFrame:
-    """(u, v) of a spanning forest of the links den * intersection >= num * union within each family, tile pair by tile pair.
-
-    sets has (id, payload); sets_of makes sorted sets of distinct hashes of a list of payloads."""
-    found, many = sets.join(member, "id"), tasks(sets.sparkSession)
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    tiled = found.withColumn("tile", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiled = tiled.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "payload")
-    return tiled.repartition(many, "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(T.released(_confirm(num, den, sets_of)), "u long, v long")
+def _compared(tiled: DataFrame, num: int, den: int, sets_of) -> DataFrame:
+    """(u, v) of spanning forests of the links between the tiles a and b of each family; rows have family, a, b, tile, id, payload."""
+    rows = tiled.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "payload")
+    return rows.repartition(tasks(tiled.sparkSession), "family", "a", "b").sortWithinPartitions("family", "a", "b", "id").mapInArrow(T.released(_confirm(num, den, sets_of)), "u long, v long")
+
+
+def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of, store: Store, name: str) -> DataFrame:
+    """(u, v) that join every two sets of a family with den * intersection >= num * union, directly or through others.
+
+    sets has (id, payload); sets_of makes sorted sets of distinct hashes of a list of payloads. A family is dealt into tiles, and
+    all pairs of a tile are compared; its first member is in every tile, so that what is like it is joined across tiles.
+    Where a family of several tiles is still in parts, those outside the largest part meet all the others, tile by tile. So
+    the work grows with a family's members, times the tiles of those outside its largest part."""
+    deal = lambda n: F.ceil(n / TILE).cast("int")
+    blocks, own = deal(F.col("size")), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    first = F.when(F.col("id") == F.col("family"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own(blocks)))
+    tiled = sets.join(member, "id").withColumn("tile", F.explode(first)).withColumn("other", F.col("tile"))
+    links, large = _compared(tiled, num, den, sets_of), member.where(F.col("size") > TILE)
+    if large.isEmpty():
+        return links
+    links = store.save(links, f"{name}_within")
+    part = families(components(links, store, f"{name}_parts")).select("id", F.col("family").alias("part"))
+    large = large.join(part, "id", "left").select("id", "family", F.coalesce("part", "id").alias("part"))
+    parts = large.groupBy("family", "part").agg(F.count("*").alias("n"))
+    most = parts.groupBy("family").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size")).where("size > most.n")
+    most = most.select("family", F.col("most.part").alias("main"), deal(F.col("most.n")).alias("inside"), deal(F.col("size") - F.col("most.n")).alias("outside"))
+    apart = store.save(large.join(most, "family"), f"{name}_apart")
+    inner = F.col("part") == F.col("main")
+    tile = F.when(inner, F.col("outside") + own(F.col("inside"))).otherwise(own(F.col("outside")))
+    others = F.sequence(F.lit(0), F.when(inner, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1)
+    tiled = sets.join(apart.select("id", "family", tile.alias("tile"), others.alias("others")), "id").withColumn("other", F.explode("others"))
+    return links.union(_compared(tiled, num, den, sets_of))
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -334,7 +357,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str
     firsts, names = (spark.sparkContext.broadcast(bits(member, c)) for c in ("first", "id"))
     found = texts.mapInArrow(T.released(_member_texts(firsts, names)), "first long, id long, payload binary")
     found = found.join(member.select("first", "id"), ["first", "id"], "left_semi").select("id", "payload")
-    joined = components(confirmed(found, member.drop("first"), num, den, word_sets(n)), store, "links")
+    joined = components(confirmed(found, member.drop("first"), num, den, word_sets(n), store, "confirmed"), store, "links")
     group = families(joined).select("id", F.col("family").alias("root"))
     group = group.join(classes.select("id", "first"), "id")
     leader = group.groupBy("root").agg(F.min(F.struct("first", "id")).alias("leader"))
@@ -369,5 +392,7 @@ def unique(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, doc_id: str
     # the caller's columns are one column of the joins, so that none clashes
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"))
     alone = packed.join(decided.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
-    first = packed.join(decided.where("stays").select("doc_id", "th"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    # of rows that repeat id and text, the first by all their columns
+    first = packed.join(decided.where("stays").select("doc_id", "th"), ["doc_id", "th"], "left_semi")
+    first = first.groupBy("doc_id", "th").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
     return alone.union(first.select(alone.columns)).select("row.*")

@@ -146,9 +146,10 @@ def sizes(docs: DataFrame, levels: int = LEVELS, doc_id: str = "doc_id", text: s
 
 
 def shards(mixed: DataFrame) -> DataFrame:
-    """The rows of mix(), one for each copy, dealt out by shard and shuffled within: a shard lies in RUNS runs of its order,
-    each in one partition. The columns that mix() adds go."""
+    """The rows of mix(), one for each copy, dealt out by shard and shuffled within: a shard lies in RUNS runs of its order, or in
+    more where the session has many partitions, each in one partition. The columns that mix() adds go."""
     rows = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies")]
     each = mixed.select(F.struct(*rows).alias("row"), F.explode("copies").alias("copy"))
-    run = F.shiftright("copy.place", 64 - (RUNS - 1).bit_length())
+    runs = max(RUNS, 8 * tasks(mixed.sparkSession) >> LEVELS)
+    run = F.shiftright("copy.place", 64 - (runs - 1).bit_length())
     return each.repartition(tasks(mixed.sparkSession), "copy.shard", run).sortWithinPartitions("copy.shard", "copy.place").select("row.*")
