@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import geometry, kernels
 from .operators import analysis, corpus, learn, learners, packed, prototypes, sampling
 from .params import Params
-from .plans import dag
+from .plans import dag, models
 from .sources import images
 from .sources.scratch import written
 
@@ -49,6 +49,7 @@ class Experiment:
         self.maps: DataFrame | None = None
         self.layers: tuple[str, ...] = ()
         self.evaluations: list[dict] = []
+        self.model: models.Model = models.resolve("ml")
         self.times: dict[str, float] = {}
 
     def _need(self, what: str) -> None:
@@ -184,14 +185,36 @@ class Experiment:
 
     # activation
 
+    def set_model(self, model: str | models.Model) -> Experiment:
+        """The model, by name or as a function, that build_layer() takes layers from."""
+        if self.maps is not None:
+            raise ExperimentError("the model is fixed once layers have been computed")
+        self.model = models.resolve(model)
+        return self
+
+    def build_layer(self, layer: str, state: dict[str, DataFrame] | None = None) -> DataFrame:
+        """A layer's maps, from a state of stored layers by their ids, or from the corpus's images."""
+        if not state:
+            self._need("corpus")
+            shape = F.array(F.lit(1), F.col("height"), F.col("width")).cast("array<int>")
+            state = {"i": self.grey.select("image_id", F.lit("image").alias("layer"), F.lit(0).alias("scale"), F.lit(0).alias("kwidth"), shape.alias("shape"), "data")}
+        return self.model(self.params, self.s1_bank, self.banks).build(layer, state)[layer]
+
     def compute_activation(self, *layers: str) -> Experiment:
-        """Computes the layers once, and keeps them as a table."""
+        """Computes the layers once, and keeps them as a table. Where a layer at or below all of them has been computed
+        before, they are made from the highest such one instead of from the images."""
         self._need("corpus")
         layers = layers or ("c2",)
         if {"s2", "c2"} & set(layers):
             self._need("banks")
         began = time.monotonic()
-        self.layers, self.maps = layers, written(packed.build(self.grey, self.params, self.s1_bank, self.banks, layers), "maps")
+        stored = [x for x in self.layers if x in packed.ORDER and all(packed.ORDER.index(x) <= packed.ORDER.index(w) for w in layers)]
+        if self.maps is not None and stored:
+            below = max(stored, key=packed.ORDER.index)
+            made = packed.climb(self.maps.where(F.col("layer") == below), self.params, self.s1_bank, self.banks, layers)
+        else:
+            made = packed.build(self.grey, self.params, self.s1_bank, self.banks, layers)
+        self.layers, self.maps = layers, written(made, "maps")
         self._timed("activation", began)
         return self
 

@@ -38,8 +38,11 @@ def patches_of(grey: DataFrame, images: DataFrame, n: int, p: Params, s1_bank: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                image = np.array(r["data"], np.float32).reshape(r["height"], r["width"])
+            named = batch.drop_columns(["data"]).to_pylist()  # the maps' values stay in Arrow's buffers
+            cells, at = batch.column("data").flatten().to_numpy(zero_copy_only=False), 0
+            for r in named:
+                image = cells[at : at + r["height"] * r["width"]].astype(np.float32).reshape(r["height"], r["width"])
+                at += image.size
                 maps = [(s, x) for s, _, x in packed.layers_of(image, p, s1_bank, None, {"c1"})["c1"] if min(x.shape[1:]) >= largest]
                 if not maps:
                     raise packed.LayerError(f"image {r['image_id']}: no C1 map holds a patch of {largest}")

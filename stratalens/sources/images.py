@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from ..functions import images
 from ..operators import corpus
 from ..params import Params
 
+#: Characters of a path that tell the parts of a class apart.
+PART = 3
 GREY = "image_id long, path string, height int, width int, data array<float>"
 
 
@@ -26,12 +29,19 @@ def read_corpus(spark: SparkSession, root: str, classes: list[str] | None = None
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(f"{root}/*").select("path")
     files = files.withColumn("class_name", F.element_at(F.split("path", "/"), -2))
     found = corpus.scan(files, "class_name", "path") if classes is None else corpus.scan_given(files, classes, "class_name", "path")
-    counts, before = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}, {}  # the classes
-    for label in sorted(counts):
-        before[label] = sum(counts[k] for k in counts if k < label)
-    first = F.create_map(*(F.lit(x) for k, n in (before or {0: 0}).items() for x in (k, n)))[F.col("label")]
-    turn = F.row_number().over(Window.partitionBy("label").orderBy("path"))
-    return found.withColumn("image_id", (first + turn - 1).cast("long")).select("image_id", "path", "class_name", "label")
+    # paths of a class differ after what its first and last have in common; a class is numbered part by part of the next characters
+    ends = {r["label"]: os.path.commonprefix([r["a"], r["b"]]) for r in found.groupBy("label").agg(F.min("path").alias("a"), F.max("path").alias("b")).collect()}  # the classes
+    common = F.create_map(*(F.lit(x) for k, p in (ends or {0: ""}).items() for x in (k, len(p))))[F.col("label")]
+    found = found.withColumn("_part", F.substr("path", common + 1, F.lit(PART)))
+    counts = found.groupBy("label", "_part").agg(F.count("*").alias("_n"))
+    within = F.sum("_n").over(Window.partitionBy("label").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    counts = counts.withColumn("_before", within)
+    sizes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("_n").alias("n")).collect()}  # the classes
+    before = {k: sum(n for j, n in sizes.items() if j < k) for k in sizes} or {0: 0}
+    first = F.create_map(*(F.lit(x) for k, n in before.items() for x in (k, n)))[F.col("label")]
+    turn = F.row_number().over(Window.partitionBy("label", "_part").orderBy("path"))
+    both = found.join(counts.drop("_n"), ["label", "_part"])
+    return both.withColumn("image_id", (first + F.col("_before") + turn - 1).cast("long")).select("image_id", "path", "class_name", "label")
 
 
 def load_grey(spark: SparkSession, files: DataFrame, root: str, p: Params) -> DataFrame:

@@ -87,3 +87,38 @@ def test_layers_from_any_stored_one(spark):
     small = spark.createDataFrame([(7, "c1", 1, 0, [4, 1, 1], [0.5] * 4)], packed.MAPS)
     with pytest.raises(Exception, match="image 7, c1, scale 1"):
         packed.climb(small, p, bank, banks).collect()
+
+
+def test_models_by_name(spark):
+    """A caller's own model: a layer of its own on top of another model's."""
+    from pyspark.sql import functions as F
+
+    from stratalens.api import Experiment, ExperimentError
+    from stratalens.plans import models
+
+    p = Params(s1_kwidth=3, c1_kwidth=3, c1_sampling=1, s2_kwidth=[2], num_scales=1)
+    grey = spark.createDataFrame([(k, 8, 8, [float((k + i) % 5) / 5 for i in range(64)]) for k in range(3)], "image_id long, height int, width int, data array<float>")
+
+    def doubled(params, bank, banks):
+        graph = packed.graph(params, bank, banks)
+        graph.register("twice", ("c1",), lambda maps: maps.withColumn("data", F.transform("data", lambda v: v * 2)))
+        return graph
+
+    e = Experiment(spark, p).set_images(grey.select("image_id"), grey).set_model(doubled)
+    twice, c1 = ({r["image_id"]: r["data"] for r in e.build_layer(x).collect()} for x in ("twice", "c1"))
+    assert all(np.allclose(twice[k], 2 * np.array(c1[k])) for k in range(3))
+    with pytest.raises(LookupError):
+        e.set_model("nonsense")
+    models.register("Doubled", doubled)
+    assert models.resolve("doubled") is doubled
+    with pytest.raises(ValueError):
+        models.register("ml", doubled)
+    # C2 of a session that holds C1 is made from it
+    e.set_prototypes([np.ones((2, 4, 2, 2)) / 4])
+    direct = {r["image_id"]: r["features"] for r in e.compute_activation("c2").features().collect()}
+    e.compute_activation("c1")
+    e.compute_activation("c2")
+    again = {r["image_id"]: r["features"] for r in e.features().collect()}
+    assert all(np.allclose(direct[k], again[k], atol=1e-6) for k in range(3))
+    with pytest.raises(ExperimentError):
+        e.set_model("ml")
