@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textbatch as T
 from .store import Store
 
 SAMPLE, DEFAULT, FOLDS, HOT = 20_000, "allow", 5, 1e-3
@@ -61,28 +62,74 @@ class Model:
         return out
 
 
-def _entropy(s: str) -> float:
-    if not s:
-        return 0.0
-    n = np.array([s.count(c) for c in sorted(set(s))]) / len(s)
-    return float(-(n * np.log2(n)).sum())
-
-
-def features(urls: list[str | None], hosts: list[str], paths: list[str], top: np.ndarray, site: np.ndarray) -> np.ndarray:
-    """One row of FEATURES for each URL; top and site have the count and the blocked count of its suffixes, a row for each."""
-    digits = lambda s: sum(c.isdigit() for c in s) / max(len(s), 1)
-    rows = []
-    for u, h, p in zip(urls, hosts, paths):
-        u = u or ""
-        query = u.partition("?")[2].partition("#")[0]
-        rows.append((len(u), len(h), h.count(".") + bool(h), sum(map(bool, p.split("/"))), digits(u), digits(h), _entropy(u), _entropy(h), sum(map(bool, query.split("&"))), h.count("-") + p.count("-"), max(map(len, h.split("."))), 0, 0, 0, 0, u[:8].lower() == "https://"))
-    x = np.array(rows, float).reshape(len(rows), len(FEATURES))
-    for at, suffix in ((11, top), (13, site)):
-        count, blocked = np.asarray(suffix, float).reshape(len(rows), 2).T
-        x[:, at], x[:, at + 1] = np.log1p(count), (blocked + 0.5) / (count + 1)
+def _segments(data: np.ndarray, offsets: np.ndarray, mark: str) -> tuple[np.ndarray, np.ndarray]:
+    """The number of parts between marks that aren't empty, and the bytes of the longest, for each text."""
+    inside = data != ord(mark)
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    owner = np.searchsorted(offsets, start, side="right") - 1
+    longest = np.zeros(len(offsets) - 1, np.int64)
+    np.maximum.at(longest, owner, end - start)
+    return np.bincount(owner, minlength=len(offsets) - 1), longest
+
+
+ROWS = 4096
+
+
+def features(urls: pa.Array, hosts: pa.Array, paths: pa.Array, queries: pa.Array, top: np.ndarray, site: np.ndarray) -> np.ndarray:
+    """One row of FEATURES for each URL, from the bytes of all at once; top and site have the count and the blocked count of its suffixes, a row for each."""
+    n, parts = len(urls), [T.utf8(x) for x in (urls, hosts, paths, queries)]
+    x = np.zeros((n, len(FEATURES)))
+
+    def within(which: int, mask) -> np.ndarray:
+        data, offsets = parts[which]
+        run = np.concatenate([[0], np.cumsum(mask(data))])
+        return run[offsets[1:]] - run[offsets[:-1]]
+
+    def entropy(which: int) -> np.ndarray:
+        data, offsets = parts[which]
+        out = np.zeros(n)
+        for i in range(0, n, ROWS):
+            j = min(i + ROWS, n)
+            size = np.diff(offsets[i : j + 1])
+            owner = np.repeat(np.arange(j - i), size)
+            share = np.bincount(owner * 256 + data[offsets[i] : offsets[j]], minlength=(j - i) * 256).reshape(j - i, 256) / np.maximum(size, 1)[:, None]
+            out[i:j] = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+        return out
+
+    characters = lambda d: (d & 0xC0) != 0x80
+    digit, at = lambda d: (d >= 48) & (d <= 57), lambda c: lambda d: d == ord(c)
+    x[:, 0], x[:, 1] = within(0, characters), within(1, characters)
+    x[:, 2] = within(1, at(".")) + (x[:, 1] > 0)
+    x[:, 3] = _segments(*parts[2], "/")[0]
+    x[:, 4], x[:, 5] = within(0, digit) / np.maximum(x[:, 0], 1), within(1, digit) / np.maximum(x[:, 1], 1)
+    x[:, 6], x[:, 7] = entropy(0), entropy(1)
+    x[:, 8] = _segments(*parts[3], "&")[0]
+    x[:, 9] = within(1, at("-")) + within(2, at("-"))
+    x[:, 10] = _segments(*parts[1], ".")[1]
+    for k, suffix in ((11, top), (13, site)):
+        count, blocked = np.asarray(suffix, float).reshape(n, 2).T
+        x[:, k], x[:, k + 1] = np.log1p(count), (blocked + 0.5) / (count + 1)
+    data, offsets = parts[0]
+    secure = np.ones(n, dtype=bool)
+    for k, c in enumerate(b"https://"):
+        here = offsets[:-1] + k
+        there = here < offsets[1:]
+        secure &= there
+        secure[there] &= T.lowered(data[here[there]]) == c
+    x[:, 15] = secure
     return x
 
 
+def query_of(url: Column) -> Column:
+    """What follows the first ? up to #."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?]*\?([^#]*)", 1)
+
+
 def train(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Boosted trees of DEPTH levels over quantile bins; y is 1 for blocked."""
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -137,9 +184,11 @@ def _sampled(known: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.
     share = min(1.0, 4 * sample / max(known.count(), 1))
     key = F.xxhash64("url")
     few = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select(key.alias("key"), "url", "host", "path", "top", "site", "blocked", "fold")
+    few = few.withColumn("query", query_of(F.col("url")))
     rows = sorted(map(tuple, few.orderBy("key", "url").limit(sample).collect()))
-    _, url, host, path, top, site, blocked, fold = map(list, zip(*rows))
-    return features(url, host, path, np.array(top), np.array(site)), np.array(blocked, float), np.array(fold)
+    _, url, host, path, top, site, blocked, fold, query = map(list, zip(*rows))
+    texts = [pa.array(x, pa.string()) for x in (url, host, path, query)]
+    return features(*texts, np.array(top), np.array(site)), np.array(blocked, float), np.array(fold)
 
 
 def fit(known: DataFrame, sample: int = SAMPLE) -> Model | str:
@@ -195,12 +244,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(model)).alias("verdict"), F.lit(float(model == "block")).alias("score"))
     shared = rows.sparkSession.sparkContext.broadcast(model)  # a fixed size
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         net = shared.value
-        for u, h, p, top, site in batches:
-            x = features(u.to_pylist(), h.to_pylist(), p.to_pylist(), top.flatten().to_numpy(), site.flatten().to_numpy())
+        for *texts, top, site in batches:
+            x = features(*texts, top.flatten().to_numpy(), site.flatten().to_numpy())
             yield pa.array(1 / (1 + np.exp(-net.odds(x))))
 
-    score = F.arrow_udf(run, "double")("url", "host", "path", "top", "site")
+    score = F.arrow_udf(run, "double")("url", "host", "path", query_of(F.col("url")), "top", "site")
     scored = rows.withColumn("score", score)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
