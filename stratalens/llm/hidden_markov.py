@@ -10,8 +10,9 @@ stay a table that grows with the corpus.
 2. Training words are counted over all slices: a table of words.
 3. Baum-Welch: each task runs scaled forward and backward recursions over the class sequences of its training texts; expected
    counts (whole 2^-20ths, so that their sum doesn't depend on order) are summed by class across partitions. A training
-   text is learned from in pieces of at most PIECE tokens, all of them. ROUNDS rounds.
-4. Scoring: a slice's words meet their counts by a join; then each text's exact likelihood is the scaled forward recursion
+   text is learned from in pieces of at most PIECE tokens, all of them; a piece that isn't a text's first starts from the states'
+   shares. ROUNDS rounds.
+4. Scoring: those words of a slice that others have too meet their counts by a join; then each text's exact likelihood is the scaled forward recursion
    over its whole sequence. Recursions run over blocks of BLOCK tokens at once: a block's product of transition
    matrices, all blocks together, then the chain of blocks.
 
@@ -34,10 +35,10 @@ from . import textbatch as T
 from .groups import grouped
 from .store import Store, tasks
 
-STATES, CLASSES, ROUNDS = 8, 1 << 13, 6
+STATES, CLASSES, ROUNDS = 8, 1 << 13, 5
 #: Tokens, dealt by the classes' shares in the corpus, that each state is taken to have emitted besides.
 PRIOR = 2000.0
-SLICE, BLOCK, PIECE = 1 << 19, 32, 1 << 16
+SLICE, BLOCK, PIECE, PART = 1 << 22, 32, 256, 1 << 17
 UNIT = float(1 << 20)
 END_WORD = -(1 << 63)  # the hash that stands for the end token, whose class is 0
 _HASHED = np.uint64(CLASSES - 1)
@@ -57,9 +58,20 @@ def _class(word: Column) -> Column:
     return F.when(word == END_WORD, 0).otherwise(rest + 1).cast("int")
 
 
+BLOBS = ("texts", "classes", "own", "seq")
+
+
+def _squeezed(data: bytes | pa.Buffer) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _spread(data: pa.Buffer) -> pa.Buffer:
+    return pa.Codec("zstd").decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"))
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of (doc_id, learns, text): ids, whether each text is learned from, the slice's distinct words, how often its training
-    texts have each, each text's number of tokens, and the places of all tokens in the words."""
+    """Slices of (doc_id, learns, text): the slice's distinct words, in order, and how often its training texts have each; and, packed, a table of
+    the texts (doc_id, learns, number of tokens), the words' classes and counts, and the places of all tokens in the words."""
     here, made = TaskContext.get().partitionId(), 0
     for batch in batches:
         data, offsets = T.utf8(batch.column(2))
@@ -77,28 +89,27 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq[ends], seq[inner] = END_WORD, h
             words, at = np.unique(seq, return_inverse=True)
             counts = np.bincount(at, np.repeat(learns[i:j], n), len(words)).astype(np.int64)
+            texts = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(learns[i:j]), pa.array(n)], names=["doc_id", "learns", "n"])
+            packed = pa.BufferOutputStream()
+            with pa.ipc.new_stream(packed, texts.schema) as out:
+                out.write_batch(texts)
+            blobs = [_squeezed(packed.getvalue()), _squeezed(classes(words).astype("<u2").tobytes()), _squeezed(counts.astype("<i4").tobytes()), _squeezed(at.astype("<i4").tobytes())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([here << 32 | made], pa.int64()),
-                    pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([learns[i:j]], pa.list_(pa.bool_())),
-                    pa.array([words], pa.list_(pa.int64())),
-                    pa.array([counts], pa.list_(pa.int64())),
-                    pa.array([n.astype("<i8").tobytes()], pa.binary()),
-                    pa.array([at.astype("<i4").tobytes()], pa.binary()),
-                ],
-                names=["slice", "doc_ids", "learns", "words", "counts", "n", "seq"],
+                [pa.array([here << 32 | made], pa.int64()), pa.array([words], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)],
+                names=["slice", "words", "counts", *BLOBS],
             )
             made += 1
 
 
 @dataclass
 class Model:
-    """Odds of the first state, of the next state by state, and of a class by state: start[s], step[s, t], emit[c, s]."""
+    """Odds of the first state, of the next state by state, and of a class by state: start[s], step[s, t], emit[c, s]; and the
+    states' shares of all tokens."""
 
     start: np.ndarray
     step: np.ndarray
     emit: np.ndarray
+    share: np.ndarray
 
     @classmethod
     def begin(cls, share: np.ndarray) -> Model:
@@ -106,7 +117,8 @@ class Model:
         draw = np.random.Generator(np.random.PCG64(11))
         emit = share[:, None] * draw.uniform(0.5, 1.5, (len(share), STATES))
         step = np.full((STATES, STATES), 0.1 / max(STATES - 1, 1)) + np.eye(STATES) * (0.9 - 0.1 / max(STATES - 1, 1))
-        return cls(np.full(STATES, 1 / STATES), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        even = np.full(STATES, 1 / STATES)
+        return cls(even, step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), even)
 
 
 class Blocks:
@@ -120,40 +132,20 @@ class Blocks:
         self.cells = np.full((int(self.per.sum()), BLOCK), -1, np.int64)
         self.cells[row, at % BLOCK] = seq
 
-    def emissions(self, model: Model, k: int) -> np.ndarray:
-        """Odds of column k by block and state; 1 where a sequence has ended."""
-        c = self.cells[:, k]
-        return np.where(c[:, None] < 0, 1.0, model.emit[c])
-
-    def enter(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """For each block, odds by state just before its first token (scaled, the first block of a sequence: start), and, by
-        sequence, the log10 likelihood of the whole."""
+    def likelihood(self, model: Model) -> np.ndarray:
+        """The log10 likelihood of each sequence."""
         prods, logs = self._products(model)
-        into = np.empty((len(self.cells), STATES))
         total = np.zeros(len(self.n))
         now = np.broadcast_to(model.start, (len(self.n), STATES)).copy()
         live = np.arange(len(self.n))
         for j in range(int(self.per.max(initial=0))):
             live = live[self.per[live] > j]
             row = self.first[live] + j
-            into[row] = now[live]
             after = np.matmul(now[live][:, None, :], prods[row])[:, 0, :]
             scale = after.sum(axis=1)
             total[live] += np.log10(scale) + logs[row]
             now[live] = after / scale[:, None]
-        self.prods = prods
-        return into, total
-
-    def leave(self) -> np.ndarray:
-        """For each block, scaled odds of all that follows its last token, by the state after it."""
-        out = np.ones((len(self.cells), STATES))
-        live = np.arange(len(self.n))
-        for back in range(1, int(self.per.max(initial=0))):
-            live = live[self.per[live] > back]
-            row = self.first[live] + self.per[live] - 1 - back
-            out[row] = np.matmul(self.prods[row + 1], out[row + 1][:, :, None])[:, :, 0]
-            out[row] /= out[row].sum(axis=1, keepdims=True)
-        return out
+        return total
 
     def _products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """By block, the scaled matrix (state before the first token, state after the last) and its log10 scale.
@@ -175,60 +167,67 @@ class Blocks:
             prods[some] = x
         return prods, logs
 
-    def expect(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected numbers of start states, of steps from state to state, and of classes by state."""
-        into, _ = self.enter(model)
-        out = self.leave()
-        m = len(self.cells)
-        alpha = np.empty((BLOCK, m, STATES))  # with the emission of the token, scaled
-        now = into
-        for k in range(BLOCK):
-            now = now * self.emissions(model, k)
-            now /= now.sum(axis=1, keepdims=True)
-            alpha[k] = now
-            now = np.where((self.cells[:, k] >= 0)[:, None], now @ model.step, now)
-        steps, emit = np.zeros((STATES, STATES)), np.zeros_like(model.emit)
-        beta = out  # odds of what follows column k, by the state of the token after it
-        gammas = np.empty((BLOCK, m, STATES))
-        for k in range(BLOCK - 1, -1, -1):
-            there = self.cells[:, k] >= 0
-            after = np.where(there[:, None], beta @ model.step.T, beta)
-            gamma = alpha[k] * after
-            weight = there / gamma.sum(axis=1)
-            gammas[k] = gamma * weight[:, None]
-            # the steps out of this token, but for the last of a sequence
-            more = there.copy()
-            if k + 1 < BLOCK:
-                more &= self.cells[:, k + 1] >= 0
-            else:
-                more[self.first + self.per - 1] = False
-            steps += (alpha[k] * (weight * more)[:, None]).T @ beta
-            beta = after * self.emissions(model, k)
-            beta /= beta.sum(axis=1, keepdims=True)
-        cells = self.cells.T.reshape(-1)
-        some = cells >= 0
-        for s in range(STATES):
-            emit[:, s] = np.bincount(cells[some], gammas[:, :, s].reshape(-1)[some], len(emit))
-        return gammas[0][self.first].sum(axis=0), steps * model.step, emit
-
-
-def _sequences(row: dict, learning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the words of a slice's tokens, and the texts' numbers of tokens; of training texts only, in pieces, if learning."""
-    n, seq = np.frombuffer(row["n"], "<i8"), np.frombuffer(row["seq"], "<i4")
-    if not learning:
-        return seq, n
-    learns = np.array(row["learns"], bool)
+
+def expect(model: Model, seq: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected numbers of start states (of the sequences that are first), of steps from state to state, and of classes by
+    state: scaled forward and backward recursions over all sequences at once, the longest first, so that those that go on lie in front."""
+    order = np.argsort(-n, kind="stable")
+    at, n, first = (np.cumsum(n) - n)[order], n[order], first[order]
+    kind = np.float32
+    step, emit = model.step.astype(kind), model.emit.astype(kind)
+    now = np.where(first[:, None], model.start, model.share).astype(kind)
+    length = int(n[0])
+    live = np.searchsorted(-n, -np.arange(length), side="left")  # sequences longer than t
+    seen, odds, alpha = [], [], []
+    for t in range(length):
+        c = seq[at[: live[t]] + t]
+        e = emit[c]
+        x = now[: live[t]] * e
+        x /= x.sum(axis=1, keepdims=True)
+        seen.append(c)
+        odds.append(e)
+        alpha.append(x)
+        now = x @ step
+    steps, beta = np.zeros((STATES, STATES)), np.zeros((0, STATES), kind)
+    for t in range(length - 1, -1, -1):
+        a, more = alpha[t], len(beta)
+        after = np.ones_like(a)
+        after[:more] = beta @ step.T
+        gamma = a * after
+        weight = 1 / gamma.sum(axis=1, keepdims=True)
+        steps += (a[:more] * weight[:more]).T @ beta
+        gamma *= weight
+        alpha[t] = gamma
+        beta = after * odds[t]
+        beta /= beta.sum(axis=1, keepdims=True)
+    seen, gammas = np.concatenate(seen), np.concatenate(alpha)
+    counts = np.stack([np.bincount(seen, gammas[:, k], len(emit)) for k in range(STATES)], axis=1)
+    return alpha[0][first].sum(axis=0, dtype=np.float64), steps * model.step, counts
+
+
+def _texts(data: pa.Buffer) -> pa.Table:
+    with pa.ipc.open_stream(_spread(data)) as source:
+        return source.read_all()
+
+
+def _pieces(seq: np.ndarray, texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of training texts, the lengths of their pieces, and which pieces are the first of a text."""
+    n, learns = texts["n"].to_numpy(), texts["learns"].to_numpy()
     seq, n = seq[np.repeat(learns, n)], n[learns]
-    if len(n) and n.max() > PIECE:
-        n = np.concatenate([np.minimum(PIECE, x - np.arange(0, x, PIECE)) for x in n])
-    return seq, n
+    per = -(-n // PIECE)
+    last = np.cumsum(per) - 1
+    size = np.full(int(per.sum()), PIECE)
+    size[last] = n - PIECE * (per - 1)
+    first = np.zeros(len(size), dtype=bool)
+    first[last - per + 1] = True
+    return seq, size, first
 
 
 def _parts(n: np.ndarray) -> Iterator[tuple[slice, slice]]:
-    """Sequences and tokens dealt into parts of some 2 * PIECE tokens, which bounds what recursions hold."""
+    """Sequences and tokens dealt into parts of PART tokens or of one longer sequence, which bounds what recursions hold."""
     upto, i, at = np.cumsum(n), 0, 0
     while i < len(n):
-        j = max(i + 1, int(np.searchsorted(upto, at + 2 * PIECE, side="right")))
+        j = max(i + 1, int(np.searchsorted(upto, at + PART, side="right")))
         yield slice(i, j), slice(at, int(upto[j - 1]))
         i, at = j, int(upto[j - 1])
 
@@ -242,12 +241,11 @@ def _expected(model):
         total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))]
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                words = row.column("words").flatten().to_numpy()
-                seq, n = _sequences({c: row.column(c)[0].as_py() for c in ("n", "seq", "learns")}, True)
-                seq = classes(words)[seq]
-                for texts, tokens in _parts(n):
-                    for x, y in zip(total, Blocks(seq[tokens], n[texts]).expect(m)):
+                texts, of, seq = (batch.column(c)[k].as_buffer() for c in ("texts", "classes", "seq"))
+                of, seq = np.frombuffer(_spread(of), "<u2"), np.frombuffer(_spread(seq), "<i4")
+                seq, n, first = _pieces(of[seq].astype(np.int64), _texts(texts))
+                for pieces, tokens in _parts(n):
+                    for x, y in zip(total, expect(m, seq[tokens], n[pieces], first[pieces])):
                         x += y
         rows = np.concatenate([total[2], total[1], total[0][None]])
         some = np.flatnonzero(rows.any(axis=1))
@@ -268,37 +266,34 @@ def train(slices: DataFrame, sizes: np.ndarray, rounds: int = ROUNDS) -> Model:
     model = Model.begin(share)
     for _ in range(rounds if sizes.sum() else 0):
         sent = spark.sparkContext.broadcast(model)
-        found = slices.select("learns", "words", "n", "seq").mapInArrow(T.released(_expected(sent)), f"part int, {COUNTS}")
+        found = slices.select("texts", "classes", "seq").mapInArrow(T.released(_expected(sent)), f"part int, {COUNTS}")
         got = np.zeros((CLASSES + STATES + 1, STATES))
         for r in found.groupBy("part").agg(*(F.sum(f"c{s}").alias(f"c{s}") for s in range(STATES))).collect():  # CLASSES + STATES + 1 rows at most
             got[r["part"]] = [r[f"c{s}"] / UNIT for s in range(STATES)]
         sent.unpersist()
         emit = got[:CLASSES] + PRIOR * share[:, None]
-        model = Model(_normal(got[-1] + 1), _normal(got[CLASSES:-1] + 1), emit / emit.sum(axis=0))
+        model = Model(_normal(got[-1] + 1), _normal(got[CLASSES:-1] + 1), emit / emit.sum(axis=0), _normal(got[:CLASSES].sum(axis=0)))
     return model
 
 
 def _scores(model, sizes, distinct, tokens: int, known: int):
-    """Scores of slices; a partition has, in order of slice, each slice's words with their counts and then the slice itself."""
+    """Scores of slices; a partition has, slice by slice, the slice itself and the counts of those of its words that other slices have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, size, kinds = model.value, sizes.value, distinct.value
         for g in grouped(batches, ["slice"]):
-            lists = g.filter(g["seq"].is_valid()).combine_chunks()
-            counted = g.filter(g["seq"].is_null())
-            row = {c: lists[c][0].as_py() for c in ("n", "seq", "learns", "doc_ids")}
-            words = lists["words"].chunk(0).flatten().to_numpy()
-            c = np.zeros(len(words), np.int64)
-            c[np.searchsorted(words, counted["word"].to_numpy())] = counted["count"].to_numpy()
-            of = classes(words)
+            blob = g.filter(g["seq"].is_valid())
+            texts, (of, c, seq) = _texts(blob["texts"][0].as_buffer()), (_spread(blob[k][0].as_buffer()) for k in BLOBS[1:])
+            of, c, seq = np.frombuffer(of, "<u2").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(seq, "<i4")
+            told = g.filter(g["seq"].is_null())
+            c[told["place"].to_numpy()] = told["count"].to_numpy()
+            n = texts["n"].to_numpy()
             base = np.log10((c + 1) / (tokens + known + 1))
             within = np.log10((c + 1) / (size[of] + kinds[of] + 1))
-            seq, n = _sequences(row, False)
-            bounds = np.cumsum(n) - n
-            score = np.concatenate([np.zeros(0), *(Blocks(of[seq[b]], n[a]).enter(m)[1] for a, b in _parts(n))])
-            sums = [np.add.reduceat(x[seq], bounds) for x in (base, within, c > 0)]
+            score = np.concatenate([np.zeros(0), *(Blocks(of[seq[b]], n[a]).likelihood(m) for a, b in _parts(n))])
+            sums = [np.add.reduceat(x[seq], np.cumsum(n) - n) for x in (base, within, (c > 0).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(~np.array(row["learns"], bool)), pa.array(n), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(score + sums[1])],
+                [texts["doc_id"].combine_chunks(), pa.array(~texts["learns"].to_numpy()), pa.array(n), pa.array(sums[2]), pa.array(sums[0]), pa.array(score + sums[1])],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
@@ -308,15 +303,15 @@ def _scores(model, sizes, distinct, tokens: int, known: int):
 def prepared(docs: DataFrame, held_out: Column, store: Store, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Slices of the texts, and the count of every training word."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), ~F.coalesce(held_out, F.lit(False)), F.col(text).cast("string").alias("text"))
-    kind = "slice long, doc_ids array<long>, learns array<boolean>, words array<long>, counts array<long>, n binary, seq binary"
+    kind = "slice long, words array<long>, counts array<long>, " + ", ".join(f"{k} binary" for k in BLOBS)
     slices = store.save(rows.mapInArrow(T.released(_slices), kind), "slices")
     words = _words(slices).groupBy("word").agg(F.sum("count").alias("count")).where("count > 0")
     return slices, store.save(words, "words")
 
 
 def _words(slices: DataFrame) -> DataFrame:
-    each = slices.select("slice", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    return each.select("slice", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+    each = slices.select("slice", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
+    return each.select("slice", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
 
 
 def class_sizes(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -327,10 +322,6 @@ def class_sizes(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return sizes, kinds
 
 
-#: What scoring reads of a slice.
-SLICED = {"doc_ids": "array<bigint>", "learns": "array<boolean>", "words": "array<bigint>", "n": "binary", "seq": "binary"}
-
-
 def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text", name: str = "markov") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row: log10 probabilities of the
     text by add-one word counts and by the model, both learned from the rows that aren't held out."""
@@ -338,8 +329,10 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, doc_id: str =
     slices, words = prepared(docs, held_out, Store(spark, name), doc_id, text)
     sizes, kinds = class_sizes(words)
     model = train(slices, sizes, rounds)
-    met = _words(slices).select("slice", "word").join(words, "word").select("slice", "word", "count", *(F.lit(None).cast(t).alias(c) for c, t in SLICED.items()))
-    whole = slices.select("slice", F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("count"), *SLICED)
+    # a word that no other slice's training texts have has the count that its slice knows
+    own = _words(slices).withColumnRenamed("count", "own")
+    met = own.join(words, "word").where("count <> own").select("slice", "place", "count", *(F.lit(None).cast("binary").alias(k) for k in BLOBS))
+    whole = slices.select("slice", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("count"), *BLOBS)
     sent = [spark.sparkContext.broadcast(x) for x in (model, sizes, kinds)]  # of a fixed size
     dealt = met.union(whole).repartition(tasks(spark), "slice").sortWithinPartitions("slice")
     tokens, known = int(sizes.sum()), int(kinds.sum())
