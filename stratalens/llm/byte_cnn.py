@@ -7,7 +7,8 @@ text and id), whole, in at least LEAST_STEPS steps. Prediction covers every byte
 their lengths, are averaged.
 
 A null text or one without a letter is `und` with score 0. Without any labelled text the
-model has no language and every text is `und`. Labels that are null are not learned from.
+model has no language and every text is `und`. Labels that are null are not learned from. Of languages
+of equal odds the first by name is taken; an empty table gives no rows; very long texts are read whole.
 Repeated rows and extra columns change nothing; columns named lang_pred and score are replaced."""
 
 from __future__ import annotations

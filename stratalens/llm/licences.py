@@ -6,7 +6,8 @@ digest of a whole text's canonical form is hash-joined to those of the known lic
 are the digests of its lines that name a licence, as short notices stand on lines of their own.
 
 A null or empty text, or one without letters or digits, matches nothing; its digest is
-that of the empty text. Every row of the table keeps one row, repeated ones too. The known
+that of the empty text. Every row of the table keeps one row, repeated ones and null ids too; an
+empty table gives no rows. Very long texts are digested whole. Extra columns are left out, whatever their names. The known
 licences (files of licence_texts, their variants and the notices below) are a table of fixed size, the only side
 that may be broadcast."""
 

@@ -16,7 +16,9 @@
 
 Nulls and texts without words have no shingles and link with nothing. Rows that repeat an
 id are told apart by their texts and keep a row each. A null id is kept, never in a group. An empty table gives no rows.
-Extra columns are left out by near_duplicates() and kept by unique(), whatever their names."""
+Very long texts are read whole, a slice of their own. Of equal candidates the smallest id names a group, and of rows that repeat
+id and text unique() keeps the first by all their columns. Extra columns are left out by near_duplicates() and kept by unique(),
+whatever their names."""
 
 from __future__ import annotations
 
@@ -307,12 +309,16 @@ def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of, s
     deal = lambda n: F.ceil(n / TILE).cast("int")
     blocks, own = deal(F.col("size")), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     first = F.when(F.col("id") == F.col("family"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own(blocks)))
-    tiled = sets.join(member, "id").withColumn("tile", F.explode(first)).withColumn("other", F.col("tile"))
-    links, large = _compared(tiled, num, den, sets_of), member.where(F.col("size") > TILE)
-    if large.isEmpty():
+    every, large = sets.join(member, "id"), member.where(F.col("size") > TILE)
+    done = large.isEmpty()
+    if not done:
+        every = store.save(every, f"{name}_texts")  # they are read again
+    links = _compared(every.withColumn("tile", F.explode(first)).withColumn("other", F.col("tile")), num, den, sets_of)
+    if done:
         return links
     links = store.save(links, f"{name}_within")
-    part = families(components(links, store, f"{name}_parts")).select("id", F.col("family").alias("part"))
+    inside = links.join(large.select(F.col("id").alias("u")), "u", "left_semi")
+    part = families(components(inside, store, f"{name}_parts")).select("id", F.col("family").alias("part"))
     large = large.join(part, "id", "left").select("id", "family", F.coalesce("part", "id").alias("part"))
     parts = large.groupBy("family", "part").agg(F.count("*").alias("n"))
     most = parts.groupBy("family").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size")).where("size > most.n")
@@ -321,7 +327,8 @@ def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of, s
     inner = F.col("part") == F.col("main")
     tile = F.when(inner, F.col("outside") + own(F.col("inside"))).otherwise(own(F.col("outside")))
     others = F.sequence(F.lit(0), F.when(inner, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1)
-    tiled = sets.join(apart.select("id", "family", tile.alias("tile"), others.alias("others")), "id").withColumn("other", F.explode("others"))
+    apart = apart.select("id", "family", tile.alias("tile"), others.alias("others"))
+    tiled = every.select("id", "payload").join(apart, "id").withColumn("other", F.explode("others"))
     return links.union(_compared(tiled, num, den, sets_of))
 
 

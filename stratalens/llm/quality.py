@@ -7,7 +7,8 @@ replaces all-must-pass filtering. Counts come from every row; their number is bo
 the patterns (3 to the power of the rules), never by the rows.
 
 A null text has no words and fails the base rules. An empty table has no patterns and the
-model is its prior. Repeated rows count as often as they come; extra columns are left out."""
+model is its prior. Repeated rows count as often as they come; null ids are ids like others; very
+long texts are read whole; extra columns are left out."""
 
 from __future__ import annotations
 

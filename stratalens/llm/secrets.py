@@ -13,7 +13,8 @@ the others are spans of kind `random` unless they overlap a base span. The proce
 counts are a histogram of fixed size.
 
 A null or empty text has no spans. Spans count code points, their ends exclusive. Every row
-keeps one row, repeated ones too. An empty table has no candidates. Texts of any length are searched whole."""
+keeps one row, repeated ones too. An empty table has no candidates. Texts of any length are searched whole.
+Null ids are ids like others; extra columns are left out, whatever their names. Scores that tie at the bar are rejected together."""
 
 from __future__ import annotations
 

@@ -10,7 +10,8 @@ the others joined by shuffle. The trees learn from at most SAMPLE labelled URLs,
 
 A URL that is null or lacks `://` has an empty host and path, fits no rule and has
 features of its parts as they are. With no labelled URL, or labels of one kind, every other URL gets
-DEFAULT or that kind. Every row keeps one row; extra columns are left out."""
+DEFAULT or that kind. Every row keeps one row; an empty table gives no rows; extra columns are left out.
+Very long URLs are read whole. Of rules of equal length that fit, the last by code points wins."""
 
 from __future__ import annotations
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.llm import byte_bpe, byte_cnn, embedding_dedup, licences, line_dedup, minhash_dedup, quality, secrets, source_mix, url_filter
+import corpus_pipeline
+from stratalens.llm import byte_bpe, byte_cnn, embedding_dedup, fill_middle, hidden_markov, licences, line_dedup, minhash_dedup, quality, secrets, source_mix, url_filter
 from stratalens.llm.queries import RULES, tokenizer_path
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size string, bands int, id int, kept string, u int, family int, line string, notices int, host string, score string, vec_id int, label int"
@@ -26,6 +27,9 @@ RUNS = {
     "licences": lambda d: licences.scan(d),
     "language": lambda d: byte_cnn.predict(d, byte_cnn.fit(d, F.lit(True))),
     "bpe": lambda d: byte_bpe.encode(d, tokenizer_path(), digests=True),
+    "bpe_stage": lambda d: corpus_pipeline.encode(d.sparkSession, d, ""),
+    "markov": lambda d: hidden_markov.score(d, F.lit(False), rounds=1),
+    "middle": lambda d: fill_middle.transform(d),
     "url": lambda d: url_filter.judge(d.withColumn("url", F.col("text")), RULES, page_id="doc_id"),
 }
 
@@ -70,6 +74,26 @@ def test_mix_of_nothing(spark):
     assert [(r["size"], r["target"], r["copies"]) for r in source_mix.mix(rows).collect()] == [(0, 0.0, [])] * 2
 
 
+def test_markov_values(docs):
+    by = {r["doc_id"]: r for r in hidden_markov.score(docs, F.col("doc_id") == 9, rounds=1).collect()}
+    assert [by[k]["n_tokens"] for k in (2, 3, 4, 9)] == [1, 1, 1, 2] and by[6]["n_tokens"] == 60_001 and by[9]["held_out"] and not by[None]["held_out"]
+    assert by[1]["score"] == by[5]["score"] and by[9]["n_known"] == 1
+
+
+def test_rules_of_equal_length(spark):
+    rules = [("b.com/", "block"), ("com/en", "allow"), ("com/e/", "block")]
+    rows = spark.createDataFrame([(1, "http://b.com/en/1"), (2, "http://a.com/en"), (3, "http://b.com/x")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(rows, rules).collect()}
+    assert got == {1: ("com/en", "allow"), 2: ("com/en", "allow"), 3: ("b.com/", "block")}
+
+
+def test_very_long_vectors(spark):
+    long = [float(i % 7 - 3) for i in range(50_000)]
+    rows = spark.createDataFrame([(1, long, 1), (2, [2 * v for v in long], 1), (3, long[::-1], 1)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(rows).collect()}
+    assert got[1] == (1, 1) and got[2] == (1, 1) and got[3] == (0, 3)
+
+
 def test_vectors(spark):
     x, nan = [1.0, 0.0, 0.0], float("nan")
     rows = [(1, x, 1), (2, [2.0, 0.0, 0.0], 1), (3, x, 2), (4, None, 1), (5, [0.0, 0.0, 0.0], 1), (6, [1.0, nan, 0.0], 1), (7, [1.0, None, 0.0], 1), (8, x, None), (1, x, 1), (None, x, 1), (9, [1.0, 0.0], 1)]
