@@ -38,7 +38,8 @@ from .store import Store, bits, holds, tasks
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 6, 3, 64
 HASHES = TREES * DEPTH
-TILE = 512
+#: Members of a family in one tile, and tiles of a family that all meet one another.
+TILE, WHOLE = 512, 16
 SEEDS = np.random.Generator(np.random.PCG64(85)).integers(1, 1 << 63, HASHES)
 
 
@@ -302,18 +303,20 @@ def _compared(tiled: DataFrame, num: int, den: int, sets_of) -> DataFrame:
 def confirmed(sets: DataFrame, member: DataFrame, num: int, den: int, sets_of, store: Store, name: str) -> DataFrame:
     """(u, v) that join every two sets of a family with den * intersection >= num * union, directly or through others.
 
-    sets has (id, payload); sets_of makes sorted sets of distinct hashes of a list of payloads. A family is dealt into tiles, and
-    all pairs of a tile are compared; its first member is in every tile, so that what is like it is joined across tiles.
-    Where a family of several tiles is still in parts, those outside the largest part meet all the others, tile by tile. So
-    the work grows with a family's members, times the tiles of those outside its largest part."""
+    sets has (id, payload); sets_of makes sorted sets of distinct hashes of a list of payloads. A family is dealt into tiles. Up to
+    WHOLE of them, all meet one another. In a larger family all pairs of a tile are compared, and its first member is in every
+    tile, so that what is like it is joined across tiles; where it is still in parts, those outside the largest part meet all the
+    others, tile by tile. So the work grows with a family's members, times the tiles of those outside its largest part."""
     deal = lambda n: F.ceil(n / TILE).cast("int")
     blocks, own = deal(F.col("size")), lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    first = F.when(F.col("id") == F.col("family"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own(blocks)))
-    every, large = sets.join(member, "id"), member.where(F.col("size") > TILE)
+    pair, all_tiles = lambda t, o: F.struct(t.alias("tile"), o.alias("other")), F.sequence(F.lit(0), blocks - 1)
+    first = F.when(blocks <= WHOLE, F.transform(all_tiles, lambda o: pair(own(blocks), o))).when(F.col("id") == F.col("family"), F.transform(all_tiles, lambda o: pair(o, o))).otherwise(F.array(pair(own(blocks), own(blocks))))
+    every, large = sets.join(member, "id"), member.where(F.col("size") > TILE * WHOLE)
     done = large.isEmpty()
     if not done:
         every = store.save(every, f"{name}_texts")  # they are read again
-    links = _compared(every.withColumn("tile", F.explode(first)).withColumn("other", F.col("tile")), num, den, sets_of)
+    met = every.withColumn("_pair", F.explode(first)).select("id", "payload", "family", "_pair.*")
+    links = _compared(met, num, den, sets_of)
     if done:
         return links
     links = store.save(links, f"{name}_within")

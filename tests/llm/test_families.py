@@ -52,8 +52,10 @@ def templated(n, words=60, seed=0):
     return out
 
 
-def test_op1_one_family_in_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [2, 16])
+def test_op1_one_family_in_tiles(spark, monkeypatch, whole):
     monkeypatch.setattr(minhash_dedup, "TILE", 32)
+    monkeypatch.setattr(minhash_dedup, "WHOLE", whole)
     rows = templated(400)
     got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), n=3, num=85, den=100).collect()}
     assert got == components({k: shingles(t, 3) for k, t in rows}, 85, 100)
