@@ -38,7 +38,7 @@ from .store import Store, tasks
 STATES, CLASSES, ROUNDS = 8, 1 << 13, 5
 #: Tokens, dealt by the classes' shares in the corpus, that each state is taken to have emitted besides.
 PRIOR = 2000.0
-SLICE, BLOCK, PIECE, PART = 1 << 22, 32, 256, 1 << 17
+SLICE, BLOCK, PIECE, PART = 1 << 23, 32, 256, 1 << 17
 UNIT = float(1 << 20)
 END_WORD = -(1 << 63)  # the hash that stands for the end token, whose class is 0
 _HASHED = np.uint64(CLASSES - 1)
