@@ -85,7 +85,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-BLOCK = 256
+BLOCK = 64
+_STEP = _U(0xD6E8FEB86659FD93)
+
+
+def _mixed_in(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """mix(h * _STEP + x), written into h."""
+    h *= _STEP
+    h += x
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> _U(shift)
+        h *= _U(odd)
+    h ^= h >> _U(31)
+    return h
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -97,14 +109,13 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     padded[: len(data)] = data
     eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
     out = mix(size.astype(np.uint64) + _U((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1))
-    step = _U(0xD6E8FEB86659FD93)
     at = np.flatnonzero((size > 0) & (size <= BLOCK))
     place, left, h = start[at], size[at], out[at]
     while len(at):
         x = eight[place]
         short = left < 8
         x[short] &= (_U(1) << (left[short] * 8).astype(np.uint64)) - _U(1)
-        h = mix(h * step + x)
+        h = _mixed_in(h, x)
         done = left <= 8
         out[at[done]] = h[done]
         more = ~done
@@ -113,11 +124,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     if len(long):
         blocks = -(-size[long] // BLOCK)
         upto = np.cumsum(blocks)
-        owner = np.repeat(long, blocks)
-        first = start[owner] + BLOCK * (np.arange(upto[-1]) - np.repeat(upto - blocks, blocks))
-        parts = span_hashes(data, first, np.minimum(first + BLOCK, (start + size)[owner]), seed)
+        first = np.repeat(start[long] - BLOCK * (upto - blocks), blocks) + BLOCK * np.arange(upto[-1])
+        # all blocks but the last of each span are whole: no masks, and all are done after the same steps
+        last, inner = upto - 1, np.ones(len(first), dtype=bool)
+        inner[last] = False
+        place, parts = first[inner], np.empty(len(first), np.uint64)
+        h = np.full(len(place), mix(np.full(1, BLOCK, np.uint64) + _U((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1))[0])
+        for k in range(0, BLOCK, 8):
+            h = _mixed_in(h, eight[place + k])
+        parts[inner] = h
+        parts[last] = span_hashes(data, first[last], (start + size)[long], seed)
         whole = span_hashes(parts.astype("<u8").view(np.uint8), 8 * (upto - blocks), 8 * upto, seed + 1)
-        out[long] = mix(out[long] * step + whole)
+        out[long] = _mixed_in(out[long], whole)
     return out
 
 
