@@ -257,11 +257,12 @@ def k_medoids(rows: DataFrame, n: int, rounds: int = 10, candidates: int = 24) -
 
 def local_contrast(rows: DataFrame, bias: float = 10 / 255**2) -> DataFrame:
     """The rows with the features of each less their mean, over sqrt(their population variance + bias)."""
-    size = F.size("features").cast("double")
-    mean = F.aggregate("features", F.lit(0.0), lambda s, v: s + v) / size
-    rows = rows.withColumn("_mean", mean)
-    square = F.aggregate("features", F.lit(0.0), lambda s, v: s + (v - F.col("_mean")) * (v - F.col("_mean"))) / size
-    return rows.withColumn("_scale", F.sqrt(square + bias)).withColumn("features", F.transform("features", lambda v: (v - F.col("_mean")) / F.col("_scale"))).drop("_mean", "_scale")
+
+    def contrast(x: np.ndarray) -> np.ndarray:
+        x = x - x.mean(axis=1, keepdims=True)
+        return x / np.sqrt((x * x).mean(axis=1, keepdims=True) + bias)
+
+    return sums.applied(rows, contrast)
 
 
 def coefficient_quality(coefficients: DataFrame) -> DataFrame:

@@ -29,9 +29,11 @@ def contrast_kmeans(rows: DataFrame, n: int, whiten: bool = True, unwhiten: bool
     """k-means of patches of normed contrast, whitened; prototypes are brought back."""
     rows = learners.local_contrast(rows)
     if not whiten:
-        return kmeans(rows, n, rounds)
+        with sums.held(rows.select("id", "features")) as kept:
+            return kmeans(kept, n, rounds)
     w = factors.Whitening.fit(rows, floor)
-    out = kmeans(w.transform(rows), n, rounds)
+    with sums.held(w.transform(rows).select("id", "features")) as kept:
+        out = kmeans(kept, n, rounds)
     return out @ w.back + w.mean if unwhiten else out
 
 

@@ -7,6 +7,7 @@ has the size of a model, never of the table."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS = 2048
+#: Bytes of vectors in a task of a table that is held.
+HELD = 16 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -60,6 +63,17 @@ def dimension(rows: DataFrame) -> int:
     return row[0]
 
 
+@contextmanager
+def held(rows: DataFrame) -> Iterator[DataFrame]:
+    """The rows, made once for several passes, in no more tasks than their size asks for."""
+    n = rows.count()
+    kept = rows.coalesce(max(1, -(-n * dimension(rows) * 8 // HELD)) if n else 1).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def gram(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """The number of rows, their sum and the sum of their outer products."""
     d = dimension(rows)

@@ -1,5 +1,7 @@
 """Learners over tables of vectors: against plain numpy over all rows, planted structure, and skewed or small tables."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +187,12 @@ def test_use_weights(spark):
     rows = table(spark, x[:3].reshape(3, -1))
     got = {r["id"]: r["w"] for r in prototypes.use_weights(rows, x, coefficients, 1).collect()}
     assert [got[k] for k in range(3)] == pytest.approx(((coefficients**2).sum(axis=0)[:3]).tolist())
+
+
+def test_contrast_of_long_vectors(spark):
+    x = np.random.default_rng(11).normal(3, 2, (60, 400))
+    began = time.time()
+    got = {r["id"]: r["features"] for r in learners.local_contrast(table(spark, x)).collect()}
+    assert time.time() - began < 30  # work in proportion to the length; by its cube, minutes
+    want = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 10 / 255**2)
+    assert np.allclose([got[k] for k in range(len(x))], want)
