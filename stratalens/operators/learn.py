@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import analysis, corpus
+from . import analysis, corpus, hinge
 
 LEARNERS: dict[str, Callable[[], object]] = {
-    "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), parallelism=4),
+    "svm": lambda: hinge.LinearSVM(reg=0.01),
     "logreg": lambda: LogisticRegression(maxIter=100, regParam=0.01),
     "slogreg": lambda: LogisticRegression(maxIter=100, regParam=0.01, elasticNetParam=1.0),
 }

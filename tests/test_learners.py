@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import clusters, factors, learners, prototypes, sums
+from stratalens.operators import clusters, factors, learn, learners, prototypes, sums
 from stratalens.operators.draws import draw
 
 
@@ -196,3 +196,28 @@ def test_contrast_of_long_vectors(spark):
     assert time.time() - began < 30  # work in proportion to the length; by its cube, minutes
     want = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 10 / 255**2)
     assert np.allclose([got[k] for k in range(len(x))], want)
+
+
+def test_svm_fits_all_classes_in_the_same_passes(spark):
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    draw_, k = np.random.default_rng(12), 8
+    own = draw_.integers(0, k, 600)
+    x = draw_.normal(0, 3, (k, 5))[own] + draw_.normal(size=(600, 5)) * 2
+    rows = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, own))], "image_id long, features array<double>, label int").repartition(3)
+    spark.sparkContext.setJobGroup("svm", "svm")
+    try:
+        model = learn.fit(rows, "svm")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("svm")) < 250
+    z, sign = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.where(own[:, None] == np.arange(k), 1, -1)
+    loss = lambda w: (np.maximum(0, 1 - sign * (z @ w[:, :-1].T + w[:, -1])).mean(axis=0) + 0.005 * (w[:, :-1] ** 2).sum(axis=1)).sum()
+    other = learn.fit(rows, OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), parallelism=4)).stages[-1]
+    assert loss(model.stages[-1].w) < 1.02 * loss(np.array([[*m.coefficients.toArray(), m.intercept] for m in other.models]))
+    found = learn.predict(model, rows).toPandas().sort_values("image_id")
+    margins = z @ model.stages[-1].w[:, :-1].T + model.stages[-1].w[:, -1]
+    assert np.allclose(np.stack(found["margins"]), margins) and (found["prediction"] == margins.argmax(axis=1)).all()
+    assert learn.coefficients(model).shape == (k, 5)
+    with pytest.raises(ValueError):
+        learn.fit(rows.withColumn("label", F.when(F.col("image_id") > 3, F.col("label"))), "svm")
