@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from . import sums
 
-CORNER = 0.01
+CORNER = 0.02
 #: Pairs of steps and changes of gradient that a class remembers.
 MEMORY = 10
 #: Lengths of step that a pass tries for each class, the best of which is taken; a class ends below the least.
 STEPS, LEAST = (4.0, 1.0, 0.5, 0.2, 0.05, 0.01), 1e-5
 
 
-def losses(rows: DataFrame, label: Column, w: np.ndarray, own: np.ndarray, reg: float) -> tuple[np.ndarray, np.ndarray]:
+def losses(rows: DataFrame, label: Column, w: np.ndarray, own: np.ndarray, reg: float, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of w (weights, then the intercept) the loss and its gradient, of the class in own."""
     k, d = w.shape[0], w.shape[1] - 1
 
@@ -35,7 +35,7 @@ def losses(rows: DataFrame, label: Column, w: np.ndarray, own: np.ndarray, reg:
         g = -sign * slope
         return np.concatenate([[len(x)], (slope * (short - slope * CORNER / 2)).sum(axis=0), (g.T @ x).ravel(), g.sum(axis=0)])
 
-    got = sums.total(rows, part, 1 + 2 * k + k * d, label)
+    got = sums.total(rows, part, 1 + 2 * k + k * d, label, tasks=tasks)
     mean = got[1:] / got[0]
     slopes = np.concatenate([mean[k : k + k * d].reshape(k, d) + reg * w[:, :d], mean[k + k * d :][:, None]], axis=1)
     return mean[:k] + reg / 2 * (w[:, :d] ** 2).sum(axis=1), slopes
@@ -57,11 +57,11 @@ def _direction(g: np.ndarray, moved: list[tuple[np.ndarray, np.ndarray]]) -> np.
     return -q
 
 
-def fit(rows: DataFrame, label: Column, classes: int, d: int, reg: float, passes: int, tol: float) -> np.ndarray:
+def fit(rows: DataFrame, label: Column, classes: int, d: int, tasks: int, reg: float, passes: int, tol: float) -> np.ndarray:
     """A row of weights and the intercept for each class. A class is at its end when its gradient is tol times the first or less,
     or when no step lowers its loss."""
     w = np.zeros((classes, d + 1))
-    f, g = losses(rows, label, w, np.arange(classes), reg)
+    f, g = losses(rows, label, w, np.arange(classes), reg, tasks)
     first = np.linalg.norm(g, axis=1)
     moved: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in w]
     share = np.ones(classes)
@@ -71,7 +71,7 @@ def fit(rows: DataFrame, label: Column, classes: int, d: int, reg: float, passes
             break
         ways = {c: _direction(g[c], moved[c]) for c in going}
         tried = np.array([w[c] + share[c] * t * ways[c] for c in going for t in STEPS])
-        f2, g2 = losses(rows, label, tried, np.repeat(going, len(STEPS)), reg)
+        f2, g2 = losses(rows, label, tried, np.repeat(going, len(STEPS)), reg, tasks)
         for i, c in enumerate(going):
             j = i * len(STEPS) + int(f2[i * len(STEPS) : (i + 1) * len(STEPS)].argmin())
             if f2[j] >= f[c]:
@@ -87,7 +87,7 @@ def fit(rows: DataFrame, label: Column, classes: int, d: int, reg: float, passes
 class LinearSVM(Estimator, HasFeaturesCol, HasLabelCol):
     """Labels are 0, 1 and so on; a class without rows has every row against it. No rows and null labels are errors."""
 
-    def __init__(self, reg: float = 0.01, passes: int = 100, tol: float = 1e-3):
+    def __init__(self, reg: float = 0.01, passes: int = 40, tol: float = 1e-3):
         super().__init__()
         self.reg, self.passes, self.tol = reg, passes, tol
 
@@ -103,7 +103,8 @@ class LinearSVM(Estimator, HasFeaturesCol, HasLabelCol):
         if not n or known < n:
             raise ValueError("no samples" if not n else "samples without a label")
         with sums.held(rows) as kept:
-            w = fit(kept, F.col("label"), int(top) + 1, sums.dimension(kept), self.reg, self.passes, self.tol)
+            d = sums.dimension(kept)
+            w = fit(kept, F.col("label"), int(top) + 1, d, sums.tasks(n, d), self.reg, self.passes, self.tol)
         return self._copyValues(LinearSVMModel(w))
 
 

@@ -31,8 +31,9 @@ def lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * (x.shape[1] if x.ndim > 1 else 0), pa.int32()), pa.array(x.ravel(), pa.float64()))
 
 
-def total(rows: DataFrame, part: Callable[..., np.ndarray], size: int, *more: Column) -> np.ndarray:
-    """The sum over all rows of part(x, *columns), an array of `size` numbers for a matrix of some rows' features and further columns."""
+def total(rows: DataFrame, part: Callable[..., np.ndarray], size: int, *more: Column, tasks: int | None = None) -> np.ndarray:
+    """The sum over all rows of part(x, *columns), an array of `size` numbers for a matrix of some rows' features and further columns.
+    Of tables known to have few tasks the driver gets a sum of each at once."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
@@ -51,7 +52,8 @@ def total(rows: DataFrame, part: Callable[..., np.ndarray], size: int, *more: Co
     narrow = rows.select("features", *(c.alias(f"c{k}") for k, c in enumerate(more)))
     parts = narrow.mapInArrow(partial, "sums array<double>")
     groups = max(1, int(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    found = parts.repartition(groups).mapInArrow(merged, "sums array<double>").collect()  # the square root of the shuffle partitions
+    parts = parts if tasks is not None and tasks <= groups else parts.repartition(groups).mapInArrow(merged, "sums array<double>")
+    found = parts.collect()  # the square root of the shuffle partitions
     return np.sum([r["sums"] for r in found], axis=0) if found else np.zeros(size)
 
 
@@ -63,11 +65,16 @@ def dimension(rows: DataFrame) -> int:
     return row[0]
 
 
+def tasks(n: int, d: int) -> int:
+    """The tasks, at most, of a table of n vectors that is held."""
+    return max(1, -(-n * d * 8 // HELD))
+
+
 @contextmanager
 def held(rows: DataFrame) -> Iterator[DataFrame]:
     """The rows, made once for several passes, in no more tasks than their size asks for."""
     n = rows.count()
-    kept = rows.coalesce(max(1, -(-n * dimension(rows) * 8 // HELD)) if n else 1).persist()
+    kept = rows.coalesce(tasks(n, dimension(rows)) if n else 1).persist()
     try:
         yield kept
     finally:
