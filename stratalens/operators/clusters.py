@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import sums
 
 
@@ -101,35 +102,52 @@ def _best(k: int, queries: np.ndarray, known: np.ndarray, ids: np.ndarray) -> tu
 def knn(queries: DataFrame, known: DataFrame, value: str, k: int = 4) -> DataFrame:
     """(id, near): of each query its k nearest known rows, as structs (d, id, value) in order. Ids are longs, of either side unique.
 
-    Both sides are dealt into tiles, and each pair of tiles is a group of work of bounded size, which keeps its k nearest of each
-    query; of these the nearest stay."""
+    Both sides are packed into tiles of bounded size and written once. A task takes some tiles of queries and reads the known ones past
+    them, pair by pair, and keeps only the k nearest so far of its queries; so what is shuffled and written grows with the rows, not
+    with the pairs, though every query is compared with every known row."""
     if k < 1:
         raise ValueError("a neighbour is needed")
-    deal = lambda rows: max(1, -(-rows.count() // TILE))
-    q, r = deal(queries), deal(known)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"), own(q).alias("qt"), every(r).alias("rt"))
-    right = known.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"), F.col(value).cast("double").alias("value"), own(r).alias("rt"), every(q).alias("qt"))
-
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        a, b = a.combine_chunks(), b.combine_chunks()
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "known": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
-        x, y = sums.matrix(a["features"].chunk(0)), sums.matrix(b["features"].chunk(0))
-        ids, known_ids, values = a["id"].to_numpy(), b["id"].to_numpy(), b["value"].to_numpy(zero_copy_only=False)
-        out = [[], [], [], []]
-        for s in range(0, len(x), 512):
-            d, at = _best(k, x[s : s + 512], y, known_ids)
-            for column, v in zip(out, (np.repeat(ids[s : s + 512], at.shape[1]), d.ravel(), known_ids[at].ravel(), values[at].ravel())):
-                column.append(v)
-        return pa.table(dict(zip(("id", "d", "known", "value"), map(np.concatenate, out))))
-
-    found = left.groupBy("qt", "rt").cogroup(right.groupBy("qt", "rt")).applyInArrow(pair, "id long, d double, known long, value double")
+    left = _tiles(queries.select("id", "features", F.lit(None).cast("double").alias("value")), max(1, TILE // 4)).select("tile", F.col("ids").alias("a"), F.col("x").alias("q"), F.col("d").alias("size"))
+    right = _tiles(known.select("id", "features", F.col(value).cast("double").alias("value")), TILE).drop("tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, ...]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tile, a, q, size, b, x, d, v = (c[i].as_py() if c.type == pa.int32() else c[i].as_buffer() for c in batch.columns)
+                if size != d:
+                    raise ValueError("vectors must have one length")
+                q, x, known_ids, values = np.frombuffer(q).reshape(-1, size), np.frombuffer(x).reshape(-1, d), np.frombuffer(b, np.int64), np.frombuffer(v)
+                parts = [_best(k, q[s : s + 512], x, known_ids) for s in range(0, len(q), 512)]
+                dist, at = (np.concatenate(c) for c in zip(*parts))
+                near = (dist, known_ids[at], values[at])
+                if tile in best:
+                    near = tuple(np.concatenate(c, axis=1) for c in zip(best[tile][1:], near))
+                    order = np.lexsort((near[1], near[0]), axis=1)[:, :k]
+                    near = tuple(np.take_along_axis(c, order, axis=1) for c in near)
+                best[tile] = (best[tile][0] if tile in best else np.frombuffer(a, np.int64).copy(), *near)
+        for ids, dist, found, values in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, dist.shape[1])), *(pa.array(c.ravel()) for c in (dist, found, values))], names=["id", "d", "known", "value"])
+
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).coalesce(max(1, left.rdd.getNumPartitions()))
+    found = pairs.mapInArrow(run, "id long, d double, known long, value double")
     near = F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("known").alias("id"), "value"))), 1, k)
     return found.groupBy("id").agg(near.alias("near"))
 
 
+def _tiles(rows: DataFrame, size: int) -> DataFrame:
+    """(tile, ids, x, d, v): about `size` rows in a row, their ids, vectors of d doubles and values as bytes; written."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"), "value", F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(n)).cast("int").alias("tile"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x, values = sums.matrix(t["features"].chunk(0)), t["value"].to_numpy(zero_copy_only=False).astype(np.float64)
+        return pa.table({"tile": pa.array([t["tile"][0].as_py()], pa.int32()), "ids": [t["id"].to_numpy().tobytes()], "x": [x.tobytes()], "d": pa.array([x.shape[1]], pa.int32()), "v": [values.tobytes()]})
+
+    return written(dealt.repartition(n, "tile").groupBy("tile").applyInArrow(pack, "tile int, ids binary, x binary, d int, v binary"), "tiles")
+
+
 def knn_mean(queries: DataFrame, known: DataFrame, value: str, k: int = 4) -> DataFrame:
     """(id, value): mean of the value over a query's k nearest rows of a reference set of any size, or all of a smaller one."""
     total = F.aggregate("near", F.lit(0.0), lambda s, t: s + t["value"])

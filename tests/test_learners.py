@@ -162,6 +162,14 @@ def test_knn_tiles(spark, monkeypatch):
     assert len(mean) == 300  # fewer known rows than neighbours asked for
 
 
+def test_knn_sends_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "TILE", 70)
+    rows = table(spark, np.random.default_rng(8).normal(size=(400, 4))).withColumn("q", F.lit(1.0))
+    plan = clusters.knn(rows, rows, "q", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # no copies of rows for each tile of the other side
+    assert clusters.knn(rows.limit(0), rows, "q", 5).count() == 0 and clusters.knn(rows, rows.limit(0), "q", 5).count() == 0
+
+
 def test_algorithms_by_name(spark):
     x = np.random.default_rng(2).random((60, 25))
     rows = table(spark, x).persist()
