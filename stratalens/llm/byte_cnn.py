@@ -131,9 +131,14 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     share = min(1.0, 4 * sample / max(labelled.count(), 1))
     key = F.xxhash64(F.col(doc_id).cast("string"), text)
     labelled = labelled.where((F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col(text).rlike(r"\p{L}"))
-    few = labelled.select(key.alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).orderBy("k", "t", "l").limit(sample)
+    # their hashes first, so that the driver is sent the texts of the sample and no others
+    keys = [r.k for r in labelled.select(key.alias("k")).orderBy("k").limit(sample).collect()]
+    few = labelled.where(key <= (keys[-1] if keys else 0)).select(key.alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).orderBy("k", "t", "l").limit(sample)
     rows = sorted((r.k, r.t, r.l) for r in few.collect())
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    del rows
+    T.release()  # the driver's Python lives on
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
