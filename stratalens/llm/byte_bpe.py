@@ -32,7 +32,9 @@ from . import textbatch as T
 
 #: Fixed value: what follows an apostrophe at the start of a piece and stays with it.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-SLOTS, TABLE_BYTES, KEPT_LENGTH = 1 << 20, 1 << 25, 64
+SLOTS, TABLE_BYTES, KEPT_LENGTH = 1 << 19, 1 << 24, 64
+#: Bytes of text cut at once: what numpy makes of a slice is some fifty times as large.
+SLICE = 1 << 18
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -237,7 +239,7 @@ class Tokenizer:
     def texts(self, column: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
         """For each text the number of its ids, the ids, each followed by a comma, and the decoded bytes."""
         data, offsets = T.utf8(column)
-        for i, j in T.slices(offsets):
+        for i, j in T.slices(offsets, SLICE):
             part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if not len(part):
                 yield from [(0, b"", b"")] * (j - i)
@@ -287,18 +289,22 @@ def _valid(column: pa.Array) -> pa.Array:
 def _run(tokenizer, digests: bool):
     digest = lambda x: hashlib.sha256(x).hexdigest()
 
+    def encoded(t: Tokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
+        # decoded bytes that aren't UTF-8 become replacement characters
+        rows = ((n, ids[:-1], decoded.decode("utf-8", "replace")) for n, ids, decoded in t.texts(_valid(part.column(1))))
+        if digests:
+            rows = [(n, digest(ids), digest(decoded.encode())) for n, ids, decoded in rows]
+            n, ids, decoded = zip(*rows)
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        _, ids, decoded = zip(*rows)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([[int(x) for x in y.split(b",")] if y else [] for y in ids], pa.list_(pa.int32())), pa.array(decoded)], names=["doc_id", "ids", "decoded"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                # decoded bytes that aren't UTF-8 become replacement characters
-                rows = [(n, ids[:-1], decoded.decode("utf-8", "replace")) for n, ids, decoded in t.texts(_valid(part.column(1)))]
-                n, ids, decoded = zip(*rows)
-                if digests:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(map(digest, ids), pa.string()), pa.array([digest(x.encode()) for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[int(x) for x in y.split(b",")] if y else [] for y in ids], pa.list_(pa.int32())), pa.array(decoded)], names=["doc_id", "ids", "decoded"])
+                yield encoded(t, batch.slice(i, 512))
+            T.release()
 
     return run
 

@@ -1,6 +1,7 @@
 """Byte-level BPE against the tokenizers library, where texts are cut and where the table of pieces fails."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -51,6 +52,19 @@ def test_table_is_bounded(both, monkeypatch):
         assert len(both[0]._table.bytes) < 1000
 
 
+def test_memory_follows_the_slice(both):
+    """Beside the table, encoding four MB of texts takes memory for a slice of them."""
+    texts = pa.array([" ".join(f"w{(k * j) % 9973}" for j in range(1, 400)) for k in range(1, 1800)], pa.large_string())
+    assert texts.nbytes > 4 << 20
+    same(both, ["the table"])
+    tracemalloc.start()
+    for _ in both[0].texts(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < byte_bpe.TABLE_BYTES + (24 << 20)
+
+
 def test_bytes_that_are_not_utf8(spark):
     df = spark.sql("SELECT 1L AS doc_id, CAST(x'61ff62' AS STRING) AS text UNION ALL SELECT 2L, 'a�b'")
     rows = byte_bpe.encode(df, tokenizer_path()).collect()
