@@ -145,10 +145,10 @@ def learn_mini_batch_spread(spark, d):
 
 @query()
 def learn_whitened_kmeans(spark, d):
-    """k-means of vectors of normed contrast, whitened over the whole table; centroids are brought back."""
+    """k-means of vectors of normed contrast, whitened over the whole table, until the centroids stay; they are brought back."""
     from .operators import prototypes as P
 
-    return bank(spark, P.contrast_kmeans(vectors(spark, d), N, rounds=STEPS))
+    return bank(spark, P.contrast_kmeans(vectors(spark, d), N))
 
 
 @query(f"WITH {V}, m AS MATERIALIZED (SELECT i, avg(x[i]) AS m FROM v, {POS} GROUP BY 1) SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.j - 1 AS INT) AS j, {r6('avg(x[a.i] * x[b.j]) - any_value(p.m) * any_value(q.m)')} AS c FROM v, range(1, 65) AS a(i), range(1, 65) AS b(j), m p, m q WHERE p.i = a.i AND q.i = b.j GROUP BY 1, 2")

@@ -7,6 +7,7 @@ of clusters); only numbers of the prototypes' size come to the driver."""
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,15 +85,16 @@ def histogram(rows: DataFrame, n: int, size: int, bins: int = 100, resolution: f
     return np.array([[one(k, i) for i in range(size)] for k in range(n)])
 
 
-def steps(rows: DataFrame, centres: np.ndarray, rounds: int, weight: Column | None = None, tol: float = 0.0) -> np.ndarray:
+def steps(rows: DataFrame, centres: np.ndarray, rounds: int | None, weight: Column | None = None, tol: float = 0.0) -> np.ndarray:
     """Weighted Lloyd steps; a cluster without rows, or without weight, keeps its centroid. It ends when the centroids move by
-    no more than tol, squared and summed; tol is a share of the elements' mean variance in scale_free()."""
-    for _ in range(rounds):
+    no more than tol, squared and summed; tol is a share of the elements' mean variance in scale_free(). Without rounds it goes on
+    until then: a step that moves further makes the clusters' squares less by as much, times the rows of a cluster."""
+    for _ in count() if rounds is None else range(rounds):
         total, mass, _ = clusters.cluster_sums(rows, centres, weight)
         moved = np.where(mass[:, None] > 0, total / np.where(mass > 0, mass, 1)[:, None], centres)
         gap = float(((moved - centres) ** 2).sum())
         centres = moved
-        if gap <= tol:
+        if not gap > tol:  # also where vectors aren't numbers
             break
     return centres
 
@@ -103,7 +105,7 @@ def scale_free(rows: DataFrame, tol: float) -> float:
     return tol * float(np.diag(c).mean())
 
 
-def k_means(rows: DataFrame, n: int, rounds: int = 10, weight: Column | None = None, tol: float = 0.0, start: str = "imprint") -> np.ndarray:
+def k_means(rows: DataFrame, n: int, rounds: int | None = 10, weight: Column | None = None, tol: float = 0.0, start: str = "imprint") -> np.ndarray:
     """Weighted k-means from drawn vectors ("imprint") or from spread ones ("spread")."""
     centres = spread(rows, n, weight=weight) if start == "spread" else imprint(rows, n)
     return steps(rows, centres, rounds, weight, tol)

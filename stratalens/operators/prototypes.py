@@ -21,12 +21,12 @@ def normed(bank: np.ndarray) -> np.ndarray:
     return np.array([unit(x) for x in bank])
 
 
-def kmeans(rows: DataFrame, n: int, rounds: int = 50, weight: Column | None = None, tol: float = 1e-4) -> np.ndarray:
+def kmeans(rows: DataFrame, n: int, rounds: int | None = 50, weight: Column | None = None, tol: float = 1e-4) -> np.ndarray:
     return learners.k_means(rows, n, rounds, weight, learners.scale_free(rows, tol), "spread")
 
 
-def contrast_kmeans(rows: DataFrame, n: int, whiten: bool = True, unwhiten: bool = True, floor: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """k-means of patches of normed contrast, whitened; prototypes are brought back."""
+def contrast_kmeans(rows: DataFrame, n: int, whiten: bool = True, unwhiten: bool = True, floor: float = 0.1, rounds: int | None = None) -> np.ndarray:
+    """k-means of patches of normed contrast, whitened, until the centroids stay; prototypes are brought back."""
     rows = learners.local_contrast(rows)
     if not whiten:
         with sums.held(rows.select("id", "features")) as kept:
